@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The six ASCII white-space characters; everything else is part of a word.
 SPACES = r"[\x20\x09-\x0D]+"
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def words(text: Column) -> Column:
@@ -14,6 +18,12 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
+def once(value: Column) -> Column:
+    """The value, in a projection that the optimizer neither merges with the ones above it nor
+    pushes filters through: what is named several times there, or in a lambda, is made once."""
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -30,3 +40,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)
+
+
+def word_chunks(text: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a UTF-8 text in lists, so that a very long text isn't split all at once."""
+    start = 0
+    while start < len(text):
+        stop = start + size
+        if stop < len(text):
+            found = SPACE.search(text, stop)
+            stop = found.end() if found else len(text)
+        yield text[start:stop].split()  # splits bytes at the six characters of SPACES
+        start = stop

@@ -8,8 +8,26 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
-from .common import table
+from . import bpe, mixing, rules, simhash
+from .common import cut_lineage, table
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    learned = rules.fit(docs, table(spark, sf_dir, "labels"))
+    return rules.judge(docs, learned).drop("text")
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = cut_lineage(simhash.fingerprints(docs).drop("text"))
+    return simhash.groups(marked).select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    measured = cut_lineage(mixing.measure(docs).drop("text"))
+    return mixing.mix(measured, mixing.plan(measured)).select("doc_id", "size", "source_size", "target", "taken", "times", "source")
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +43,9 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality_rules": op3_quality_rules,
+    "op5_simhash": op5_simhash,
+    "op8_mixing": op8_mixing,
     "op9_byte_bpe": op9_byte_bpe,
 }
 
