@@ -1,4 +1,8 @@
-"""Documents to tokens: quality rules, line and document deduplication, mixing, byte-level BPE."""
+"""Documents to tokens: quality rules, line and document deduplication, mixing, byte-level BPE.
+
+Each stage takes the documents that the one before kept and returns the columns of
+documents; the last one adds the token ids.
+"""
 
 from __future__ import annotations
 
@@ -6,25 +10,65 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wavemill.llm import bpe
+from wavemill.llm import bpe, lines, mixing, rules, simhash
+from wavemill.llm.common import cut_lineage, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or that the learned list rejects go; a null text goes (no words)."""
+    learned = rules.fit(docs, table(spark, sf_dir, "labels"))
+    return rules.judge(docs, learned).filter("kept").select(docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that came before go; n_chars follows the text. No document goes, an emptied one included."""
+    out = lines.dedup(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group, and of rows with the same doc_id, one document stays: that of the lowest doc_id.
+
+    Rows without a doc_id, which no other row could stand for, stay.
+    """
+    marked = cut_lineage(simhash.fingerprints(docs.select("doc_id", "text")).drop("text"))
+    lowest = simhash.groups(marked).filter("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(lowest, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.select(docs.columns).unionByName(docs.filter("doc_id is null"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as its source's target takes it."""
+    measured = mixing.measure(docs)
+    slim = cut_lineage(measured.select("source", *mixing.MEASURES))
+    return mixing.repeat(mixing.mix(measured, cut_lineage(mixing.plan(slim)))).select(docs.columns)
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with the token ids of its whole text."""
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-STAGES: list[tuple[str, Stage]] = [("tokens", tokens)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("mix_sources", mix_sources),
+    ("tokens", tokens),
+]
 
 #: Edit distances and token ids are beyond SQL, so tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        docs = cut_lineage(stage(spark, docs, sf_dir)) if stage is not tokens else stage(spark, docs, sf_dir)
     return docs

@@ -8,10 +8,40 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, rules, simhash
+from . import bpe, lines, minhash, mixing, rules, simhash, urls
 from .common import cut_lineage, table
 
 
+#: host, path, verdict (fixed values)
+URL_RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
+
+
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.with_next(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+
+
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
+
+
+OP6_SQL = """
+with rules(host, path, verdict) as (values ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+parts as (select page_id, url, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '') as raw, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') as path from pages),
+split as (select page_id, url, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, path from parts),
+urls as (select distinct host, path from split),
+fits as (select u.host, u.path, r.host || r.path as rule, r.verdict, row_number() over (partition by u.host, u.path order by length(r.host || r.path) desc, length(r.host) desc) as k
+  from urls u join rules r on (u.host = r.host or ends_with(u.host, '.' || r.host)) and starts_with(u.path, r.path))
+select s.page_id, s.host, s.path, f.rule, coalesce(f.verdict, 'allow') as verdict
+from split s left join (select * from fits where k = 1) f on f.host = s.host and f.path = s.path
+"""
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     learned = rules.fit(docs, table(spark, sf_dir, "labels"))
@@ -43,10 +73,15 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash": op1_minhash,
     "op3_quality_rules": op3_quality_rules,
     "op5_simhash": op5_simhash,
+    "op6_url_rules": op6_url_rules,
     "op8_mixing": op8_mixing,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_url_rules": OP6_SQL,
+}
