@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Bounds of the memos; when one is full it is emptied, and results stay the same.
-MAX_STATES, MAX_WORDS, MAX_PAIRS = 100_000, 300_000, 1_000_000
+MAX_STATES, MAX_WORDS, MAX_PAIRS = 100_000, 350_000, 800_000
 
 REPLACEMENT = "�"
 
@@ -77,14 +77,13 @@ def _parts(piece: bytes) -> list[bytes]:
 
 
 class State:
-    """A determinised state: the hypotheses, its known transitions, and what it emits at the end."""
+    """A determinised state: its hypotheses (token before, trie node, tokens not yet emitted) and known transitions."""
 
-    __slots__ = ("final", "hypotheses", "next")
+    __slots__ = ("hypotheses", "next")
 
-    def __init__(self, hypotheses: tuple[tuple[int, int, tuple[int, ...]], ...], final: tuple[int, ...] | None):
+    def __init__(self, hypotheses: tuple[tuple[int, int, tuple[int, ...]], ...]):
         self.hypotheses = hypotheses
         self.next: dict[int, tuple[tuple[int, ...], State]] = {}
-        self.final = final
 
 
 class Transducer:
@@ -109,7 +108,7 @@ class Transducer:
         self.spines: dict[int, tuple[list, list]] = {}
         self.words: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
-        self.start = State(((-1, 0, ()),), ())
+        self.start = State(((-1, 0, ()),))
         self.states: dict[tuple, State] = {}
         self.fallbacks = 0
 
@@ -151,9 +150,15 @@ class Transducer:
             else:
                 j += 1
 
+    def fits(self, pair: int, left: int, right: int) -> bool:
+        if len(self.pairs) >= MAX_PAIRS:
+            self.pairs.clear()
+        self.pairs[pair] = known = self.may_follow(left, right)
+        return known
+
     def step(self, state: State, byte: int) -> tuple[tuple[int, ...], State]:
         """Determinises one transition and remembers it."""
-        found, final, trie, pairs = [], None, self.trie, self.pairs
+        found, trie, pairs = [], self.trie, self.pairs
         for last, node, pending in state.hypotheses:
             reached = trie.get(node << 8 | byte)
             if reached is None:
@@ -164,12 +169,9 @@ class Transducer:
                 pair = (last + 1) << 32 | token
                 fits = pairs.get(pair)
                 if fits is None:
-                    if len(pairs) >= MAX_PAIRS:
-                        pairs.clear()
-                    fits = pairs[pair] = self.may_follow(last, token)
+                    fits = self.fits(pair, last, token)
                 if fits:
-                    final = (*pending, token)
-                    found.append((token, 0, final))
+                    found.append((token, 0, (*pending, token)))
         emitted = ()
         if found and found[0][2]:
             agreed, first = len(found[0][2]), found[0][2]
@@ -179,27 +181,41 @@ class Transducer:
             if agreed:
                 emitted = first[:agreed]
                 found = [(last, node, pending[agreed:]) for last, node, pending in found]
-                final = final and final[agreed:]
         key = tuple(found)
         known = self.states.get(key)
         if known is None:
             if len(self.states) >= MAX_STATES:
                 self.states.clear()
-                self.start = State(self.start.hypotheses, ())
-            known = self.states[key] = State(key, final)
+                self.start = State(self.start.hypotheses)
+            known = self.states[key] = State(key)
         move = state.next[byte] = emitted, known
         return move
 
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
         state, out = self.start, []
-        for byte in piece:
+        for byte in piece[:-1]:
             emitted, state = state.next.get(byte) or self.step(state, byte)
             if emitted:
                 out += emitted
-        if state.final is None:  # a vocabulary whose tokens are not all made by merges
+        final = self.finish(state, piece[-1])
+        if final is None:  # a vocabulary whose tokens are not all made by merges
             self.fallbacks += 1
             return tuple(merge_slowly(self.ranks, piece))
-        return (*out, *state.final)
+        return (*out, *final) if out else final
+
+    def finish(self, state: State, byte: int) -> tuple[int, ...] | None:
+        """What is emitted if the piece ends with this byte; most pieces' ends are met once, so no state is kept."""
+        trie, pairs = self.trie, self.pairs
+        for last, node, pending in state.hypotheses:
+            reached = trie.get(node << 8 | byte)
+            if reached is not None and reached[1] >= 0:
+                pair = (last + 1) << 32 | reached[1]
+                fits = pairs.get(pair)
+                if fits is None:
+                    fits = self.fits(pair, last, reached[1])
+                if fits:
+                    return (*pending, reached[1])
+        return None
 
     def encode(self, text: str) -> list[int]:
         words, out = self.words, []
