@@ -47,7 +47,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as its source's target takes it."""
     measured = mixing.measure(docs)
     slim = cut_lineage(measured.select("source", *mixing.MEASURES))
-    return mixing.repeat(mixing.mix(measured, cut_lineage(mixing.plan(slim)))).select(docs.columns)
+    return mixing.repeat(mixing.mix(measured, mixing.plan(slim))).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

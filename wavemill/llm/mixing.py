@@ -15,11 +15,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import once, words
+from .common import cut_lineage, once, words
 
 #: Ranges of the key for each source; a source's last range is sorted in one task.
 BUCKETS = 1024
 
+#: Up to so many sources their plan (some 60 bytes each) is broadcast; beyond it, a shuffled join.
+BROADCAST_SOURCES = 100_000
+
 MEASURES = ("size", "draw", "draw_order")
 RESULTS = ("source_size", "target", "times", "taken")
 
@@ -99,6 +102,8 @@ def mix(measured: DataFrame, plan: DataFrame, source: str = "source") -> DataFra
     """
     df = measured.drop(*RESULTS)
     kept = [f"`{c}`" for c in df.columns]
+    plan = cut_lineage(plan)
+    plan = F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan
     df = df.withColumn("_bucket", _bucket()).join(plan, df[source].eqNullSafe(plan["_source"]))
     chosen = (F.col("_bucket") < F.col("_last_bucket")) | ((F.col("_bucket") == F.col("_last_bucket")) & (F.struct("draw", "draw_order") <= F.col("_end")))
     times = F.col("_epochs").cast("long") + F.coalesce(chosen, F.lit(False)).cast("long")
