@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licences, lines, minhash, mixing, rules, simhash, urls
+from . import bpe, chat, licences, lines, minhash, mixing, rules, simhash, urls
 from .common import cut_lineage, table
 
 
@@ -95,6 +95,25 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(marked).select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes each conversation as a transcript, its speakers marked in one of several ways or, now
+    and then, not at all; parses it; tells whether roles and texts come back."""
+    style = F.pmod(F.xxhash64("conv_id"), F.lit(1000))
+    given = cut_lineage(chat.gather(table(spark, sf_dir, "conversations")))
+    model = chat.fit(given.withColumn("style", style), F.col("style"))
+    written = chat.transcripts(given.withColumn("style", style), F.col("style"))
+    parsed = chat.parse(written, model)
+    roles = lambda c: F.concat_ws("", F.transform(c, lambda t: F.coalesce(F.left(t["role"], F.lit(1)), F.lit("?"))))
+    return parsed.select(
+        "conv_id",
+        "part",
+        F.size("parsed").cast("long").alias("n_turns"),
+        roles("parsed").alias("roles"),
+        roles("turns").alias("given_roles"),
+        F.sha2(F.encode(chat.render(F.col("parsed")), "UTF-8"), 256).alias("rendered_sha256"),
+    )
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     measured = cut_lineage(mixing.measure(docs).drop("text"))
@@ -119,6 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op5_simhash": op5_simhash,
     "op6_url_rules": op6_url_rules,
+    "op7_chat": op7_chat,
     "op8_mixing": op8_mixing,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_line_dedup": op10_line_dedup,
