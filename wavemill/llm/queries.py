@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, licences, lines, minhash, mixing, rules, simhash, urls
+from . import bpe, chat, html, licences, lines, minhash, mixing, rules, simhash, urls
 from .common import cut_lineage, table
 
 
@@ -89,6 +89,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(docs, learned).drop("text")
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    out = html.extract(pages, html.fit(pages)).drop("html")
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = cut_lineage(simhash.fingerprints(docs).drop("text"))
@@ -136,6 +142,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_licence_scan": op2_licence_scan,
     "op3_quality_rules": op3_quality_rules,
+    "op4_main_text": op4_main_text,
     "op5_simhash": op5_simhash,
     "op6_url_rules": op6_url_rules,
     "op7_chat": op7_chat,
