@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import levels
-from ..operators import intervals, loudness, samples
+from ..operators import blocks, intervals, loudness, samples
 from ..sources import tables
 from ..sources.tables import RATE
+from . import reports
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -127,7 +128,51 @@ def voice_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("value", F.round("value", 9))
 
 
+def true_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = blocks.true_peak(blocks.from_samples(tables.signal(spark, sf_dir), 128))
+    return out.withColumn("true_peak", F.round("true_peak", 9))
+
+
+def k_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = blocks.to_samples(blocks.lti_filter(blocks.from_samples(tables.mono(spark, sf_dir), 100), blocks.K_WEIGHTING))
+    return out.withColumn("value", F.round("value", 6))
+
+
+def spectrogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long form: one row for each band."""
+    out = blocks.spectrogram(tables.blocks(spark, sf_dir), 64, 16)
+    return out.select("track", "channel", "stft_frame", F.posexplode("bands").alias("band", "magnitude")).withColumn("magnitude", F.round("magnitude", 6))
+
+
+def spectral_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames 64 of each track on, out of the inverse transform of the transform."""
+    out = blocks.to_samples(blocks.istft(blocks.stft(tables.blocks(spark, sf_dir), 64, 16), 64, 16, 100))
+    ends = out.groupBy("track").agg(F.max("frame").alias("n"))
+    return out.join(ends, "track").filter("frame >= 64 and frame <= n - 64").select("track", "frame", (F.round("value", 5) + 0.0).alias("value"))
+
+
+def loudness_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = reports.loudness_report(blocks.from_samples(tables.signal(spark, sf_dir), 128), RATE)
+    return out.withColumns({c: F.round(c, 6) for c, t in out.dtypes if t == "double"})
+
+
+def regrid_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of 64 cut to 60, closed up and dealt to a grid of 100."""
+    cut = blocks.slice_block(tables.blocks(spark, sf_dir), 2, 60).withColumn("offset", F.col("block_idx") * 60)
+    return blocks.to_samples(blocks.regrid(cut, 100))
+
+
 QUERIES: dict[str, Query] = {
+    "true_peak": true_peak,
+    "true_peak_long": _signal(lambda df: blocks.true_peak_long(df), digits=9),
+    "k_weight": k_weight,
+    "spectrogram": spectrogram,
+    "spectral_round_trip": spectral_round_trip,
+    "loudness_report": loudness_report,
+    "loudness_normalize": lambda spark, sf_dir: blocks.to_samples(reports.loudness_normalize(blocks.from_samples(tables.signal(spark, sf_dir), 128), RATE)),
+    "true_peak_normalize": lambda spark, sf_dir: blocks.to_samples(reports.true_peak_normalize(blocks.from_samples(tables.signal(spark, sf_dir), 128))),
+    "regrid_blocks": regrid_blocks,
+    "sliding_extreme": lambda spark, sf_dir: blocks.to_samples(blocks.sliding_extreme(blocks.from_samples(tables.signal(spark, sf_dir), 64), 20)),
     "peak_normalize_waveform": peak_normalize_waveform,
     "gain": _signal(lambda df: samples.gain(df, 6.0), digits=9),
     "invert": _signal(samples.invert),
@@ -193,7 +238,25 @@ _SHORT = """short as (select track, gate, -0.691 + 10 * log10(greatest(power, 1e
 over70 as (select * from short where lufs >= -70), rel as (select track, 10 * log10(avg(pow(10, lufs / 10))) - 20 as least_ from over70 group by 1),
 good as (select o.* from over70 o join rel using (track) where lufs >= least_)"""
 
+_PEAK = SIG + """, tail as (select track, channel, max(frame) + unnest(generate_series(1, 11)) as frame, 0.0 as value from sig group by track, channel),
+lagged as (select track, value, """ + ", ".join(f"lag(value, {k}, 0) over w as v{k}" for k in range(12)) + """ from (select * from sig union all select * from tail) window w as (partition by track, channel order by frame))
+select track, round(max(greatest(abs(value), """ + ", ".join("abs(" + " + ".join(f"v{k} * {tap}" for k, tap in enumerate(phase)) + ")" for phase in blocks.PHASES) + """)), 9) as true_peak from lagged group by track"""
+_BLK = "blk as (select cast(label as bigint) as track, 64 * (row_number() over (partition by label order by vec_id) - 1) as o, embedding from embeddings), s as (select track, o + i as frame, embedding[i + 1]::double as value from blk, generate_series(0, 63) t(i))"
+_K = "1.53512485958697 * v - 2.69169618940638 * x1 + 1.19839281085285 * x2 + 1.69065929318241 * y1 - 0.73248077421585 * y2"
+
 ORACLES: dict[str, str] = {
+    "true_peak": f"with {_PEAK}",
+    "true_peak_long": f"with {_PEAK}",
+    "k_weight": f"""with recursive {SIG}, f(track, frame, x1, x2, y1, y2, z1, z2) as (select distinct track, -1::bigint, 0.0::double, 0.0::double, 0.0::double, 0.0::double, 0.0::double, 0.0::double from rows
+union all select track, frame, v, x1, y, y1, y - 2 * y1 + y2 + 1.99004745483398 * z1 - 0.99007225036621 * z2, z1 from
+  (select f.track, r.frame, cast(r.l as double) as v, {_K.replace('v', 'cast(r.l as double)').replace('x1', 'f.x1').replace('x2', 'f.x2').replace('y1', 'f.y1').replace('y2', 'f.y2')} as y, f.x1, f.x2, f.y1, f.y2, f.z1, f.z2 from f join rows r on r.track = f.track and r.frame = f.frame + 1))
+select track, 0 as channel, frame, round(z1, 6) as value from f where frame >= 0""",
+    "spectrogram": f"""with {_BLK}, n as (select track, max(frame) + 1 as n from s group by 1), fr as (select track, unnest(generate_series(0, greatest(0, (n - 64) // 16 + 1) - case when n > greatest(0, (n - 64) // 16 + 1) * 16 then 0 else 1 end)) as k from n),
+x as (select track, k, frame - k * 16 as i, value * 0.5 * (1 - cos(2 * pi() * (frame - k * 16) / 64)) as v from fr join s using (track) where frame between k * 16 and k * 16 + 63)
+select track, 0 as channel, k as stft_frame, b as band, round(sqrt(pow(sum(v * cos(2 * pi() * b * i / 64)), 2) + pow(sum(v * sin(2 * pi() * b * i / 64)), 2)) / 32, 6) as magnitude from x, generate_series(0, 32) t(b) group by track, k, b""",
+    "spectral_round_trip": f"with {_BLK}, n as (select track, max(frame) as n from s group by 1) select track, frame, round(value, 5) + 0.0 as value from s join n using (track) where frame >= 64 and frame <= n - 64",
+    "regrid_blocks": f"with {_BLK} select track, 0 as channel, frame // 64 * 60 + frame % 64 - 2 as frame, value from s where frame % 64 between 2 and 61",
+    "sliding_extreme": f"with {SIG} select track, channel, frame, max(value) over (partition by track, channel order by frame rows between 20 preceding and 20 following) as value from sig",
     "peak_normalize_waveform": f"with {SIG}, top as (select track, max(abs(value)) as m from sig group by 1) select track, channel, cast(floor(frame / 50.0) as bigint) as point, least(1, min(value * f)) as min, greatest(-1, max(value * f)) as max from sig join (select track, case when m > 0 then 1 / m else 1 end as f from top) using (track) group by 1, 2, 3",
     "gain": f"with {SIG} select track, channel, frame, round(value * pow(10, 6 / 20.0), 9) as value from sig",
     "invert": f"with {SIG} select track, channel, frame, -value as value from sig",
