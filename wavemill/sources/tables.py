@@ -36,7 +36,7 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def live(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").select(F.col("user_id").alias("track"), "ts", "value", F.col("event_type").alias("kind"), "event_id")
+    return read(spark, sf_dir, "events").select(F.col("user_id").alias("track"), F.col("ts").cast("timestamp").alias("ts"), "value", F.col("event_type").alias("kind"), "event_id")
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
