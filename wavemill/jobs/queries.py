@@ -11,6 +11,7 @@ from ..functions import levels
 from ..operators import blocks, intervals, loudness, samples
 from ..sources import tables
 from ..sources.tables import RATE
+from ..streaming import live
 from . import reports
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -162,7 +163,22 @@ def regrid_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.to_samples(blocks.regrid(cut, 100))
 
 
+def _live(op: Callable[[DataFrame], DataFrame]) -> Query:
+    """The table's result of what runs on a stream too; times as text, whatever the session's zone."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = op(tables.live(spark, sf_dir))
+        return out.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c, t in out.dtypes if t == "timestamp"})
+
+    return query
+
+
 QUERIES: dict[str, Query] = {
+    "live_waveform": _live(lambda df: live.waveform(df, "1 hour")),
+    "live_gates": _live(lambda df: live.gates(df, "2 hours", "30 minutes").withColumn("power", F.round("power", 6))),
+    "live_activity": _live(lambda df: live.activity(df, 1.0, "90 minutes")),
+    "live_histogram": _live(lambda df: live.fine_histogram(df, 0.5)),
+    "live_last_finished": _live(lambda df: live.last_finished(df, "purchase")),
     "true_peak": true_peak,
     "true_peak_long": _signal(lambda df: blocks.true_peak_long(df), digits=9),
     "k_weight": k_weight,
@@ -245,6 +261,11 @@ _BLK = "blk as (select cast(label as bigint) as track, 64 * (row_number() over (
 _K = "1.53512485958697 * v - 2.69169618940638 * x1 + 1.19839281085285 * x2 + 1.69065929318241 * y1 - 0.73248077421585 * y2"
 
 ORACLES: dict[str, str] = {
+    "live_waveform": "select user_id as track, strftime(time_bucket(interval '1 hour', ts), '%Y-%m-%d %H:%M:%S') as start, min(value) as min, max(value) as max from events group by 1, 2",
+    "live_gates": "with g as (select user_id as track, value, time_bucket(interval '30 minutes', ts) - k * interval '30 minutes' as s, ts from events, generate_series(0, 3) t(k)) select track, strftime(s, '%Y-%m-%d %H:%M:%S') as start, round(sum(value * value), 6) as power, count(*) as n from g where ts < s + interval '2 hours' group by 1, 2",
+    "live_activity": "with e as (select user_id as track, ts, case when ts - lag(ts) over w < interval '90 minutes' then 0 else 1 end as new from events where value > 1 window w as (partition by user_id order by ts)), s as (select *, sum(new) over (partition by track order by ts) as k from e) select track, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as start, count(*) as n from s group by track, k",
+    "live_histogram": "select user_id as track, cast(floor(abs(value) / 0.5) as bigint) as bucket, count(*) as n from events group by 1, 2",
+    "live_last_finished": "select user_id as track, strftime(ts, '%Y-%m-%d %H:%M:%S') as finished_at, value from events where event_type = 'purchase' qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1",
     "true_peak": f"with {_PEAK}",
     "true_peak_long": f"with {_PEAK}",
     "k_weight": f"""with recursive {SIG}, f(track, frame, x1, x2, y1, y2, z1, z2) as (select distinct track, -1::bigint, 0.0::double, 0.0::double, 0.0::double, 0.0::double, 0.0::double, 0.0::double from rows
