@@ -68,3 +68,12 @@ def test_parts_of_a_text_do_not_matter():
     text = ("wörd and\tmore\x0b " * 500).encode()
     whole = minhash.word_hashes(text)
     assert len(whole) == 1500 and all((minhash.word_hashes(text, n) == whole).all() for n in (1, 10, 1000))
+
+
+def test_joined_texts_hash_as_one():
+    rng = random.Random(6)
+    for _ in range(3000):
+        a, b = ("".join(rng.choice("ab é\n") for _ in range(rng.randrange(12))).encode() for _ in range(2))
+        i, j = rng.randrange(len(a) + 1), rng.randrange(len(b) + 1)
+        joined = minhash.joined_hashes(a[:i], minhash.words(a), b[:j], minhash.words(b))
+        assert joined.tolist() == minhash.word_hashes(a[:i] + b[:j]).tolist(), (a[:i], b[:j])

@@ -9,6 +9,7 @@ is corrected for bins that agree in these bits by chance.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -50,7 +51,12 @@ IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def word_hashes(text: bytes, size: int = 1 << 18) -> np.ndarray:
-    """A 64-bit hash of each word, made from parts of the text that end at white space."""
+    """A 64-bit hash of each word."""
+    return words(text, size)[0]
+
+
+def words(text: bytes, size: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and end of each word, made from parts of the text that end at white space."""
     found, start = [], 0
     while start < len(text):
         stop = start + size
@@ -67,9 +73,24 @@ def word_hashes(text: bytes, size: int = 1 << 18) -> np.ndarray:
             offsets = np.concatenate([[0], np.cumsum(lengths)[:-1]])
             place = np.arange(len(chars)) - np.repeat(offsets, lengths)
             sums = np.add.reduceat(chars * powers(min(int(lengths.max()), 1 << 16))[place & 0xFFFF], offsets)
-            found.append(mix(sums + lengths.astype(np.uint64) * np.uint64(BASE)))
+            found.append((mix(sums + lengths.astype(np.uint64) * np.uint64(BASE)), begins + start, ends + start))
         start = stop
-    return np.concatenate(found) if found else np.empty(0, np.uint64)
+    if not found:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    return found[0] if len(found) == 1 else tuple(np.concatenate(part) for part in zip(*found))
+
+
+def joined_hashes(body: bytes, own: tuple, head: bytes, other: tuple) -> np.ndarray:
+    """The word hashes of body + head, where body begins the text of `own` and head that of `other`.
+
+    Only what stands at the seam and at the end of head is hashed anew.
+    """
+    whole = int(np.searchsorted(own[2], len(body)))  # words of body with white space behind them
+    first = int(np.searchsorted(other[1], 0, side="right"))  # a word at head's very start belongs to the seam
+    last = max(first, int(np.searchsorted(other[2], len(head), side="right")))
+    seam = body[own[2][whole - 1] if whole else 0 :] + head[: other[2][0] if first else 0]
+    rest = head[other[1][last] :] if last < len(other[1]) and other[1][last] < len(head) else b""
+    return np.concatenate([own[0][:whole], words(seam)[0], other[0][first:last], words(rest)[0]])
 
 
 def shingle_hashes(words: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
@@ -83,25 +104,34 @@ def shingle_hashes(words: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
     return out
 
 
+@functools.cache
+def probes(bins: int, block: int, width: int = 64) -> np.ndarray:
+    """For each bin the bins that its own sequence of hashes leads to, a stretch of it."""
+    shift = np.uint64(64 - (bins.bit_length() - 1))
+    attempts = np.arange(block * width + 1, (block + 1) * width + 1, dtype=np.uint64)
+    own = np.arange(bins, dtype=np.uint64)[:, None] * np.uint64(BASE)
+    return (mix(own + attempts) >> shift).astype(np.int64)
+
+
 def sketch(hashes: np.ndarray, bins: int = BINS, bits: int = BITS) -> bytes:
     """The packed fingerprint: `bits` bits for each bin; empty for no hashes."""
     if not len(hashes):
         return b""
     shift = np.uint64(64 - (bins.bit_length() - 1))
     low = np.full(bins, np.iinfo(np.uint64).max, np.uint64)
+    hashes = np.sort(hashes)  # by bin, then by value
     at = (hashes >> shift).astype(np.int64)
-    order = np.lexsort((hashes, at))
-    first = np.concatenate([[True], at[order][1:] != at[order][:-1]])
-    low[at[order][first]] = mix(hashes[order][first])
+    first = np.concatenate([[True], at[1:] != at[:-1]])
+    low[at[first]] = mix(hashes[first])
     full = np.zeros(bins, bool)
     full[at] = True
-    empty, attempt = np.flatnonzero(~full), 0
+    empty, block = np.flatnonzero(~full), 0
     while len(empty):
-        attempt += 1
-        to = (mix(empty.astype(np.uint64) * np.uint64(BASE) + np.uint64(attempt)) >> shift).astype(np.int64)
-        got = full[to]
-        low[empty[got]] = low[to[got]]
-        empty = empty[~got]
+        ways = probes(bins, block)[empty]
+        hit = full[ways]
+        at, got = hit.argmax(1), hit.any(1)
+        low[empty[got]] = low[ways[got, at[got]]]
+        empty, block = empty[~got], block + 1
     values = (low & np.uint64((1 << bits) - 1)).astype(np.uint8)
     return np.packbits((values[:, None] >> np.arange(bits, dtype=np.uint8)) & 1).tobytes()
 
@@ -175,14 +205,15 @@ def with_next(df: DataFrame, columns: list[str], by: str = "doc_id", text: str =
         for batch in batches:
             rows, out = batch.select([*columns, "_text", "_range", "_ghost"]), []
             for row in (rows.slice(i, 1).to_pylist()[0] for i in range(rows.num_rows)):
-                mine = fingerprint(row["_text"])
+                found = words(row["_text"].encode())
+                mine = sketch(shingle_hashes(found[0]))
                 if held is not None and held[0]["_range"] == row["_range"]:
-                    last, fp = held
-                    body, n = last["_text"], len(last["_text"])
-                    edited = body[: n - n // 2] + row["_text"][: n // 2]
-                    other = fingerprint(edited)
-                    out.append({c: last[c] for c in columns} | {"n_chars": n, "edited_sha256": hashlib.sha256(edited.encode()).hexdigest(), "fingerprint": fp.hex(), "edited_fingerprint": other.hex(), "near_edited": likeness(fp, other), "near_next": likeness(fp, mine)})
-                held = None if row["_ghost"] else (row, mine)
+                    last, fp, before = held
+                    text, n = last["_text"], len(last["_text"])
+                    body, head = text[: n - n // 2].encode(), row["_text"][: n // 2].encode()
+                    other = sketch(shingle_hashes(joined_hashes(body, before, head, found)))
+                    out.append({c: last[c] for c in columns} | {"n_chars": n, "edited_sha256": hashlib.sha256(body + head).hexdigest(), "fingerprint": fp.hex(), "edited_fingerprint": other.hex(), "near_edited": likeness(fp, other), "near_next": likeness(fp, mine)})
+                held = None if row["_ghost"] else (row, mine, found)
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=arrow)
         # every range ends with a ghost, so nothing waits here
