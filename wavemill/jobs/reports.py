@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import levels
 from ..operators import blocks, loudness, samples
+from ..operators.lineage import settle
 
 
 def k_weighted_power(df: DataFrame) -> DataFrame:
@@ -15,8 +16,11 @@ def k_weighted_power(df: DataFrame) -> DataFrame:
 
 
 def loudness_report(df: DataFrame, rate: float, buckets: int = 1024) -> DataFrame:
-    """One row for each track: integrated loudness, range, true peak, peak and median magnitude."""
-    power, long = k_weighted_power(df), blocks.to_samples(df)
+    """One row for each track: integrated loudness, range, true peak, peak and median magnitude.
+
+    The blocks are read several times: pass a table, or settle() what is costly to make.
+    """
+    power, long = settle(k_weighted_power(df)), blocks.to_samples(df)
     lra = loudness.loudness_range(loudness.short_term(loudness.with_tail(power, rate), rate))
     median = samples.histogram_percentile(samples.histogram(long, buckets), 50, buckets).withColumnRenamed("level", "median")
     out = loudness.integrated(power, rate).join(lra, "track", "left").join(blocks.true_peak(df), "track").join(samples.peak(long), "track").join(median, "track", "left")

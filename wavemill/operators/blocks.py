@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import settle
+
 KEY = ["track", "channel", "block_idx"]
 BLOCK = 65_536
 #: Interpolation by four, twelve taps a phase, of the broadcast loudness standard (fixed values);
@@ -237,7 +239,9 @@ def flipped(df: DataFrame) -> DataFrame:
 
 
 def zero_phase(df: DataFrame, sections: Sequence[tuple[Sequence[float], Sequence[float]]]) -> DataFrame:
-    return flipped(lti_filter(flipped(lti_filter(df, sections)), sections))
+    """Forward, then backward; what lies between is written once, as each pass reads its input several times."""
+    back = flipped(settle(lti_filter(df, sections)))
+    return flipped(settle(lti_filter(settle(back), sections)))
 
 
 def hann(n: int) -> np.ndarray:
