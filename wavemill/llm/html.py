@@ -305,8 +305,13 @@ def train(pages: list[str], epochs: int = 16, seed: int = 1, most_blocks: int =
 
 def fit(pages: DataFrame, html: str = "html", sample: int = SAMPLE_PAGES) -> Labeller:
     """Trains on at most `sample` pages, chosen by a hash, each of at most SAMPLE_CHARS characters."""
-    fitting = pages.filter(F.length(html) <= SAMPLE_CHARS).select(html, F.xxhash64(html).alias("_h")).orderBy("_h").limit(sample)
-    return train([r[0] for r in fitting.collect()])
+    hashed = pages.filter(F.length(html) <= SAMPLE_CHARS).select(html, F.xxhash64(html).alias("_h"))
+    # the hashes alone are ordered, and copies count once, so few rows reach the driver whatever the table's size
+    last = hashed.select("_h").distinct().orderBy("_h").limit(sample).agg(F.max("_h")).first()[0]
+    if last is None:
+        return train([])
+    rows = hashed.filter(F.col("_h") <= last).groupBy("_h").agg(F.first(html).alias("page")).collect()
+    return train([r.page for r in sorted(rows, key=lambda r: r["_h"])])
 
 
 def main_text(found: list[Block], p: np.ndarray) -> str:
