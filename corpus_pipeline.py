@@ -12,9 +12,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavemill.llm import bpe, lines, mixing, rules, simhash
+from wavemill.llm import bpe, jaccard, lines, mixing, rules
 from wavemill.llm.common import cut_lineage, table
 
+#: Documents of this Jaccard similarity or more are near-duplicates.
+LEAST_ALIKE = 0.8
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -35,10 +38,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group, and of rows with the same doc_id, one document stays: that of the lowest doc_id.
 
+    Groups are linked by a Jaccard similarity of five-word shingles of LEAST_ALIKE or more.
     Rows without a doc_id, which no other row could stand for, stay.
     """
-    marked = cut_lineage(simhash.fingerprints(docs.select("doc_id", "text")).drop("text"))
-    lowest = simhash.groups(marked).filter("doc_id = component_id").select("doc_id").distinct()
+    grouped = jaccard.groups(docs.select("doc_id", "text"), LEAST_ALIKE)
+    lowest = grouped.filter("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(lowest, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.select(docs.columns).unionByName(docs.filter("doc_id is null"))
 
