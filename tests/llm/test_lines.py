@@ -67,3 +67,20 @@ def test_nulls_repeats_and_clashes(spark):
     assert (False, 1, None, 0, 0) in got and (False, 2, "", 1, 0) in got and (True, 0, "a b c d e", 1, 0) in got
     assert got.count((False, 3, "\nkeep", 4, 2)) == 2 and (False, 4, " a b c d e f \nz", 2, 0) in got
     assert lines.dedup(df.limit(0)).count() == 0
+
+
+def test_every_line_goes_with_its_copies_and_edits_need_length(spark, sf_dir):
+    long = "\u4e00\u4e8c\u4e09\u56db" * 6
+    docs = [(1, f"All rights reserved.\n\nLa.\n{long}\na b c d e"), (2, f"All rights reserved.\n\nGa.\n{long}x\na b c d f"), (3, f"keep\nLa.\n \n{long}\nGa.\n ")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in lines.dedup(df, every=True).collect()}
+    assert got == {1: docs[0][1], 2: "\nGa.", 3: "keep\n \n "}
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    seen, copies = set(), 0
+    for r in table.orderBy("doc_id").collect():
+        for line in (r.text or "").split("\n"):
+            copies += bool(line.strip(" \t\n\v\f\r")) and line in seen
+            seen.add(line)
+    kept = [x for r in lines.dedup(table, every=True).collect() for x in (r.text or "").split("\n") if x.strip(" \t\n\v\f\r")]
+    assert len(kept) == len(set(kept)) and copies
+    assert op10_line_dedup(spark, sf_dir).agg({"n_removed": "sum"}).first()[0] >= copies

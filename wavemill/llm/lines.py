@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from .common import cut_lineage, once
 
-#: Lines of fewer words stay, however often they come.
+#: Lines of fewer words stay, however often they come, unless `every` line is asked for.
 MIN_WORDS = 5
+#: If `every` line is asked for, lines of so many characters are compared by edits too.
+EDIT_CHARS = 20
 #: Keys under which more lines stand are refined before lines are compared two by two.
 CROWD = 64
 #: Segments of the first two levels (threshold 1 plus one, then finer); the third is by character.
@@ -37,8 +39,14 @@ def lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFram
     return split.withColumn("size", once(F.length("line"))).withColumn("h", F.xxhash64("line", "size"))
 
 
-def eligible() -> Column:
-    return F.col("line").rlike(rf"(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){{{MIN_WORDS - 1}}}[^\x20\x09-\x0D]")
+def eligible(every: bool = False) -> Column:
+    """Whether copies of a line go; `every`: of any line that isn't blank."""
+    return F.col("line").rlike(rf"(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){{{0 if every else MIN_WORDS - 1}}}[^\x20\x09-\x0D]")
+
+
+def editable(every: bool = False) -> Column:
+    """Whether a line goes or stands for others that are one edit away."""
+    return eligible() | (eligible(True) & (F.col("size") >= EDIT_CHARS)) if every else eligible()
 
 
 def _key(length: Column, segment: Column, segments: Column, drop: int) -> Column:
@@ -63,11 +71,11 @@ def entries(found: DataFrame, most: int) -> DataFrame:
     return found.select("h", F.explode(both).alias("_")).select("_.key", "h", "_.other")
 
 
-def _texts(df: DataFrame, ids: DataFrame) -> DataFrame:
+def _texts(df: DataFrame, ids: DataFrame, every: bool = False) -> DataFrame:
     """(h, line, size, first) of the lines whose h is in ids."""
     ids = cut_lineage(ids.select("h").distinct())
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    found = df.filter(eligible()).join(ids, "h", "left_semi")
+    found = df.filter(editable(every)).join(ids, "h", "left_semi")
     return found.groupBy("h").agg(F.min("line").alias("line"), F.min("size").alias("size"), F.min(F.struct("doc_id", "row", "no")).alias("first"))
 
 
@@ -88,9 +96,9 @@ def _by_character(texts: DataFrame) -> DataFrame:
     return rows.join(lows, "key").filter(against < F.col("first")).select("h").distinct()
 
 
-def later(df: DataFrame) -> DataFrame:
+def later(df: DataFrame, every: bool = False) -> DataFrame:
     """(h) of the distinct lines one edit away from a line that comes first before them."""
-    good = df.filter(eligible())
+    good = df.filter(editable(every))
     keyed = entries(good.select("h", "line", "size"), SEGMENTS[0])
     found = None
     for level in range(len(SEGMENTS)):
@@ -100,7 +108,7 @@ def later(df: DataFrame) -> DataFrame:
         few = shared.filter(F.col("n") <= CROWD)
         a, b = few.filter("not other").select("key", F.col("h").alias("a")), few.select("key", F.col("h").alias("b"), "other")
         pairs = a.join(b, "key").filter("a <> b and (other or a < b)").select("a", "b").distinct()
-        texts = cut_lineage(_texts(df, shared))
+        texts = cut_lineage(_texts(df, shared, every))
         one = texts.select(F.col("h").alias("a"), F.col("line").alias("line_a"), F.col("first").alias("first_a"))
         two = texts.select(F.col("h").alias("b"), F.col("line").alias("line_b"), F.col("first").alias("first_b"))
         near = pairs.join(one, "a").join(two, "b").filter(F.levenshtein("line_a", "line_b", 1).between(0, 1))
@@ -112,9 +120,12 @@ def later(df: DataFrame) -> DataFrame:
     return found.union(_by_character(crowded)).distinct()
 
 
-def dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", every: bool = False) -> DataFrame:
     """Leaves out of each text the lines of MIN_WORDS words or more that came before.
 
+    every: any line that isn't blank, however short, goes if a copy came before; lines of
+    EDIT_CHARS characters or MIN_WORDS words also if a line one edit away did.
+
     A line came before if it, or a line one edit away, stands in a document of lower
     doc_id (null lowest) or further up in the same one. The texts keep their order of
     lines; a text all of whose lines came before becomes empty, null stays null, and no
@@ -123,10 +134,10 @@ def dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFram
     """
     df = df.drop("n_lines", "n_removed")
     names = df.columns
-    every = lines(df, text, doc_id)
-    good = every.filter(eligible()).select("doc_id", "row", "no", "h")
+    found = lines(df, text, doc_id)
+    good = found.filter(eligible(every)).select("doc_id", "row", "no", "h")
     first = good.groupBy("h").agg(F.min(F.struct("doc_id", "row", "no")).alias("first"))
-    gone = later(every).withColumn("gone", F.lit(True))
+    gone = later(found, every).withColumn("gone", F.lit(True))
     state = first.join(gone, "h", "left").select("h", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
     out = good.join(state, "h").filter(F.col("gone") | ~F.col("first").eqNullSafe(F.struct("doc_id", "row", "no")))
     out = out.groupBy("row").agg(F.array_sort(F.collect_set("no")).alias("_gone"))

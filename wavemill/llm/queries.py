@@ -38,7 +38,7 @@ from split s left join (select * from fits where k = 1) f on f.host = s.host and
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), every=True)
     return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
 
 
