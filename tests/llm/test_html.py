@@ -79,6 +79,17 @@ def test_blocks_of_odd_markup():
     assert len(deep) == 1 and ".content" in deep[0].path
 
 
+def test_custom_elements_and_self_closed_svg_keep_what_follows():
+    text = lambda page: [b.text for b in html.blocks(page)]
+    for name in ("svg-icon", "object-view", "template-card", "script-loader", "style.x", "iframe:y"):
+        assert text(f'<p>one</p><{name} name="x"></{name}><p>two</p>') == ["one", "two"]
+    for svg in ('<svg class="i"/>', "<svg/>", "<SVG title='a > b' />", "<svg\nwidth='1'/>"):
+        assert text(f"<p>one</p>{svg}<p>two</p>") == ["one", "two"]
+    for raw in ("<svg>x</svg>", "<svg a='/>'>x<path d=''/>y</svg >", "<script/>x</script>", "<style>x</style>", "<svg a='1'><svg/>x</svg>"):
+        assert text(f"<p>one</p>{raw}<p>two</p>") == ["one", "two"]
+    assert text("<p>one</p><script>x") == text("<p>one</p><svg a='1'>x") == ["one"]
+
+
 def test_long_pages_and_batches_do_not_matter(model, pages):
     one = [html.vectors(html.blocks(p)) for p in pages[:40]]
     one.append(html.vectors(html.blocks("<article>" + "<p>word and word</p>" * 3000 + "</article>")))

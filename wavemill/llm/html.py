@@ -28,7 +28,8 @@ WIDTH = PATH + WORDS + PLAIN
 #: A block's path is that of its nearest so many block elements.
 DEPTH = 64
 
-#: Elements that begin a block, that have no end tag, and whose content is no text.
+#: Elements that begin a block, that have no end tag, and whose content is no text
+#: (to their end tag; svg may also end itself).
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = "script|style|noscript|template|svg|iframe|object|textarea"
@@ -36,7 +37,7 @@ RAW = "script|style|noscript|template|svg|iframe|object|textarea"
 CLOSES = ({"p"}, {"li"}, {"td", "th"}, {"tr"}, {"dd", "dt"}, {"option"})
 
 TAG = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[|\]\]>|<({RAW})\b.*?(?:</\1\s*>|\Z)|<[!?][^<>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^\"'<>]|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z][^<>]*>",
+    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[|\]\]>|<svg(?=[\s/])(?:[^\"'<>]|\"[^\"]*\"|'[^']*')*+(?<=/)>|<({RAW})(?=[\s/>]).*?(?:</\1\s*>|\Z)|<[!?][^<>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^\"'<>]|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z][^<>]*>",
     re.S | re.I,
 )
 NAMED = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
