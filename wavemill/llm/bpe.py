@@ -5,8 +5,12 @@ sequence. A sequence is that one exactly when each two neighbours, encoded
 together, stay the same two tokens. This makes encoding a local property: a
 non-deterministic transducer keeps every possible start of the current token
 (its trie node) with the token before it, and its subsets are determinised when
-first met. A token is emitted as soon as all live hypotheses agree on it, which
-is at most the longest token's length behind the read position.
+first met. Short pieces run through it many at a time (`Lockstep`): at each step the
+pieces' states move together, and transitions that none has made before are determinised
+in bulk; which token ends at a place is known from the state, and the piece's tokens are
+read back from its end. Long pieces run alone (`Transducer.encode_piece`); there a token
+is emitted as soon as all live hypotheses agree on it, which is at most the longest
+token's length behind the read position.
 
 Decoding is the inverse: a machine over tokens whose state is the unfinished
 UTF-8 sequence (0 to 3 bytes), so that text is emitted while ids arrive.
@@ -19,6 +23,7 @@ import contextlib
 import gc
 import heapq
 from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Bounds of the memos; when one is full it is emptied, and results stay the same.
-MAX_STATES, MAX_WORDS, MAX_PAIRS = 100_000, 350_000, 800_000
+MAX_STATES, MAX_WORDS, MAX_PAIRS = 200_000, 200_000, 1_000_000
+#: Pieces of fewer characters run many at a time and are remembered.
+SHORT = 64
+#: Texts are cut into this many pieces at a time.
+PIECES = 1 << 19
 
 REPLACEMENT = "�"
 
@@ -86,13 +95,181 @@ class State:
         self.next: dict[int, tuple[tuple[int, ...], State]] = {}
 
 
+class Known:
+    """A growing map from numbers to numbers as two sorted arrays, the smaller one for what came last."""
+
+    def __init__(self) -> None:
+        self.parts = [(np.empty(0, np.int64), np.empty(0, np.int32)), (np.empty(0, np.int64), np.empty(0, np.int32))]
+
+    def __len__(self) -> int:
+        return sum(len(keys) for keys, _ in self.parts)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The numbers of the keys; -1 where there is none yet."""
+        out = np.full(len(keys), -1, np.int32)
+        for have, values in self.parts:
+            if len(have):
+                at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+                hit = have[at] == keys
+                out[hit] = values[at[hit]]
+        return out
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Adds keys that aren't there yet."""
+        large, small = self.parts
+        small = self._merged(small, (keys, values))
+        if len(small[0]) > 4096 + len(large[0]) // 8:
+            large, small = self._merged(large, small), (np.empty(0, np.int64), np.empty(0, np.int32))
+        self.parts = [large, small]
+
+    @staticmethod
+    def _merged(a, b):
+        keys, values = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]]).astype(np.int32)
+        order = np.argsort(keys, kind="stable")
+        return keys[order], values[order]
+
+
+class Lockstep:
+    """The transducer for many short pieces at once.
+
+    A state is a set of hypotheses, packed as (token before + 1) << 32 | trie node; state 0
+    is the piece's start. `ends` tells the token that ends where the state is reached, -1
+    for none. At most MAX_STATES states and MAX_PAIRS pairs are held, then they are dropped.
+    """
+
+    def __init__(self, transducer: Transducer):
+        self.transducer = transducer
+        keys = np.fromiter(transducer.trie, np.int64, len(transducer.trie))
+        moves = np.array(list(transducer.trie.values()), np.int32).reshape(-1, 2)
+        order = np.argsort(keys)
+        self.trie, self.nodes, self.tokens = keys[order], moves[order, 0], moves[order, 1]
+        self.inner = np.zeros(len(transducer.trie) + 1, bool)  # nodes that lead on
+        self.inner[keys >> 8] = True
+        self.sizes = np.zeros(max(transducer.tokens, default=0) + 1, np.int32)
+        for rank, token in transducer.tokens.items():
+            self.sizes[rank] = len(token)
+        self.pairs = Known()
+        self.clear()
+
+    def clear(self) -> None:
+        self.ids: dict[bytes, int] = {}
+        self.moves = Known()
+        self.hypotheses = np.zeros(1024, np.int64)
+        self.bounds = np.zeros(1024, np.int64)
+        self.ends = np.full(1024, -1, np.int32)
+        self.states, self.bounds[1] = 1, 1  # the start: no token before, the trie's root
+
+    def fits(self, pairs: np.ndarray) -> np.ndarray:
+        """Whether the right token of each pair may follow the left one."""
+        out = self.pairs.get(pairs)
+        unknown = np.unique(pairs[out < 0])
+        if len(unknown):
+            if len(self.pairs) + len(unknown) > MAX_PAIRS:
+                self.pairs = Known()
+                unknown = np.unique(pairs)
+            may = self.transducer.may_follow
+            made = np.fromiter((may((p >> 32) - 1, p & 0xFFFFFFFF) for p in unknown.tolist()), np.int32, len(unknown))
+            self.pairs.put(unknown, made)
+            at = np.searchsorted(unknown, pairs)
+            at[at == len(unknown)] = 0
+            mine = unknown[at] == pairs
+            out[mine] = made[at[mine]]
+        return out > 0
+
+    def determinise(self, moves: np.ndarray) -> np.ndarray:
+        """The states that the moves (state << 8 | byte) lead to, new ones included."""
+        begin = self.bounds[moves >> 8]
+        n = self.bounds[(moves >> 8) + 1] - begin
+        owner = np.repeat(np.arange(len(moves)), n)
+        given = self.hypotheses[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + begin[owner]]
+        steps = (given & 0xFFFFFFFF) << 8 | moves[owner] & 255
+        at = np.minimum(np.searchsorted(self.trie, steps), len(self.trie) - 1)
+        alive = self.trie[at] == steps
+        at, owner, last = at[alive], owner[alive], given[alive] >> 32
+        node, token = self.nodes[at].astype(np.int64), self.tokens[at].astype(np.int64)
+        whole = np.flatnonzero(token >= 0)
+        whole = whole[self.fits(last[whole] << 32 | token[whole])]
+        on = self.inner[node]
+        who = np.concatenate([owner[on], owner[whole]])
+        made = np.concatenate([last[on] << 32 | node[on], (token[whole] + 1) << 32])
+        order = np.argsort(who, kind="stable")
+        made = made[order]
+        ends = np.full(len(moves), -1, np.int32)
+        ends[owner[whole]] = token[whole]
+        stops = np.cumsum(np.bincount(who, minlength=len(moves)))
+        out, ids, data, fresh, start = [], self.ids, made.tobytes(), [], 0
+        for i, stop in enumerate((8 * stops).tolist()):
+            state = ids.setdefault(data[start:stop], self.states + len(fresh))
+            if state == self.states + len(fresh):
+                fresh.append(i)
+            out.append(state)
+            start = stop
+        if fresh:
+            sizes = np.diff(stops, prepend=0)[fresh]
+            rows = np.repeat(stops[fresh] - sizes, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            used, more = self.bounds[self.states], self.states + len(fresh)
+            self.hypotheses = _room(self.hypotheses, used + len(rows))
+            self.bounds, self.ends = _room(self.bounds, more + 1), _room(self.ends, more + 1)
+            self.hypotheses[used : used + len(rows)] = made[rows]
+            self.bounds[self.states + 1 : more + 1] = used + np.cumsum(sizes)
+            self.ends[self.states : more] = ends[fresh]
+            self.states = more
+        return np.array(out, np.int32)
+
+    def encode(self, pieces: list[bytes]) -> list[tuple[int, ...] | None]:
+        """The tokens of each piece; None where merges alone don't make the vocabulary's tokens."""
+        if self.states > MAX_STATES:
+            self.clear()
+        order = sorted(range(len(pieces)), key=lambda i: -len(pieces[i]))
+        sizes = np.array([len(pieces[i]) for i in order], np.int64)
+        longest = int(sizes[0])
+        read = np.zeros((len(pieces), longest), np.uint8)
+        read[np.arange(longest) < sizes[:, None]] = np.frombuffer(b"".join(pieces[i] for i in order), np.uint8)
+        state, ends = np.zeros(len(pieces), np.int64), np.full((len(pieces), longest + 1), -1, np.int32)
+        for t in range(longest):
+            n = int(np.searchsorted(-sizes, -t, side="left"))  # pieces of more than t bytes
+            moves, back = np.unique(state[:n] << 8 | read[:n, t], return_inverse=True)
+            to = self.moves.get(moves)
+            new = np.flatnonzero(to < 0)
+            if len(new):
+                to[new] = self.determinise(moves[new])
+                self.moves.put(moves[new], to[new])
+            state[:n] = to[back]
+            ends[:n, t + 1] = self.ends[state[:n]]
+        rows, at, found = np.arange(len(pieces)), sizes.copy(), []
+        while len(rows):
+            token = ends[rows, at[rows]]
+            rows, token = rows[token >= 0], token[token >= 0]
+            found.append((rows, token))
+            at[rows] -= self.sizes[token]
+            rows = rows[at[rows] > 0]
+        rows, tokens = np.concatenate([r for r, _ in reversed(found)]), np.concatenate([t for _, t in reversed(found)])
+        tokens = tokens[np.argsort(rows, kind="stable")].tolist()
+        out: list[tuple[int, ...] | None] = [None] * len(pieces)
+        start = 0
+        for i, n, left in zip(order, np.bincount(rows, minlength=len(pieces)).tolist(), at.tolist()):
+            if not left:
+                out[i] = tuple(tokens[start : start + n])
+            start += n
+        return out
+
+
+def _room(array: np.ndarray, size: int) -> np.ndarray:
+    if size <= len(array):
+        return array
+    out = np.full(max(size, 2 * len(array)), -1, array.dtype)
+    out[: len(array)] = array
+    return out
+
+
 class Transducer:
     """Encodes byte pieces and texts; holds at most MAX_STATES states."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.split = regex.compile(pattern).findall
+        compiled = regex.compile(pattern)
+        self.split, self.iterate = compiled.findall, compiled.finditer
         self.trie: dict[int, tuple[int, int]] = {}  # node and byte -> node, token that ends there or -1
         nodes = 0
         for token, rank in ranks.items():
@@ -111,6 +288,7 @@ class Transducer:
         self.start = State(((-1, 0, ()),))
         self.states: dict[tuple, State] = {}
         self.fallbacks = 0
+        self.lockstep = Lockstep(self)
 
     def spine(self, token: int) -> tuple[list, list] | None:
         """The parts of a token at its left and its right end, smallest first, each with the rank
@@ -217,20 +395,75 @@ class Transducer:
                     return (*pending, reached[1])
         return None
 
-    def encode(self, text: str) -> list[int]:
-        words, out = self.words, []
-        for piece in self.split(text):
-            ids = words.get(piece)
-            if ids is None:
-                ids = self.older.get(piece) or self.encode_piece(piece.encode())
-                if len(piece) < 64:
-                    if len(words) >= MAX_WORDS:
-                        self.older, words = words, {}
-                        self.words = words
-                    words[piece] = ids
-            out += ids
+    def remember(self, pieces: Iterable[str]) -> dict[str, tuple[int, ...]]:
+        """The tokens of pieces that aren't among the words remembered; short ones are from now on."""
+        found: dict[str, tuple[int, ...]] = {}
+        short = []
+        for piece in dict.fromkeys(pieces):
+            if piece in self.older:
+                found[piece] = self.older[piece]
+            elif len(piece) < SHORT:
+                short.append(piece)
+            else:
+                found[piece] = self.encode_piece(piece.encode())
+        if short:
+            given = [p.encode() for p in short]
+            for piece, data, ids in zip(short, given, self.lockstep.encode(given)):
+                if ids is None:
+                    self.fallbacks += 1
+                    ids = tuple(merge_slowly(self.ranks, data))
+                found[piece] = ids
+        for piece, ids in found.items():
+            if len(piece) < SHORT:
+                if len(self.words) >= MAX_WORDS:
+                    self.older, self.words = self.words, {}
+                self.words[piece] = ids
+        return found
+
+    def _pieces(self, texts: Iterable[str]) -> Iterator[tuple[list[str], list[int]]]:
+        """Pieces, and how many belong to each text in turn (negative: the text goes on in what follows)."""
+        pieces, bounds = [], []
+        for text in texts:
+            if len(text) <= PIECES:
+                got = self.split(text)
+            else:
+                some = (m[0] for m in self.iterate(text))
+                while len(got := list(islice(some, PIECES))) == PIECES:
+                    yield [*pieces, *got], [*bounds, -PIECES]
+                    pieces, bounds = [], []
+            pieces += got
+            bounds.append(len(got))
+            if len(pieces) >= PIECES:
+                yield pieces, bounds
+                pieces, bounds = [], []
+        if bounds:
+            yield pieces, bounds
+
+    def encode_many(self, texts: Iterable[str]) -> list[np.ndarray]:
+        """The token ids of each text."""
+        out: list[np.ndarray] = []
+        held: list[np.ndarray] = []
+        for pieces, bounds in self._pieces(texts):
+            got = list(map(self.words.get, pieces))
+            missing = [i for i, ids in enumerate(got) if ids is None]
+            if missing:
+                found = self.remember(pieces[i] for i in missing)
+                for i in missing:
+                    got[i] = found[pieces[i]]
+            start = 0
+            for n in bounds:
+                part = np.fromiter(chain.from_iterable(got[start : start + abs(n)]), np.int32)
+                start += abs(n)
+                if n < 0:
+                    held.append(part)
+                else:
+                    out.append(np.concatenate([*held, part]) if held else part)
+                    held = []
         return out
 
+    def encode(self, text: str) -> list[int]:
+        return self.encode_many([text])[0].tolist()
+
 
 def sequence_length(lead: int) -> int:
     """Bytes of the UTF-8 sequence that starts with this byte; 0 if none does."""
@@ -290,8 +523,10 @@ class Decoder:
             yield REPLACEMENT
 
     def decode(self, ids: list[int]) -> str:
-        parts = [self.whole[i] for i in ids]
-        return "".join(self.stream(ids)) if None in parts else "".join(parts)  # type: ignore[arg-type]
+        try:
+            return "".join(map(self.whole.__getitem__, ids))  # type: ignore[arg-type]
+        except TypeError:  # a token that ends inside a character
+            return "".join(self.stream(ids))
 
 
 _made: dict[tuple, object] = {}
@@ -338,30 +573,60 @@ def _slices(batches: Iterable[pa.RecordBatch], size) -> Iterator[pa.RecordBatch]
         yield batch.slice(start)
 
 
+def _read(df: DataFrame, vocabulary: str):
+    """The vocabulary file's bytes, read by the driver and broadcast (about 1 MB, whatever the input)."""
+    with open(vocabulary, "rb") as file:
+        return df.sparkSession.sparkContext.broadcast(file.read())
+
+
+_IDS = pa.list_(pa.field("element", pa.int32(), nullable=False))
+
+
+def _encoded(machine: Transducer, column: pa.Array) -> pa.Array:
+    with _no_cycles():
+        out = machine.encode_many(value or "" for value in column.to_pylist())
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in out], dtype=np.int64)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *out])), type=_IDS)
+
+
+def _decoded(machine: Decoder, column: pa.Array) -> pa.Array:
+    flat, bounds = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    valid = column.is_valid().to_pylist()
+    return pa.array([machine.decode(flat[a:b].tolist()) if ok else "" for a, b, ok in zip(bounds[:-1], bounds[1:], valid)], pa.string())
+
+
+def _text_sizes(name: str):
+    return lambda b: pc.binary_length(b.column(b.schema.get_field_index(name))).fill_null(0).to_pylist()
+
+
 def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Adds `ids`, the token ids of the whole text, each match of the pattern encoded separately.
 
-    vocabulary: path of a .tiktoken file, read by the driver and broadcast (the
-    vocabulary's size is fixed, about 1 MB). A null or empty text has no ids. An
-    input column named like `ids` is replaced; other columns and repeated rows stay.
+    vocabulary: path of a .tiktoken file. A null or empty text has no ids. An input
+    column named like `ids` is replaced; other columns and repeated rows stay.
     """
-    with open(vocabulary, "rb") as file:
-        data = df.sparkSession.sparkContext.broadcast(file.read())
+    data = _read(df, vocabulary)
     source, schema = _plus(df, ids, T.ArrayType(T.IntegerType(), False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = _of(Transducer, data.value, pattern)
-        sizes = lambda b: pc.binary_length(b.column(b.schema.get_field_index(text))).fill_null(0).to_pylist()
-        for batch in _slices(batches, sizes):
-            offsets, out = [0], []
-            for value in batch.column(batch.schema.get_field_index(text)).to_pylist():
-                with _no_cycles():
-                    got = np.array(machine.encode(value or ""), np.int32)
-                out.append(got)
-                offsets.append(offsets[-1] + len(got))
-            values = pa.array(np.concatenate([np.empty(0, np.int32), *out]))
-            kind = pa.list_(pa.field("element", pa.int32(), nullable=False))
-            yield _with(batch, ids, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, type=kind))
+        for batch in _slices(batches, _text_sizes(text)):
+            yield _with(batch, ids, _encoded(machine, batch.column(batch.schema.get_field_index(text))))
+
+    return source.mapInArrow(run, schema)
+
+
+def round_trip(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    """Like encode, with `text` replaced by what the ids spell: both in one pass over the rows."""
+    data = _read(df, vocabulary)
+    source, schema = _plus(df, ids, T.ArrayType(T.IntegerType(), False))
+    at = schema.fieldNames().index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = _of(Transducer, data.value, pattern), _of(Decoder, data.value)
+        for batch in _slices(batches, _text_sizes(text)):
+            out = _with(batch, ids, _encoded(encoder, batch.column(batch.schema.get_field_index(text))))
+            yield out.set_column(at, text, _decoded(decoder, out.column(out.num_columns - 1)))
 
     return source.mapInArrow(run, schema)
 
@@ -371,18 +636,13 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "text")
 
     An input column named like `text` is replaced; other columns and repeated rows stay.
     """
-    with open(vocabulary, "rb") as file:
-        data = df.sparkSession.sparkContext.broadcast(file.read())
+    data = _read(df, vocabulary)
     source, schema = _plus(df, text, T.StringType())
+    sizes = lambda b: pc.multiply(pc.list_value_length(b.column(b.schema.get_field_index(ids))), 4).fill_null(0).to_pylist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = _of(Decoder, data.value)
-        sizes = lambda b: pc.multiply(pc.list_value_length(b.column(b.schema.get_field_index(ids))), 4).fill_null(0).to_pylist()
         for batch in _slices(batches, sizes):
-            column = batch.column(batch.schema.get_field_index(ids))
-            flat, bounds = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-            valid = column.is_valid().to_pylist()
-            out = [machine.decode(flat[a:b].tolist()) if ok else "" for a, b, ok in zip(bounds[:-1], bounds[1:], valid)]
-            yield _with(batch, text, pa.array(out, pa.string()))
+            yield _with(batch, text, _decoded(machine, batch.column(batch.schema.get_field_index(ids))))
 
     return source.mapInArrow(run, schema)

@@ -129,8 +129,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     texts = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.encode(texts, vocabulary, public_tokenizers.PATTERN).drop("text")
-    return bpe.decode(ids, vocabulary).select(
+    return bpe.round_trip(texts, vocabulary, public_tokenizers.PATTERN).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
