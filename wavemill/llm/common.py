@@ -42,6 +42,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def packed(df: DataFrame, out: str = "_in") -> Column:
+    """All columns in one struct, so that no helper column can clash with a name among them."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(out)
+
+
+def salted(rows: DataFrame, keyed: DataFrame, on: list[str], spread: Column, how: str = "inner", n: str = "n") -> DataFrame:
+    """Joins rows with `keyed`, which has one row a key and in `n` how many of `rows` have it.
+
+    Keys of many rows are dealt, by `spread`, to several tasks, to each with their row of
+    `keyed`. A key is one of these from half a partition's share of all rows on, so there
+    are at most two for each shuffle partition, which bounds what is broadcast. `keyed` is
+    read three times; `n` isn't in the result.
+    """
+    total = keyed.agg(F.sum(n)).first()[0] or 0
+    limit = max(1000, total // (2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    hot = F.broadcast(keyed.filter(F.col(n) > limit).select(*on, F.ceil(F.col(n) / limit).cast("int").alias("_deals")))
+    dealt = rows.join(hot, on, "left").withColumn("_deal", F.pmod(spread, F.coalesce("_deals", F.lit(1)))).drop("_deals")
+    each = F.explode(F.sequence(F.lit(0), F.coalesce("_deals", F.lit(1)) - 1))
+    put = keyed.join(hot, on, "left").withColumn("_deal", each).drop("_deals", n)
+    return dealt.join(put, [*on, "_deal"], how).drop("_deal")
+
+
 def word_chunks(text: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
     """The words of a UTF-8 text in lists, so that a very long text isn't split all at once."""
     start = 0
