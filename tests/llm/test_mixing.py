@@ -73,3 +73,37 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, source string, text string, size string, taken string")
     measured = mixing.measure(df)
     assert mixing.mix(measured, mixing.plan(measured)).count() == 0
+
+
+def test_repeated_rows_meet_the_target(spark, monkeypatch):
+    rows = [(7, "a", "w " * 21)] * 500 + [(i, "a", "v " * 21) for i in range(1000, 1500)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    for copies, share in ((100_000, 0.75), (7, 0.75), (100_000, 1.9), (7, 0.5)):
+        monkeypatch.setattr(mixing, "COPIES", copies)
+        for seed in range(3):
+            measured = mixing.measure(df, seed)
+            out = mixing.mix(measured, mixing.plan(measured, weights=(1,), share=share)).collect()
+            goal = share * 21_000
+            assert abs(sum(r.taken for r in out) - goal) <= 21 * (1 if copies > 500 else 80) and len(out) == len(rows)
+            assert {r.target for r in out} == {goal}
+
+
+def test_edge_of_unequal_weights_is_cut_until_it_is_small(spark, monkeypatch):
+    rows = [(i, "a", "# " * 40 if i % 10 else "w " * 40) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    measured = mixing.measure(df)
+    expected = sorted((r.doc_id, r.times) for r in mixing.mix(measured, mixing.plan(measured, weights=(1,), share=0.6)).collect())
+    monkeypatch.setattr(mixing, "EDGE_ROWS", 2)
+    monkeypatch.setattr(mixing, "BUCKETS", 8)
+    assert sorted((r.doc_id, r.times) for r in mixing.mix(measured, mixing.plan(measured, weights=(1,), share=0.6)).collect()) == expected
+    assert abs(sum(t for _, t in expected) - 1800) <= 1
+
+
+def test_clashing_names_and_a_very_long_text(spark):
+    rows = [(1, "a", "word " * 2_000_000, "x", 5), (2, "a", "b", "y", 6), (2, "a", "b", "y", 6), (3, None, "", "z", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, _of string, _copies long")
+    measured = mixing.measure(df)
+    out = mixing.mix(measured, mixing.plan(measured))
+    assert out.columns == ["doc_id", "source", "text", "_of", "_copies", *mixing.MEASURES, *mixing.RESULTS]
+    got = out.collect()
+    assert sorted((r.doc_id, r["_of"], r["_copies"], r.size) for r in got) == [(1, "x", 5, 2_000_000), (2, "y", 6, 1), (2, "y", 6, 1), (3, "z", 7, 0)]

@@ -34,10 +34,21 @@ def test_nested_rules_hot_host_and_odd_urls(spark):
     valid = [r for r in rules if r[0] and r[2]]
     table = spark.createDataFrame(rules, "host string, path string, verdict string")
     df = spark.createDataFrame(made, "page_id long, url string, host string")
-    for salts in (1, 16):
-        out = urls.judge(df, table, salts=salts).collect()
+    for ranges in (1, 16):
+        out = urls.judge(df, table, ranges=ranges).collect()
         assert len(out) == len(made)
         for r in out:
             assert (r.host, r.path, r.rule, r.verdict) == plain(r.url, valid), r
     assert urls.judge(df.limit(0), table).count() == 0
     assert {r.verdict for r in urls.judge(df, table.limit(0)).collect()} == {"allow"}
+
+
+def test_clashing_names_ties_and_very_long_urls(spark):
+    long = "http://" + ".".join(["a"] * 60) + ".com/" + "x/" * 100_000
+    made = [(1, long, "u", "v", 3), (1, long, "u", "v", 3), (2, "http://b.com/p", None, None, None)]
+    df = spark.createDataFrame(made, "page_id long, url string, _best string, top string, n long")
+    rules = spark.createDataFrame([("com", "/x/x", "block"), ("a.com", "/x", "allow"), ("com", "/p", "block"), ("b.com", "", "allow"), ("m", "/p/q/r", "block")], "host string, path string, verdict string")
+    got = urls.judge(df, rules, ranges=3)
+    assert got.columns == ["page_id", "url", "_best", "top", "n", "host", "path", "rule", "verdict"]
+    # com/x/x and a.com/x are seven long each: the longer host holds; b.com and com/p are five long each
+    assert sorted((r.page_id, r["_best"], r.top, r.n, r.rule, r.verdict) for r in got.collect()) == [(1, "u", "v", 3, "a.com/x", "allow"), (1, "u", "v", 3, "a.com/x", "allow"), (2, None, None, None, "b.com", "allow")]

@@ -1,11 +1,14 @@
 """Near-duplicates by the exact Jaccard similarity of word shingles.
 
-Texts are sets of five-word shingles; equal sets are one node. Candidates share one of
-BANDS keys of ROWS minima under hash functions each: two sets of similarity s share none
-with probability (1 - s**ROWS)**BANDS, 1e-10 at 0.8. Each candidate's similarity is then
-counted on the whole sets. Under a key with many nodes, these are first compared with
-two of them only; then those that are still apart from the largest component are
-compared with all the others of the key, so no pair is left out.
+Texts are sets of five-word shingles; equal sets are one node. Candidates are what the
+exact SimHash comparison by tiles finds (fingerprints of the shingles within RADIUS
+bits), and, as at a similarity of 0.8 fingerprints differ in some ten bits, where tiles
+skip nothing, also all that share one of BANDS keys of ROWS minima under hash functions:
+two sets of similarity s share none with probability (1 - s**ROWS)**BANDS, 1e-10 at 0.8.
+Each candidate's similarity is then counted on the whole sets. Under a key with many
+nodes, these are first compared with two of them only; then those that are still apart
+from the largest component are compared with all the others of the key, so no pair is
+left out.
 """
 
 from __future__ import annotations
@@ -17,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, salted
 from .minhash import BASE, mix, shingle_hashes, word_hashes
-from .simhash import components
+from .simhash import components, links
 
+RADIUS = 2
 BANDS, ROWS = 32, 3
 #: Keys under which more nodes stand are compared with two of them before all others.
 CROWD = 64
@@ -54,32 +58,41 @@ def band_keys(found: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def _row(doc_id: str, text: str) -> Column:
+def bits(found: np.ndarray, size: int = 1 << 14) -> int:
+    """The SimHash of a set of shingles, signed: a bit is set if it is set in over half of their hashes."""
+    counts = np.zeros(64, np.int64)
+    for start in range(0, len(found), size):
+        counts += np.unpackbits(found[start : start + size].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(found), bitorder="little").view(np.int64)[0])
+
+
+def row_key(doc_id: str, text: str) -> Column:
     return F.xxhash64(F.lit(4), F.col(doc_id), F.col(text))
 
 
 def mark(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, row, node, size, keys) of each row."""
-    given = df.select(F.col(doc_id).alias("doc_id"), _row(doc_id, text).alias("row"), F.col(text).alias("text"))
+    """(doc_id, row, node, size, fp, keys) of each row."""
+    given = df.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("row"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, keys = [], [], []
+            nodes, sizes, fps, keys = [], [], [], []
             for v in batch.column(2):
                 found = shingles(v.as_py())
                 nodes.append(node(found))
                 sizes.append(len(found))
+                fps.append(bits(found))
                 keys.append(band_keys(found))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "row", "node", "size", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "row", "node", "size", "fp", "keys"])
 
-    return given.mapInArrow(run, f"doc_id {df.schema[doc_id].dataType.simpleString()}, row long, node long, size long, keys array<long>")
+    return given.mapInArrow(run, f"doc_id {df.schema[doc_id].dataType.simpleString()}, row long, node long, size long, fp long, keys array<long>")
 
 
 def _sets(df: DataFrame, rows: DataFrame, text: str, doc_id: str) -> DataFrame:
     """(node, found): the whole sets of the given rows, one of each node."""
     rows = cut_lineage(rows.select("row").distinct())
     rows = F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
-    texts = df.select(_row(doc_id, text).alias("row"), F.col(text).alias("text")).join(rows, "row", "left_semi").select("text")
+    texts = df.select(row_key(doc_id, text).alias("row"), F.col(text).alias("text")).join(rows, "row", "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,15 +109,31 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").filter(both / (F.size("x") + F.size("y") - both) >= least).select("a", "b")
 
 
+def by_tiles(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes whose fingerprints are equal or linked by the comparison of tiles."""
+    fps = cut_lineage(nodes.groupBy("fp").agg(F.min("node").alias("one"), F.count(F.lit(1)).alias("n")))
+    near = links(fps.select("fp"), RADIUS)
+    one = lambda c: fps.select(F.col("fp").alias(c), F.col("one").alias(f"one_{c}"))
+    across = near.join(one("a"), "a").join(one("b"), "b").select("one_a", "one_b")
+    inside = salted(nodes.select("node", "fp"), fps, ["fp"], F.pmod("node", F.lit(1 << 20)).cast("int")).select("one", "node").filter("one <> node")
+    return across.union(inside).toDF("x", "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def groups(df: DataFrame, least: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, component_id) of each row: the smallest doc_id reachable over links of similarity `least` or more.
+    """(doc_id, row, component_id) of each row: the smallest doc_id reachable over links of
+    similarity `least` or more; `row` is row_key, equal for rows of the same doc_id and text.
 
     `df` is read twice. Texts without words are alike, null ones too; of fewer than five
     words, equal ones. Rows with a null doc_id take part; the id of a component without
     any doc_id is null.
     """
+    return members(df, least, text, doc_id).select("doc_id", "row", "component_id")
+
+
+def members(df: DataFrame, least: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """What `groups` returns, with `root`, a number for each component."""
     marked = cut_lineage(mark(df, text, doc_id))
-    nodes = cut_lineage(marked.groupBy("node").agg(F.min("doc_id").alias("low"), F.min("row").alias("row"), F.any_value("size").alias("size"), F.any_value("keys").alias("keys")))
+    nodes = cut_lineage(marked.groupBy("node").agg(F.min("doc_id").alias("low"), F.min("row").alias("row"), F.count(F.lit(1)).alias("n"), *[F.any_value(c).alias(c) for c in ("size", "fp", "keys")]))
     keyed = nodes.select("node", "size", F.explode("keys").alias("key"))
     counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("one"), F.max("node").alias("two")).filter("n > 1")
     shared = cut_lineage(keyed.join(counts, "key"))
@@ -113,11 +142,11 @@ def groups(df: DataFrame, least: float = 0.8, text: str = "text", doc_id: str =
     few, crowded = shared.filter(F.col("n") <= CROWD), shared.filter(F.col("n") > CROWD)
     pairs = side(few, "a").join(side(few, "b"), "key").filter(F.col("a") < F.col("b")).filter(fits).select("a", "b")
     hubs = crowded.select("node", F.explode(F.array("one", "two")).alias("hub")).filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-    pairs = cut_lineage(pairs.union(hubs).distinct())
+    pairs = cut_lineage(pairs.union(hubs).union(by_tiles(nodes)).distinct())
     used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = cut_lineage(_sets(df, nodes.join(used, "node", "left_semi"), text, doc_id))
-    links = cut_lineage(_alike(pairs, sets, least))
-    roots = components(links)
+    found = cut_lineage(_alike(pairs, sets, least))
+    roots = components(found)
     if crowded.limit(1).count():
         known = crowded.select("key", "node", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         known = cut_lineage(known)
@@ -127,8 +156,32 @@ def groups(df: DataFrame, least: float = 0.8, text: str = "text", doc_id: str =
         apart = side(known.filter("root <> largest"), "a", F.col("root").alias("root_a"))
         left = apart.join(side(known, "b", F.col("root").alias("root_b"), "largest"), "key").filter("root_a <> root_b and (root_b = largest or a < b)").filter(fits)
         left = left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-        roots = components(links.union(_alike(left, sets, least)))
-    linked = nodes.join(roots, "node")
-    lowest = linked.groupBy("root").agg(F.min("low").alias("lowest"))
-    ids = nodes.select("node", "low").join(linked.join(lowest, "root").select("node", "lowest"), "node", "left").select("node", F.coalesce("lowest", "low").alias("component_id"))
-    return marked.select("doc_id", "node").join(ids, "node").select("doc_id", "component_id")
+        roots = components(found.union(_alike(left, sets, least)))
+    rooted = cut_lineage(nodes.select("node", "low", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    ids = cut_lineage(rooted.join(lowest, "root").select("node", "n", "root", "component_id"))
+    spread = F.pmod("row", F.lit(1 << 20)).cast("int")
+    return salted(marked.select("doc_id", "row", "node"), ids, ["node"], spread).select("doc_id", "row", "root", "component_id")
+
+
+def representatives(df: DataFrame, least: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row of each component, whole: that of the lowest doc_id (null last), then by row_key.
+
+    Of rows with the same doc_id and text one stays; rows that share a doc_id but not
+    their text are judged each for itself.
+    """
+    names = df.columns
+    found = members(df, least, text, doc_id)
+    chosen = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("_")).select("_.row").distinct()
+    copies = found.groupBy("row").agg(F.count(F.lit(1)).alias("n"))
+    chosen = cut_lineage(chosen.join(copies, "row"))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("in"), row_key(doc_id, text).alias("row"))
+    if chosen.count() <= BROADCAST_IDS:
+        kept = rows.join(F.broadcast(chosen), "row")
+    else:
+        spread = F.pmod(F.monotonically_increasing_id(), F.lit(1 << 20)).cast("int")
+        kept = salted(rows, chosen.withColumn("copies", F.col("n")), ["row"], spread).withColumnRenamed("copies", "n")
+    out = kept.filter("n = 1")
+    if chosen.filter("n > 1").limit(1).count():  # of these, copies meet before the shuffle
+        out = out.unionByName(kept.filter("n > 1").dropDuplicates(["row"]))
+    return out.select("in.*")

@@ -162,58 +162,77 @@ def fingerprints(df: DataFrame, text: str = "text", out: str = "fingerprint") ->
     return df.mapInArrow(run, schema)
 
 
-def neighbours(df: DataFrame, by: str = "doc_id") -> tuple[DataFrame, Column]:
-    """Deals rows into ranges of descending `by`, of about the same number of rows.
+#: What with_next adds.
+RESULTS = (("n_chars", T.LongType()), ("edited_sha256", T.StringType()), ("fingerprint", T.StringType()), ("edited_fingerprint", T.StringType()), ("near_edited", T.DoubleType()), ("near_next", T.DoubleType()))
 
-    Adds _range; returns the order inside a range too. The driver learns one key for
-    each range: as many as there are shuffle partitions.
+
+def neighbours(df: DataFrame) -> tuple[DataFrame, int]:
+    """Deals rows (by, tie, …) into ranges of descending `by`, then ascending `tie`, of about the same number of rows.
+
+    Adds `range` and returns how many there are. A `by` that many rows share (null too) is
+    a range of its own, or several, cut by `tie`, a 64-bit hash. The driver learns one key
+    for each range: some times as many as there are shuffle partitions.
     """
     ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = df.filter(F.col(by).isNotNull()).agg(F.percentile_approx(by, [i / ranges for i in range(1, ranges)], 10_000).alias("b")).first()["b"] or []
-    cuts = sorted(set(bounds), reverse=True)
-    table = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<bigint>")
+    first = df.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("by", [i / ranges for i in range(1, ranges)] or [0.5], 10_000).alias("b")).first()
+    limit = max(1000, first["n"] // ranges)
+    counts = df.groupBy("by").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit)
+    hot = {r["by"]: -(-r["n"] // limit) for r in counts.collect()}  # at most as many as there are ranges
+    bounds = {b for b in first["b"] or []} | {b - k for b in hot if b is not None for k in (0, 1)}
+    cuts = sorted(bounds, reverse=True)
+    table = F.array(*[F.lit(c).cast("bigint") for c in cuts]) if cuts else F.array().cast("array<bigint>")
     # null comes last; ranges are numbered from the largest key on
-    number = F.when(F.col(by).isNull(), len(cuts) + 1).otherwise(F.size(F.filter(table, lambda c: c >= F.col(by))))
-    ranged = df.withColumn("_range", number.cast("int"))
-    return ranged, F.col(by).desc_nulls_last()
+    number = F.when(F.col("by").isNull(), len(cuts) + 1).otherwise(F.size(F.filter(table, lambda c: c >= F.col("by"))))
+    pieces = [1] * (len(cuts) + 2)
+    for by, n in hot.items():
+        pieces[len(cuts) + 1 if by is None else sum(c >= by for c in cuts)] = n
+    begin = np.concatenate([[0], np.cumsum(pieces)]).tolist()
+    at = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("number") + 1)
+    share = F.floor((F.col("tie") / float(1 << 64) + 0.5) * at(pieces))
+    ranged = df.withColumn("number", number.cast("int")).withColumn("range", (at(begin[:-1]) + F.least(share, at(pieces) - 1)).cast("int"))
+    return ranged.drop("number"), begin[-1]
 
 
 def with_next(df: DataFrame, columns: list[str], by: str = "doc_id", text: str = "text") -> DataFrame:
-    """(…columns, fingerprint, edited text's fingerprint and SHA-256, both likenesses) in one ordered pass.
+    """(…columns, then RESULTS: fingerprint, edited text's fingerprint and SHA-256, both likenesses) in one ordered pass.
 
-    The next row is the one with the next lower `by` (equal ones by their text, null
-    last); after the last comes the first again. The edited text has its last
-    floor(n/2) code points replaced by the first as many of the next row's text.
+    The next row is the one with the next lower `by`, a whole number (equal ones in the
+    order of a hash of their texts, null last); after the last comes the first again, so a
+    single row is its own next. The edited text has its last floor(n/2) code points
+    replaced by the first as many of the next row's text. A null text counts as empty;
+    repeated rows are each other's next; columns named like the results are left out.
     """
-    ranged, order = neighbours(df.select(*columns, F.coalesce(text, F.lit("")).alias("_text")), by)
-    ranged = ranged.withColumn("_tie", F.xxhash64("_text"))
+    columns = [c for c in columns if c not in dict(RESULTS)]
+    words_of = F.coalesce(F.col(text), F.lit(""))
+    given = df.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("in"), F.col(by).cast("bigint").alias("by"), words_of.alias("text"), F.xxhash64(words_of).alias("tie"))
+    ranged, ranges = neighbours(given)
     # the keys of each range's first row; the same row, as a ghost, ends the range before it
-    firsts = ranged.groupBy("_range").agg(F.min(F.struct(F.bitwise_not(by).alias("k"), "_tie")).alias("f")).select("_range", "f.k", "f._tie")
-    found = sorted(firsts.collect(), key=lambda r: r["_range"])
-    moves = [(r["_range"], r["k"], r["_tie"], found[i - 1]["_range"]) for i, r in enumerate(found)]
-    small = df.sparkSession.createDataFrame(moves, "_at int, _k long, _t long, _to int")  # a row for each range
-    ghosts = ranged.join(F.broadcast(small), (F.col("_range") == F.col("_at")) & F.bitwise_not(by).eqNullSafe(F.col("_k")) & (F.col("_tie") == F.col("_t")))
-    ghosts = ghosts.withColumn("_range", F.col("_to")).drop("_at", "_k", "_t", "_to").dropDuplicates(["_range"])
-    dealt = ranged.withColumn("_ghost", F.lit(False)).unionByName(ghosts.withColumn("_ghost", F.lit(True)))
-    dealt = dealt.repartition("_range").sortWithinPartitions("_range", "_ghost", order, "_tie")
+    firsts = ranged.groupBy("range").agg(F.min(F.struct(F.bitwise_not("by").alias("k"), "tie")).alias("f")).select("range", "f.k", "f.tie")
+    found = sorted(firsts.collect(), key=lambda r: r["range"])
+    moves = [(r["range"], r["k"], r["tie"], found[i - 1]["range"]) for i, r in enumerate(found)]
+    small = df.sparkSession.createDataFrame(moves, "at int, k long, t long, to int")  # a row for each range
+    ghosts = ranged.join(F.broadcast(small), (F.col("range") == F.col("at")) & F.bitwise_not("by").eqNullSafe(F.col("k")) & (F.col("tie") == F.col("t")))
+    ghosts = ghosts.withColumn("range", F.col("to")).drop("at", "k", "t", "to").dropDuplicates(["range"])
+    dealt = ranged.withColumn("ghost", F.lit(False)).unionByName(ghosts.withColumn("ghost", F.lit(True)))
+    dealt = dealt.repartitionById(max(1, ranges), F.col("range")).sortWithinPartitions("range", "ghost", F.col("by").desc_nulls_last(), "tie")
     schema = T.StructType([df.schema[c] for c in columns])
-    for name, kind in (("n_chars", T.LongType()), ("edited_sha256", T.StringType()), ("fingerprint", T.StringType()), ("edited_fingerprint", T.StringType()), ("near_edited", T.DoubleType()), ("near_next", T.DoubleType())):
+    for name, kind in RESULTS:
         schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the row before, which waits for its next
         for batch in batches:
-            rows, out = batch.select([*columns, "_text", "_range", "_ghost"]), []
+            rows, out = batch.select(["in", "text", "range", "ghost"]), []
             for row in (rows.slice(i, 1).to_pylist()[0] for i in range(rows.num_rows)):
-                found = words(row["_text"].encode())
+                found = words(row["text"].encode())
                 mine = sketch(shingle_hashes(found[0]))
-                if held is not None and held[0]["_range"] == row["_range"]:
+                if held is not None and held[0]["range"] == row["range"]:
                     last, fp, before = held
-                    text, n = last["_text"], len(last["_text"])
-                    body, head = text[: n - n // 2].encode(), row["_text"][: n // 2].encode()
+                    text, n = last["text"], len(last["text"])
+                    body, head = text[: n - n // 2].encode(), row["text"][: n // 2].encode()
                     other = sketch(shingle_hashes(joined_hashes(body, before, head, found)))
-                    out.append({c: last[c] for c in columns} | {"n_chars": n, "edited_sha256": hashlib.sha256(body + head).hexdigest(), "fingerprint": fp.hex(), "edited_fingerprint": other.hex(), "near_edited": likeness(fp, other), "near_next": likeness(fp, mine)})
-                held = None if row["_ghost"] else (row, mine, found)
+                    out.append(last["in"] | {"n_chars": n, "edited_sha256": hashlib.sha256(body + head).hexdigest(), "fingerprint": fp.hex(), "edited_fingerprint": other.hex(), "near_edited": likeness(fp, other), "near_next": likeness(fp, mine)})
+                held = None if row["ghost"] else (row, mine, found)
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=arrow)
         # every range ends with a ghost, so nothing waits here

@@ -38,7 +38,7 @@ from split s left join (select * from fits where k = 1) f on f.host = s.host and
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), every=True)
+    out = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
 
 
@@ -49,38 +49,41 @@ def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = lambda c: F.coalesce(c, F.lit("none"))
     levels = [name("source"), F.concat_ws("/", name("source"), name("lang"))]
     levels.append(F.concat_ws("/", levels[1], F.floor(F.col("doc_id") / 256).cast("string")))
-    spoken = F.coalesce(F.col("text").rlike(licences.WORD), F.lit(False))
+    spoken = licences.speaks(F.col("text"))
     level = F.when(~spoken, levels[2]).otherwise(F.element_at(F.array(*levels), (F.pmod("doc_id", F.lit(3)) + 1).cast("int")))
     path = F.concat(level, F.lit("/"), F.when(spoken, "LICENSE-").otherwise("text-"), F.col("doc_id").cast("string"))
     return licences.scan(docs.select("doc_id", "text", path.alias("path"))).select("doc_id", "path", "licence", "score", "origin", "licence_from")
 
 
 OP2_SQL = r"""
-with templates(licence, template) as (values %s),
+with templates(no, licence, template) as (values %s),
 spoken as (select doc_id, text, coalesce(source, 'none') as l0, coalesce(source, 'none') || '/' || coalesce(lang, 'none') as l1,
-    coalesce(regexp_matches(text, '(?i)(licen[sc]e|licensed|copyright|spdx)'), false) as s from documents),
+    coalesce(regexp_matches(text, '(?i)(licen[sc]e|copyright|spdx)'), false) as s from documents),
 files as (select doc_id, text, case when not s or doc_id %% 3 = 2 then l1 || '/' || (doc_id // 256) when doc_id %% 3 = 1 then l1 else l0 end || '/' || case when s then 'LICENSE-' else 'text-' end || doc_id as path from spoken),
 lines as (select path, unnest(string_split(text, chr(10))) as statement from files),
-found as (select * from lines where regexp_matches(statement, '(?i)(licen[sc]e|licensed|copyright|spdx)')),
+headers as (select path, regexp_extract(text, '%s') as statement from files),
+found as (select * from lines where regexp_matches(statement, '(?i)(licen[sc]e|copyright|spdx)')
+    union all select * from headers where regexp_matches(statement, '[A-Za-z0-9]')
+    union all select path, text from files where path like '%%/LICENSE-%%' and text is not null),
 stated as (select statement, count(*) as n from found group by 1),
 words as (select statement, unnest(regexp_extract_all(lower(statement), '[a-z0-9]+(?:[.-][a-z0-9]+)*')) as term from stated),
 terms as (select statement, term, count(*) as tf from words group by 1, 2),
 rarity as (select term, sum(n) as df from terms join stated using (statement) group by 1),
 total as (select sum(n) as n from stated),
 ours as (select statement, term, tf * (ln((1.0 + (select n from total)) / (1.0 + df)) + 1.0) as w from terms join rarity using (term)),
-template_words as (select licence, unnest(regexp_extract_all(lower(template), '[a-z0-9]+(?:[.-][a-z0-9]+)*')) as term from templates),
-template_terms as (select licence, term, count(*) as tf from template_words group by 1, 2),
-theirs as (select licence, term, tf * (ln((1.0 + (select n from total)) / (1.0 + coalesce(df, 0))) + 1.0) as v from template_terms left join rarity using (term)),
-scored as (select o.statement, t.licence, round(sum(w * v) / (any_value(a) * any_value(b)), 6) as score from ours o join theirs t using (term)
-    join (select statement, sqrt(sum(w * w)) as a from ours group by 1) x on x.statement = o.statement join (select licence, sqrt(sum(v * v)) as b from theirs group by 1) y on y.licence = t.licence group by 1, 2),
-matched as (select statement, licence, score from scored where score >= 0.6 qualify row_number() over (partition by statement order by score desc, licence desc) = 1),
+template_words as (select no, unnest(regexp_extract_all(lower(template), '[a-z0-9]+(?:[.-][a-z0-9]+)*')) as term from templates),
+template_terms as (select no, term, count(*) as tf from template_words group by 1, 2),
+theirs as (select no, term, tf * (ln((1.0 + (select n from total)) / (1.0 + coalesce(df, 0))) + 1.0) as v from template_terms left join rarity using (term)),
+scored as (select o.statement, t.no, round(sum(w * v) / (any_value(a) * any_value(b)), 6) as score from ours o join theirs t using (term)
+    join (select statement, sqrt(sum(w * w)) as a from ours group by 1) x on x.statement = o.statement join (select no, sqrt(sum(v * v)) as b from theirs group by 1) y on y.no = t.no group by 1, 2),
+matched as (select statement, licence, score from scored join templates using (no) where score >= 0.6 qualify row_number() over (partition by statement order by score desc, licence desc) = 1),
 own as (select path, licence, score from found join matched using (statement) qualify row_number() over (partition by path order by score desc, licence desc) = 1),
 folders as (select regexp_replace(path, '/[^/]*$', '') as above, licence, score from own where path like '%%/LICENSE-%%' qualify row_number() over (partition by above order by score desc, licence desc) = 1)
 select f.doc_id, f.path, coalesce(o.licence, d.licence) as licence, coalesce(o.score, d.score) as score,
   case when o.path is not null then 'own' when d.above is not null then 'directory' end as origin, case when o.path is null then d.above end as licence_from
 from files f left join own o using (path) left join folders d on o.path is null and starts_with(f.path, d.above || '/')
 qualify row_number() over (partition by f.path order by length(d.above) desc nulls last) = 1
-""" % ", ".join(f"('{name}', '{text}')" for name, text in licences.TEMPLATES)
+""" % (", ".join("(%d, '%s', '%s')" % (i, name, text.replace("'", "''")) for i, (name, text) in enumerate(licences.TEMPLATES)), licences.COMMENT)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

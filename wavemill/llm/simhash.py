@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut_lineage, word_chunks
+from .common import cut_lineage, salted, word_chunks
 
 #: A tile with more fingerprints is cut into blocks of this many, compared two by two.
 TILE_ROWS = 32_768
@@ -187,14 +187,16 @@ def groups(marked: DataFrame, radius: int = 2, parts: int = 4, doc_id: str = "do
     fingerprints are one node, so groups of exact copies cost nothing. Columns
     named component_id are replaced; repeated rows stay.
     """
-    marked = marked.drop("component_id")
-    nodes = marked.groupBy(F.col(fingerprint).alias("fp")).agg(F.min(doc_id).alias("low"))
+    names = [c for c in marked.columns if c != "component_id"]
+    rows = marked.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("in"), F.col(fingerprint).alias("fp"))
+    nodes = cut_lineage(marked.groupBy(F.col(fingerprint).alias("fp")).agg(F.min(doc_id).alias("low"), F.count(F.lit(1)).alias("n")))
     roots = components(cut_lineage(links(nodes, radius, parts)))
     linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp")
     lowest = linked.groupBy("root").agg(F.min("low").alias("lowest"))
     linked = linked.join(lowest, "root").select("fp", "lowest")
-    ids = nodes.join(linked, "fp", "left").select(F.col("fp").alias("_fp"), F.coalesce("lowest", "low").alias("component_id"))
-    return marked.join(ids, F.col(fingerprint) == F.col("_fp")).drop("_fp")
+    ids = cut_lineage(nodes.join(linked, "fp", "left").select("fp", "n", F.coalesce("lowest", "low").alias("component_id")))
+    spread = F.pmod(F.monotonically_increasing_id(), F.lit(1 << 20)).cast("int")  # which task a row goes to makes no difference
+    return salted(rows, ids, ["fp"], spread).select("in.*", "component_id")
 
 
 def hexadecimal(fingerprint: str = "fingerprint"):
