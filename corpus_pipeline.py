@@ -22,13 +22,15 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or that the learned list rejects go; a null text goes (no words)."""
+    """Documents that fail the base rules or that the learned list rejects go; a null or empty text
+    goes (no words); repeated rows are judged alike."""
     learned = rules.fit(docs, table(spark, sf_dir, "labels"))
     return rules.judge(docs, learned).filter("kept").select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that came before go; n_chars follows the text. No document goes, an emptied one included."""
+    """Lines that came before go; n_chars follows the text. No document goes, an emptied or null one
+    included; repeated rows stay alike."""
     out = lines.dedup(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
@@ -36,26 +38,24 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group, and of rows with the same doc_id, one document stays: that of the lowest doc_id.
+    """Of each group one document stays: that of the lowest doc_id (null last).
 
-    Groups are linked by a Jaccard similarity of five-word shingles of LEAST_ALIKE or more.
-    Rows without a doc_id, which no other row could stand for, stay.
+    Links are SimHash tiles and minima keys, verified by a Jaccard similarity of five-word
+    shingles of LEAST_ALIKE or more. A row without a doc_id goes if another row stands for
+    it; of rows with the same doc_id and text one stays; empty and null texts are alike.
     """
-    grouped = jaccard.groups(docs.select("doc_id", "text"), LEAST_ALIKE)
-    lowest = grouped.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(lowest, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    return jaccard.representatives(docs, LEAST_ALIKE).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as its source's target takes it."""
+    """Each document as many times as its source's target takes it; without words, or with a null text, not at all."""
     measured = mixing.measure(docs)
     slim = cut_lineage(measured.select("source", *mixing.MEASURES))
     return mixing.repeat(mixing.mix(measured, mixing.plan(slim))).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with the token ids of its whole text."""
+    """Every document with the token ids of its whole text; none for null and empty ones. Repeated rows stay."""
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
