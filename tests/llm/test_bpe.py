@@ -82,3 +82,30 @@ def test_nulls_clashing_names_and_empty_tables(spark):
     assert bpe.encode(df.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
     with pytest.raises(Exception, match="KeyError|IndexError|99999"):
         bpe.decode(spark.sql("select array(99999) as ids"), PATH).collect()
+
+
+def test_a_very_long_text_in_parts(machines, library, monkeypatch):
+    transducer, decoder = machines
+    text = "Über 12 words, and more.\n" * 60_000 + "x" * 50_000 + " tail"
+    monkeypatch.setattr(bpe, "PIECES", 1000)
+    texts = ["", text, "a b", text[:5000], ""]
+    got = transducer.encode_many(texts)
+    assert [g.tolist() for g in got] == [library.encode_ordinary(t) for t in texts]
+    assert decoder.decode(got[1].tolist()) == text
+
+
+def test_few_states_and_pairs_do_not_matter(ranks, library, monkeypatch):
+    monkeypatch.setattr(bpe, "MAX_STATES", 10)
+    monkeypatch.setattr(bpe, "MAX_PAIRS", 5)
+    machine = bpe.Transducer(ranks, public_tokenizers.PATTERN)
+    for i in range(20):
+        text = " ".join(f"wörd{i * k} thereof" for k in range(30))
+        assert machine.encode(text) == library.encode_ordinary(text)
+    assert machine.fallbacks == 0
+
+
+def test_round_trip_in_one_pass(spark, library):
+    rows = [(1, None, "x"), (2, "für élise 😀", "y"), (2, "für élise 😀", "y")]
+    out = bpe.round_trip(spark.createDataFrame(rows, "doc_id long, text string, ids string"), PATH, public_tokenizers.PATTERN)
+    assert out.columns == ["doc_id", "text", "ids"]
+    assert sorted((r.doc_id, r.text, r.ids) for r in out.collect()) == [(1, "", [])] + [(2, rows[1][1], library.encode_ordinary(rows[1][1]))] * 2

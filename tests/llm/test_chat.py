@@ -35,7 +35,47 @@ def test_held_out_transcripts_and_texts(spark, sf_dir):
     model = chat.fit(given.filter("conv_id % 2 = 0"), F.col("style"))
     rows = chat.parse(chat.transcripts(given.filter("conv_id % 2 = 1"), F.col("style")), model).collect()
     right = [[(t.role, t.text) for t in r.parsed] == [(t.role, t.text.strip()) for t in r.turns] for r in rows]
-    assert np.mean(right) > 0.8
+    assert np.mean(right) > 0.85
+    # an eighth of the turns have no marker; of all turns, so many come back whole with their role
+    found = [sum(((t.role, t.text) in {(p.role, p.text) for p in r.parsed}) for t in r.turns) for r in rows]
+    assert sum(found) / sum(len(r.turns) for r in rows) > 0.93
+
+
+def test_parts_are_decoded_as_a_whole(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    roles, texts = ("system", "user", "assistant"), ("yes?", "well then", "a longer line " * 8, "one\ntwo\n\nthree", "")
+    rows = [(c, t, roles[rng.integers(3)], texts[rng.integers(5)] + str(rng.integers(50))) for c, n in ((1, 230), (2, 7), (3, 40), (4, 41)) for t in range(5, 5 + n)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = chat.gather(table).withColumn("style", F.lit(0))
+    assert [r.parts for r in whole.collect()] == [1] * 4
+    model = chat.fit(whole, F.col("style"))
+    # markers are rare, so that most turns are told by what stands around them
+    bare = lambda df: df.withColumn("transcript", F.array_join(F.transform("turns", lambda t: F.concat(F.when(F.length(t["text"]) % 3 == 0, F.concat(t["role"], F.lit(": "))).otherwise("\n"), t["text"])), "\n"))
+    expected = {r.conv_id: chat.turns(model, r.transcript) for r in bare(whole).collect()}
+    monkeypatch.setattr(chat, "PART", 8)
+    cut = chat.gather(table)
+    assert cut.filter("conv_id = 1").count() == 30
+    got = {}
+    for r in sorted(chat.parse_parts(bare(cut), model).collect(), key=lambda r: (r.conv_id, r.part_no)):
+        got.setdefault(r.conv_id, []).extend((t.role, t.text) for t in r.parsed)
+    # a turn that goes on in the next part comes as two there
+    flat = lambda found: [(role, line) for role, text in found for line in text.split("\n") if line.strip()]
+    assert {c: flat(t) for c, t in got.items()} == {c: flat(t) for c, t in expected.items()}
+
+
+def test_ties_take_the_lower_state_and_other_roles_have_their_own_marker(spark):
+    flat = chat.Model.of({})
+    assert flat.decode(chat.observe(["a", "b"])) == [0, 0]
+    table = spark.createDataFrame([(1, 0, "tool", "x"), (1, 1, None, "y"), (1, 2, "user", "z")], "conv_id long, turn long, role string, text string")
+    assert chat.transcripts(chat.gather(table), F.lit(1)).first().transcript == "Tool: x\n\ny\n### human: z"
+
+
+def test_a_very_long_transcript(spark):
+    model = chat.Model.of({(2, 0, 1): 9, (2, 2, 2): 9, (2, 4, 3): 9, (2, 3, 0): 9, (2, 5, 0): 9})
+    text = "User: hi\n" + "words and words\n" * 100_000 + "Assistant: yes"
+    df = spark.createDataFrame([(1, text, "p"), (1, text, "p")], "conv_id long, transcript string, parts string")
+    rows = chat.parse(df, model).collect()
+    assert len(rows) == 2 and all([t.role for t in r.parsed] == ["user", "assistant"] and r.parts == "p" for r in rows)
 
 
 def test_nulls_repeats_empty_and_rendering(spark):

@@ -51,3 +51,18 @@ def test_stage_finds_near_copies_beyond_two_bits(spark, sf_dir):
     df = spark.createDataFrame([(k, t, "en", "a", 0) for k, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
     kept = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, sf_dir).collect())
     assert kept == sorted(k for k, root in reachable(docs).items() if k == root)
+
+
+def test_rows_are_told_by_row_not_by_id(spark, sf_dir):
+    words = lambda n: " ".join(f"w{n}x{i}" for i in range(40))
+    rows = [(1, words(1)), (1, words(2)), (2, words(1)), (3, words(3)), (3, words(3)), (None, words(3)), (None, words(4)), (None, words(4)), (5, None), (4, "")]
+    df = spark.createDataFrame([(k, t, "en", "a", 0) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicates(spark, df, sf_dir).collect()
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept))) == sorted(map(str, [(1, words(1)), (1, words(2)), (3, words(3)), (None, words(4)), (4, "")]))
+    assert corpus_pipeline.near_duplicates(spark, df.limit(0), sf_dir).count() == 0
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", "r", 7), (2, "a b c d e f", "s", 8)], "doc_id long, text string, row string, n int")
+    out = jaccard.representatives(df)
+    assert out.columns == df.columns and [tuple(r) for r in out.collect()] == [(1, "a b c d e f", "r", 7)]

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wavemill.llm import minhash
 from wavemill.llm.queries import op1_minhash
@@ -77,3 +78,22 @@ def test_joined_texts_hash_as_one():
         i, j = rng.randrange(len(a) + 1), rng.randrange(len(b) + 1)
         joined = minhash.joined_hashes(a[:i], minhash.words(a), b[:j], minhash.words(b))
         assert joined.tolist() == minhash.word_hashes(a[:i] + b[:j]).tolist(), (a[:i], b[:j])
+
+
+def test_clashing_names_and_many_rows_of_one_id(spark):
+    docs = [(None, f"{i} text of many", "r", 1) for i in range(3000)] + [(5, f"{i} words of five", "r", 2) for i in range(2500)] + [(9, None, "r", 3)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, _range string, n_chars int")
+    out = minhash.with_next(df, ["doc_id", "_range", "n_chars"])
+    assert out.columns == ["doc_id", "_range", *dict(minhash.RESULTS)]
+    rows = out.collect()
+    assert len(rows) == len(docs) and {r["_range"] for r in rows} == {"r"} and sum(r.doc_id is None for r in rows) == 3000
+    # each text is the next one of exactly one row, so every edited text is another one
+    assert len({r.edited_sha256 for r in rows}) > 5400
+    ranged, n = minhash.neighbours(df.select(df.doc_id.alias("by"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("tie")))
+    sizes = [r["count"] for r in ranged.groupBy("range").count().collect()]
+    assert len(sizes) > 6 and max(sizes) < 1500 and n > max(r["range"] for r in ranged.select("range").distinct().collect())
+
+
+def test_a_very_long_text(spark):
+    docs = [(1, "word and more " * 300_000), (2, "short")]
+    check(minhash.with_next(spark.createDataFrame(docs, "doc_id long, text string"), ["doc_id"]).collect(), docs)

@@ -68,3 +68,21 @@ def test_labels_with_nulls_and_repeats(spark):
     kept = {r.doc_id: r.kept for r in rules.judge(varied.filter("doc_id is not null"), learned).collect()}
     assert all(kept[i] == bool(i % 2) for i in range(200))
     assert rules.fit(docs, labels.limit(0)) == []
+
+
+def test_clashing_names_repeats_ties_and_a_very_long_text(spark):
+    long = " ".join(f"w{i % 5000}" for i in range(300_000))
+    rows = [(1, long, "a", "b"), (1, long, "a", "b"), (2, None, None, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _words string, _lines string")
+    out = rules.statistics(df)
+    assert out.columns == ["doc_id", "text", "_words", "_lines", *rules.STATISTICS]
+    got = sorted((r.doc_id, r["_words"], r["_lines"], r.n_words, r.n_repeat_words) for r in out.collect())
+    assert got == [(1, "a", "b", 300_000, 300_000)] * 2 + [(2, None, "c", 0, 0)]
+    # two features that tell the classes apart equally well: the first in the list is asked
+    x = np.array([[float(i), 0, float(i), 0, 0] for i in range(40)])
+    learned = rules.learn(x, x[:, 0] < 20, np.arange(40) % 3 == 0)
+    assert [str(c) for c in learned[0]] == ["n_words <= 19.5"]
+    texts = [(i // 2, " ".join([f"v{i}"] * 30 if i % 4 else ["##"] * 30)) for i in range(80)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    assert rules.fit(docs, labels) == rules.fit(docs.repartition(5), labels)

@@ -94,3 +94,11 @@ def test_nulls_repeats_empty_and_clashes(spark):
     ids = sorted((str(r.doc_id), r.text, r.component_id) for r in out if r.text is not None)
     assert ("2", "", 1) in ids and ("None", "", 1) in ids and ("9", "one TWO", 7) in ids and ("None", "three four five six", None) in ids
     assert simhash.groups(simhash.fingerprints(df.limit(0))).count() == 0
+
+
+def test_clashing_names_and_a_hot_fingerprint(spark):
+    rows = [(i, 7, "x", "y") for i in range(5000)] + [(None, 7, None, "y"), (6000, 1 << 40, "z", None)]
+    df = spark.createDataFrame(rows, "doc_id long, fingerprint long, _fp string, low string")
+    out = simhash.groups(df)
+    assert out.columns == ["doc_id", "fingerprint", "_fp", "low", "component_id"] and out.count() == len(rows)
+    assert {(r.fingerprint, r.component_id) for r in out.collect()} == {(7, 0), (1 << 40, 6000)}

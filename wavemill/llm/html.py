@@ -4,7 +4,8 @@ A page is cut at block-level tags into leaf blocks of text. A bidirectional LSTM
 numpy reads the blocks in order, each as hashed tag path, hashed words and a few
 shares, and tells of each whether it belongs to the article, knowing all blocks
 before and behind it. It is trained on a bounded sample of pages, labelled by what
-their markup says outright, and on the same texts dressed in other page layouts.
+their markup says outright, and on the same texts dressed in other page layouts, half of
+them with names that say nothing, so that it learns from texts and places as well.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 #: At most so many pages, of at most so many characters, are trained on.
 SAMPLE_PAGES, SAMPLE_CHARS = 240, 100_000
-PATH, WORDS, PLAIN, HIDDEN = 96, 32, 6, 16
+PATH, WORDS, PLAIN, HIDDEN = 96, 32, 11, 16
 WIDTH = PATH + WORDS + PLAIN
 
 #: A block's path is that of its nearest so many block elements.
@@ -107,21 +108,40 @@ def _hash(token: str, size: int) -> int:
     return zlib.crc32(token.encode()) % size
 
 
+def container(block: Block) -> tuple[str, ...]:
+    """The path without its last element."""
+    for i in range(len(block.path) - 1, -1, -1):
+        if block.path[i][0] != ".":
+            return block.path[:i]
+    return ()
+
+
 def vectors(found: list[Block]) -> np.ndarray:
-    """One row for each block: hashed path, hashed words, and shares of links, length, punctuation and place."""
+    """One row for each block: hashed path, hashed words, and shares of links, length, punctuation,
+    place, and of the page's text, blocks and links that stand in the same element."""
     out = np.zeros((len(found), WIDTH), np.float32)
-    cache: dict[str, int] = {}
-    for i, block in enumerate(found):
-        for token in block.path:
-            at = cache.get(token)
-            if at is None:
-                at = cache[token] = _hash(token, PATH)
-            out[i, at] = 1
+    cache: dict[tuple[str, ...], list[int]] = {}
+    inside: dict[tuple[str, ...], np.ndarray] = {}
+    homes = [container(block) for block in found]
+    for block, home in zip(found, homes):
+        sums = inside.get(home)
+        if sums is None:
+            sums = inside[home] = np.zeros(3)
+        sums += (len(block.text), 1, min(block.linked, len(block.text)))
+    whole = sum(inside.values(), np.zeros(3))
+    for i, (block, home) in enumerate(zip(found, homes)):
+        at = cache.get(block.path)
+        if at is None:
+            at = cache[block.path] = [_hash(token, PATH) for token in set(block.path)]
+        out[i, at] = 1
         words = block.text.split(" ")
         for word in words:
             out[i, PATH + hash_word(word)] += 1
-        out[i, PATH : PATH + WORDS] = np.log1p(out[i, PATH : PATH + WORDS])
-        out[i, PATH + WORDS :] = (min(1.0, block.linked / len(block.text)), min(1.0, np.log1p(len(block.text)) / 8), min(1.0, len(words) / 50), block.text[-1] in ".!?", i / len(found), 1 / (1 + i))
+        size, sums = len(block.text), inside[home]
+        marks = block.text.count(",") + block.text.count(". ")
+        plain = (min(1.0, block.linked / size), min(1.0, np.log1p(size) / 8), min(1.0, len(words) / 50), block.text[-1] in ".!?", i / len(found), 1 / (1 + i))
+        out[i, PATH + WORDS :] = (*plain, sums[0] / whole[0], sums[1] / whole[1], sums[2] / sums[0], min(1.0, np.log1p(sums[0] / sums[1]) / 8), min(1.0, 8 * marks / size))
+    out[:, PATH : PATH + WORDS] = np.log1p(out[:, PATH : PATH + WORDS])
     return out
 
 
@@ -234,59 +254,87 @@ BEHIND = (("aside", "p"), ("aside", ".sidebar", "ul", "li"), ("div", ".sidebar",
 WITHIN = (("div", ".ad"), ("aside",), ("div", ".share"), ("section", ".comments", "p"), ("div", ".promo"), ("form",), ("div", ".advert"), ("figure", "div", ".ad"))
 
 
-def dressed(texts: list[str], others: list[str], rng: np.random.Generator) -> tuple[list[Block], list[bool]]:
-    """The texts as an article in some layout, with other texts around and now and then inside it."""
+def unnamed(path: tuple[str, ...], names: dict[str, str], rng: np.random.Generator) -> tuple[str, ...]:
+    """The path with plain elements only and invented names for its named ones, the same name for the same."""
+    out = []
+    for token in path:
+        if token[0] == "." or token in ("article", "main", "nav", "aside", "header", "footer", "section"):
+            if token not in names:
+                names[token] = "." + "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 9))) if rng.random() < 0.8 else ""
+            out += ["div"] if token[0] != "." else []
+            out += [names[token]] if names[token] else []
+        else:
+            out.append(token)
+    return tuple(out)
+
+
+def dressed(texts: list[str], others: list[str], rng: np.random.Generator, named: bool = True) -> tuple[list[Block], list[bool]]:
+    """The texts as an article in some layout, with other texts around and now and then inside it.
+
+    named False: no element or name tells what it holds, and what isn't the article is
+    short, linked, or stands apart.
+    """
     pick = lambda paths: paths[rng.integers(len(paths))]
-    root, frame = ("html", "body"), pick(FRAMES)
+    root, frame, names = ("html", "body"), pick(FRAMES), {}
     if rng.random() < 0.4:
         root = (*root, "div", *((".page",), (".wrapper",), (".container",), (".site",))[rng.integers(4)])
 
-    def other(path: tuple[str, ...]) -> Block:
-        words = others[rng.integers(len(others))].split(" ")
-        text = " ".join(words[: int(rng.choice([1, 2, 5, 15, 60]))])
-        return Block(path, text, len(text) if rng.random() < 0.4 else 0)
+    def add(path: tuple[str, ...], text: str, label: bool, linked: int = 0) -> None:
+        out.append(Block(path if named else unnamed(path, names, rng), text, linked))
+        labels.append(label)
 
-    out, labels = [Block(("html", "head", "title"), texts[0][:60])] if rng.random() < 0.7 else [], []
-    labels = [False] * len(out)
+    def other(path: tuple[str, ...]) -> None:
+        words = others[rng.integers(len(others))].split(" ")
+        text = " ".join(words[: int(rng.choice([1, 2, 5, 15, 60] if named else [1, 2, 3, 5, 15]))])
+        add(path, text, False, len(text) if rng.random() < (0.4 if named else 0.7) else 0)
+
+    out: list[Block] = []
+    labels: list[bool] = []
+    if rng.random() < 0.7:
+        out.append(Block(("html", "head", "title"), texts[0][:60]))
+        labels.append(False)
     for _ in range(rng.integers(0, 4)):
         path = pick(BEFORE)
         for _ in range(rng.integers(1, 6)):
-            out.append(other((*root, *path)))
-            labels.append(False)
+            other((*root, *path))
     for i, text in enumerate(texts):
         leaf = ("h1",) if i == 0 else (("p",), ("p",), ("p",), ("h2",), ("ul", "li"), ("blockquote", "p"), ("div",), ("pre",))[min(7, int(rng.exponential(1.5)))]
-        out.append(Block((*root, *frame, *leaf), text))
-        labels.append(True)
+        add((*root, *frame, *leaf), text, True)
         if rng.random() < 0.08:
-            out.append(other((*root, *frame, *pick(WITHIN))))
-            labels.append(False)
+            other((*root, *frame, *pick(WITHIN)))
     if rng.random() < 0.3:
         for _ in range(rng.integers(1, 4)):
-            out.append(other((*root, *frame, *pick((("section", ".comments", "p"), ("div", ".comments", "div", ".comment", "p"))))))
-            labels.append(False)
+            other((*root, *frame, *pick((("section", ".comments", "p"), ("div", ".comments", "div", ".comment", "p")))))
     for _ in range(rng.integers(0, 5)):
         path = pick(BEHIND)
         for _ in range(rng.integers(1, 5)):
-            out.append(other((*root, *path)))
-            labels.append(False)
+            other((*root, *path))
     return out, labels
 
 
+def ends(page: list, most: int) -> list:
+    """At most so many: the first half and the last half of them."""
+    return page if len(page) <= most else page[: most // 2] + page[len(page) - most + most // 2 :]
+
+
 def train(pages: list[str], epochs: int = 16, seed: int = 1, most_blocks: int = 60) -> Labeller:
-    """Adam on the told labels of the pages and on two dressed versions of each."""
+    """Adam on the told labels of the pages and on three dressed versions of each, two of them unnamed.
+
+    Of a page with more than most_blocks blocks, the first and the last ones are trained on.
+    """
     rng = np.random.default_rng(seed)
     cut = [blocks(p) for p in pages]
     texts = [[b.text for b in page if told(b)] for page in cut]
     others = [b.text for page in cut for b in page if len(b.text) > 1] or ["none"]
-    data = [(page[:most_blocks], [told(b) for b in page[:most_blocks]]) for page in cut if any(map(told, page))]
+    data = [(page, [told(b) for b in page]) for page in cut if any(map(told, page))]
     for page in texts:
         if page:
-            for _ in range(2):
+            for named in (True, False, False):
                 n = int(rng.integers(1, len(page) + 1))
-                made, labels = dressed(page[:n][:30], others, rng)
-                data.append((made[:most_blocks], labels[:most_blocks]))
+                data.append(dressed(ends(page[:n], most_blocks // 2), others, rng, named))
     model = Labeller.fresh(seed)
-    ready = sorted(((vectors(b), np.array(y, np.float32)) for b, y in data if b), key=lambda d: len(d[0]))
+    # vectors of whole pages, as their shares are, then the blocks trained on
+    ready = sorted(((np.array(ends(list(vectors(b)), most_blocks)), np.array(ends(y, most_blocks), np.float32)) for b, y in data if b), key=lambda d: len(d[0]))
     groups = [ready[i : i + 24] for i in range(0, len(ready), 24)]
     first, second, step = {k: 0.0 for k in model.weights}, {k: 0.0 for k in model.weights}, 0
     for epoch in range(epochs):

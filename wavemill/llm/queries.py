@@ -108,14 +108,14 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes each conversation as a transcript, its speakers marked in one of several ways or, now
     and then, not at all; parses it; tells whether roles and texts come back."""
     style = F.pmod(F.xxhash64("conv_id"), F.lit(1000))
-    given = cut_lineage(chat.gather(table(spark, sf_dir, "conversations")))
+    given = chat.gather(table(spark, sf_dir, "conversations"))
     model = chat.fit(given.withColumn("style", style), F.col("style"))
     written = chat.transcripts(given.withColumn("style", style), F.col("style"))
-    parsed = chat.parse(written, model)
+    parsed = chat.parse_parts(written, model)
     roles = lambda c: F.concat_ws("", F.transform(c, lambda t: F.coalesce(F.left(t["role"], F.lit(1)), F.lit("?"))))
     return parsed.select(
         "conv_id",
-        "part",
+        "part_no",
         F.size("parsed").cast("long").alias("n_turns"),
         roles("parsed").alias("roles"),
         roles("turns").alias("given_roles"),

@@ -33,10 +33,10 @@ def statistics(df: DataFrame, text: str = "text") -> DataFrame:
     with their places only where two are equal, so the work is n log n at any length.
     Columns of these names are replaced; repeated rows stay.
     """
-    df = df.drop(*STATISTICS)
-    names = df.columns
-    whole = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumn("_words", once(words(F.col(text)))).withColumn("_lines", once(F.filter(F.split(whole, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))))
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in STATISTICS]
+    whole = F.coalesce("text", F.lit(""))
+    df = df.select((F.struct(*kept) if kept else F.lit(None)).alias("in"), F.col(text).alias("text"))
+    df = df.withColumn("_words", once(words(F.col("text")))).withColumn("_lines", once(F.filter(F.split(whole, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))))
     df = df.withColumn("_hashes", once(F.transform("_words", lambda w: F.xxhash64(w))))
     n = F.size("_hashes")
     df = df.withColumn("_windows", once(F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_hashes", i, WINDOW))))))
@@ -47,7 +47,7 @@ def statistics(df: DataFrame, text: str = "text") -> DataFrame:
     start = F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last"))
     covered = F.aggregate("_found", start, lambda a, i: F.struct((a["n"] + F.least(F.lit(WINDOW), i - a["last"])).alias("n"), i.alias("last")), lambda a: a["n"])
     return df.select(
-        *[f"`{c}`" for c in names],
+        *(["in.*"] if kept else []),
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         F.regexp_count(whole, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -156,13 +156,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, text
 
     Rows without doc_id or label are passed over; of several labels of a document the
     lowest counts. Without labels, or without documents of either class, no rule is
-    learned. The driver gets sample_rows rows of five numbers at most.
+    learned. Of documents of the same doc_id one counts, that of the least statistics.
+    The driver gets sample_rows rows of five numbers at most.
     """
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_quality"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)  # the bound of what is broadcast
     marked = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(known), "doc_id")
     got = statistics(marked).filter(~base_failed())
-    rows = got.select("_quality", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(3)).alias("_part"), *[c.alias(n) for n, c in features().items()]).limit(sample_rows).collect()
+    one = F.struct("_quality", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(3)).alias("_part"), *[c.alias(n) for n, c in features().items()])
+    rows = [r["one"] for r in got.groupBy("doc_id").agg(F.min(one).alias("one")).collect()]
     if not rows:
         return []
     table = np.array(sorted(tuple(map(float, r)) for r in rows))
