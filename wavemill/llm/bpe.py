@@ -33,11 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Bounds of the memos; when one is full it is emptied, and results stay the same.
-MAX_STATES, MAX_WORDS, MAX_PAIRS = 200_000, 200_000, 1_000_000
+MAX_STATES, MAX_WORDS, MAX_PAIRS = 100_000, 120_000, 1_000_000
 #: Pieces of fewer characters run many at a time and are remembered.
 SHORT = 64
 #: Texts are cut into this many pieces at a time.
-PIECES = 1 << 19
+PIECES = 1 << 16
+#: So many pieces, of like length, run together.
+TOGETHER = 16_384
 
 REPLACEMENT = "�"
 
@@ -124,9 +126,10 @@ class Known:
 
     @staticmethod
     def _merged(a, b):
-        keys, values = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]]).astype(np.int32)
-        order = np.argsort(keys, kind="stable")
-        return keys[order], values[order]
+        order = np.argsort(b[0])
+        keys, values = b[0][order], b[1][order].astype(np.int32)
+        at = np.searchsorted(a[0], keys)
+        return np.insert(a[0], at, keys), np.insert(a[1], at, values)
 
 
 class Lockstep:
@@ -218,13 +221,21 @@ class Lockstep:
 
     def encode(self, pieces: list[bytes]) -> list[tuple[int, ...] | None]:
         """The tokens of each piece; None where merges alone don't make the vocabulary's tokens."""
-        if self.states > MAX_STATES:
-            self.clear()
         order = sorted(range(len(pieces)), key=lambda i: -len(pieces[i]))
-        sizes = np.array([len(pieces[i]) for i in order], np.int64)
+        out: list[tuple[int, ...] | None] = [None] * len(pieces)
+        for start in range(0, len(order), TOGETHER):
+            if self.states > MAX_STATES:
+                self.clear()
+            self._encode(pieces, order[start : start + TOGETHER], out)
+        return out
+
+    def _encode(self, given: list[bytes], order: list[int], out: list[tuple[int, ...] | None]) -> None:
+        """Those of the pieces in `order`, from the longest on, into out."""
+        pieces = [given[i] for i in order]
+        sizes = np.array([len(p) for p in pieces], np.int64)
         longest = int(sizes[0])
         read = np.zeros((len(pieces), longest), np.uint8)
-        read[np.arange(longest) < sizes[:, None]] = np.frombuffer(b"".join(pieces[i] for i in order), np.uint8)
+        read[np.arange(longest) < sizes[:, None]] = np.frombuffer(b"".join(pieces), np.uint8)
         state, ends = np.zeros(len(pieces), np.int64), np.full((len(pieces), longest + 1), -1, np.int32)
         for t in range(longest):
             n = int(np.searchsorted(-sizes, -t, side="left"))  # pieces of more than t bytes
@@ -245,13 +256,11 @@ class Lockstep:
             rows = rows[at[rows] > 0]
         rows, tokens = np.concatenate([r for r, _ in reversed(found)]), np.concatenate([t for _, t in reversed(found)])
         tokens = tokens[np.argsort(rows, kind="stable")].tolist()
-        out: list[tuple[int, ...] | None] = [None] * len(pieces)
         start = 0
         for i, n, left in zip(order, np.bincount(rows, minlength=len(pieces)).tolist(), at.tolist()):
             if not left:
                 out[i] = tuple(tokens[start : start + n])
             start += n
-        return out
 
 
 def _room(array: np.ndarray, size: int) -> np.ndarray:
@@ -562,11 +571,11 @@ def _with(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
 
 
 def _slices(batches: Iterable[pa.RecordBatch], size) -> Iterator[pa.RecordBatch]:
-    """Parts of at most about 4 MB of the column that size() measures, one row at least."""
+    """Parts of at most about 1.5 MB of the column that size() measures, one row at least."""
     for batch in batches:
         start, held = 0, 0
         for i, n in enumerate(size(batch)):
-            if held and held + n > 4_000_000:
+            if held and held + n > 1_500_000:
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += n
