@@ -1,7 +1,9 @@
 import pytest
 
 from tests.oracle import compare
-from wavemill.jobs.queries import ORACLES, QUERIES
+from wavemill.jobs import filter_queries, queries
+
+QUERIES, ORACLES = queries.QUERIES | filter_queries.QUERIES, queries.ORACLES | filter_queries.ORACLES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

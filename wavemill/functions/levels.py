@@ -69,18 +69,6 @@ def raised_cosine(progress: Column) -> Column:
     return 0.5 - 0.5 * F.cos(math.pi * progress)
 
 
-def allpass_coefficient(degrees: float) -> float:
-    return math.tan((math.radians(degrees) - math.pi) / 4)
-
-
-def smoothing_coefficient(milliseconds: float, rate: float, both_ways: bool = False) -> float:
-    """Of a one-pole filter that settles in that time; applied both ways, each way takes its share."""
-    if milliseconds <= 0:
-        return 0.0
-    seconds = milliseconds / 1000 * (math.sqrt(math.sqrt(2) - 1) if both_ways else 1)
-    return math.exp(-1 / (seconds * rate))
-
-
 def hertz_to_mel(f: Column) -> Column:
     return 2595.0 * F.log10(1.0 + f / 700.0)
 

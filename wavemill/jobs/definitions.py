@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import settle
+
+SCHEMA = """definition string, apiVersion int, nodes array<struct<node:string,operator:string,parameters:map<string,string>>>,
+edges array<struct<source:string,target:string>>"""
+
 PLACEHOLDER = r"\{\{\s*([A-Za-z0-9_]+)\s*\}\}"
 
 
@@ -34,19 +41,78 @@ def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def paths(nodes: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
-    """(definition, path, node, cycle): every way from a root on; a node seen before ends it as a cycle."""
-    found = roots(nodes, edges).select("definition", F.array("node").alias("path"), "node", F.lit(False).alias("cycle"))
-    out, spark = found, nodes.sparkSession
-    found.createOrReplaceTempView("_roots")
-    edges.createOrReplaceTempView("_edges")
-    out = spark.sql(
-        f"""with recursive p(definition, path, node, cycle) max recursion level {most} as (
-        select definition, path, node, cycle from _roots union all
-        select p.definition, concat(p.path, array(e.target)), e.target, array_contains(p.path, e.target)
-        from p join _edges e on e.definition = p.definition and e.source = p.node where not p.cycle)
-        select * from p"""
+    """(definition, path, node, cycle): every way from a root on; a node seen before ends it as a cycle.
+
+    Joins edges to the ends of the ways found, step by step, for `most` steps at most.
+    """
+    step = roots(nodes, edges).select("definition", F.array("node").alias("path"), "node", F.lit(False).alias("cycle"))
+    out, links = step, edges.select("definition", F.col("source").alias("node"), F.col("target").alias("to"))
+    for _ in range(most):
+        step = step.filter("not cycle").join(links, ["definition", "node"])
+        step = settle(step.select("definition", F.concat("path", F.array("to")).alias("path"), F.col("to").alias("node"), F.array_contains("path", F.col("to")).alias("cycle")))
+        if not step.limit(1).count():
+            return out
+        out = out.unionByName(step)
+    raise ValueError(f"ways of over {most} steps")
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """Definitions from JSON files, one in each, with `problem`: why one can't be used, null if it can."""
+    raw = spark.read.schema(SCHEMA + ", _corrupt string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    names = F.transform("nodes", lambda n: n["node"])
+    ends = F.flatten(F.transform("edges", lambda e: F.array(e["source"], e["target"])))
+    problem = (
+        F.when(F.col("_corrupt").isNotNull(), "no JSON of this form")
+        .when(F.col("definition").isNull(), "no name")
+        .when(F.coalesce("apiVersion", F.lit(0)) != 1, "unknown version")
+        .when(F.coalesce(F.size("nodes"), F.lit(0)) < 1, "no nodes")
+        .when(F.exists("nodes", lambda n: n["node"].isNull() | n["operator"].isNull()), "a node without name or operator")
+        .when(F.size(F.array_distinct(names)) < F.size(names), "a node's name twice")
+        .when(F.size(F.array_except(F.coalesce(ends, F.array().cast("array<string>")), names)) > 0, "an edge to no node")
     )
-    return out
+    return raw.withColumn("problem", problem).drop("_corrupt")
+
+
+def pipeline(operators: Mapping[str, Callable[..., DataFrame]], definition, given: Mapping[str, str] | None = None) -> Callable[[DataFrame], DataFrame]:
+    """One definition (a row of `load`) as a function of frames: its operators along the edges, from the one root.
+
+    Parameters are filled in from `given` and passed by name, numbers as numbers. Errors:
+    names in {{…}} that aren't given, given ones that nothing names, unknown operators,
+    and graphs that aren't one line.
+    """
+    nodes = {n["node"]: n for n in definition["nodes"]}
+    texts = [v for n in nodes.values() for v in (n["parameters"] or {}).values()]
+    named, given = {m for v in texts for m in re.findall(PLACEHOLDER, v)}, dict(given or {})
+    if named != set(given):
+        raise ValueError(f"parameters not given: {sorted(named - set(given))}, not named: {sorted(set(given) - named)}")
+    after: dict[str, str] = {}
+    for edge in definition["edges"] or []:
+        if edge["source"] in after:
+            raise ValueError(f"two ways on from {edge['source']}")
+        after[edge["source"]] = edge["target"]
+    begin = [n for n in nodes if n not in after.values()]
+    if len(begin) != 1:
+        raise ValueError(f"{len(begin)} roots")
+    steps, at = [], begin[0]
+    while at:
+        node = nodes.pop(at, None)
+        if node is None or node["operator"] not in operators:
+            raise ValueError(f"no such operator or node: {at}")
+        filled = {k: re.sub(PLACEHOLDER, lambda m: given[m[1]], v) for k, v in (node["parameters"] or {}).items()}
+        steps.append(functools.partial(operators[node["operator"]], **{k: _number(v) for k, v in filled.items()}))
+        at = after.get(at)
+    if nodes:
+        raise ValueError(f"not on the line: {sorted(nodes)}")
+    return chain(*steps)
+
+
+def _number(text: str) -> int | float | str:
+    for kind in (int, float):
+        try:
+            return kind(text)
+        except ValueError:
+            continue
+    return text
 
 
 def placeholders(definitions: DataFrame, parameters: str = "parameters") -> DataFrame:

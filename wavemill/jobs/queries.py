@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import levels
-from ..operators import blocks, intervals, loudness, samples
+from ..operators import blocks, design, intervals, loudness, samples
 from ..sources import tables
 from ..sources.tables import RATE
 from ..streaming import live
@@ -21,8 +21,8 @@ rows as (select l_suppkey as track, row_number() over (partition by l_suppkey or
 sig as (select track, 0 as channel, frame, l as value from rows union all select track, 1, frame, r from rows)
 """
 REG = """
-reg as (select track, start_s, end_s from (select o_orderkey % (select count(*) from supplier) as track, (o_orderkey % 50) / 10.0 as start_s, (o_orderkey % 50) / 10.0 + (1 + o_custkey % 5) / 10.0 as end_s, row_number() over (partition by o_orderkey % (select count(*) from supplier) order by o_orderkey) as k from orders) where k <= 3),
-seg as (select track, cast(floor(start_s * 100 + 0.5) as bigint) as a, cast(floor(end_s * 100 + 0.5) as bigint) as b from reg),
+reg as (select o_orderkey % (select count(*) from supplier) as track, (o_orderkey * 7 % 1200) / 100.0 as start_s, (o_orderkey * 7 % 1200) / 100.0 + (o_custkey % 3) / 100.0 as end_s from orders),
+seg as (select track, cast(floor(start_s * 100 + 0.5) as bigint) as a, cast(floor(end_s * 100 + 0.5) as bigint) as b from reg where floor(end_s * 100 + 0.5) > floor(start_s * 100 + 0.5)),
 merged as (select track, min(a) as a, max(b) as b from (select *, sum(case when a > reach or reach is null then 1 else 0 end) over (partition by track order by a, b) as island
   from (select *, max(b) over (partition by track order by a, b rows between unbounded preceding and 1 preceding) as reach from seg)) group by track, island)
 """
@@ -135,7 +135,9 @@ def true_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def k_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = blocks.to_samples(blocks.lti_filter(blocks.from_samples(tables.mono(spark, sf_dir), 100), blocks.K_WEIGHTING))
+    """Tracks of odd numbers at 44.1 kHz, the others at 48 kHz."""
+    rated = blocks.from_samples(tables.signal(spark, sf_dir), 100).withColumn("rate", F.when(F.col("track") % 2 == 1, 44100).otherwise(48000))
+    out = blocks.to_samples(blocks.lti_filter(rated, design.k_weighting))
     return out.withColumn("value", F.round("value", 6))
 
 
@@ -153,8 +155,19 @@ def spectral_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def loudness_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = reports.loudness_report(blocks.from_samples(tables.signal(spark, sf_dir), 128), RATE)
-    return out.withColumns({c: F.round(c, 6) for c, t in out.dtypes if t == "double"})
+    """Filters of 48 kHz, gates of the nominal rate; the report without its array of buckets."""
+    out = reports.loudness_report(blocks.from_samples(tables.signal(spark, sf_dir), 128), RATE, sections=design.K_48000)
+    return out.drop("buckets").withColumns({c: F.round(c, 6) for c, t in out.dtypes if t == "double"})
+
+
+def loudness_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = reports.loudness_normalize(blocks.from_samples(tables.signal(spark, sf_dir), 128), RATE, sections=design.K_48000)
+    return blocks.to_samples(out).withColumn("value", F.round("value", 6))
+
+
+def true_peak_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = reports.true_peak_normalize(blocks.from_samples(tables.signal(spark, sf_dir), 128))
+    return blocks.to_samples(out).withColumn("value", F.round("value", 6))
 
 
 def regrid_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,8 +198,8 @@ QUERIES: dict[str, Query] = {
     "spectrogram": spectrogram,
     "spectral_round_trip": spectral_round_trip,
     "loudness_report": loudness_report,
-    "loudness_normalize": lambda spark, sf_dir: blocks.to_samples(reports.loudness_normalize(blocks.from_samples(tables.signal(spark, sf_dir), 128), RATE)),
-    "true_peak_normalize": lambda spark, sf_dir: blocks.to_samples(reports.true_peak_normalize(blocks.from_samples(tables.signal(spark, sf_dir), 128))),
+    "loudness_normalize": loudness_normalize,
+    "true_peak_normalize": true_peak_normalize,
     "regrid_blocks": regrid_blocks,
     "sliding_extreme": lambda spark, sf_dir: blocks.to_samples(blocks.sliding_extreme(blocks.from_samples(tables.signal(spark, sf_dir), 64), 20)),
     "peak_normalize_waveform": peak_normalize_waveform,
@@ -200,7 +213,7 @@ QUERIES: dict[str, Query] = {
     "reverse": _signal(samples.reverse),
     "pad": _signal(lambda df: samples.pad(df, RATE, 0.1, 0.25)),
     "trim": _signal(lambda df: samples.trim(df, 0.7, 3)),
-    "shape_noise": _signal(lambda df: samples.shape_noise(df, 4)),
+    "shape_noise": _signal(lambda df: samples.shape_noise(df, 4, 100)),
     "quantize_pcm": _signal(_pcm),
     "downmix": _signal(samples.downmix),
     "peak": _signal(samples.peak),
@@ -210,8 +223,8 @@ QUERIES: dict[str, Query] = {
     "statistics": _signal(_stats),
     "loudest": _signal(samples.loudest),
     "checks": _signal(lambda df: samples.checks(df, RATE, 6.0)),
-    "moving_average": _signal(lambda df: samples.moving_average(df, 9), digits=9),
-    "sliding_max": _signal(lambda df: samples.sliding_max(df, 5)),
+    "moving_average": _signal(lambda df: samples.moving_average(df, 9, 100), digits=9),
+    "sliding_max": _signal(lambda df: samples.sliding_max(df, 5, 100)),
     "windows": _signal(lambda df: samples.windows(df, 40, 10)),
     "transients": _signal(lambda df: samples.transients(_energies(df))),
     "hold": _signal(lambda df: samples.hold(_energies(df).select("track", "channel", "window", F.col("energy").alias("amount")), 2)),
@@ -258,7 +271,6 @@ _PEAK = SIG + """, tail as (select track, channel, max(frame) + unnest(generate_
 lagged as (select track, value, """ + ", ".join(f"lag(value, {k}, 0) over w as v{k}" for k in range(12)) + """ from (select * from sig union all select * from tail) window w as (partition by track, channel order by frame))
 select track, round(max(greatest(abs(value), """ + ", ".join("abs(" + " + ".join(f"v{k} * {tap}" for k, tap in enumerate(phase)) + ")" for phase in blocks.PHASES) + """)), 9) as true_peak from lagged group by track"""
 _BLK = "blk as (select cast(label as bigint) as track, 64 * (row_number() over (partition by label order by vec_id) - 1) as o, embedding from embeddings), s as (select track, o + i as frame, embedding[i + 1]::double as value from blk, generate_series(0, 63) t(i))"
-_K = "1.53512485958697 * v - 2.69169618940638 * x1 + 1.19839281085285 * x2 + 1.69065929318241 * y1 - 0.73248077421585 * y2"
 
 ORACLES: dict[str, str] = {
     "live_waveform": "select user_id as track, strftime(time_bucket(interval '1 hour', ts), '%Y-%m-%d %H:%M:%S') as start, min(value) as min, max(value) as max from events group by 1, 2",
@@ -268,10 +280,6 @@ ORACLES: dict[str, str] = {
     "live_last_finished": "select user_id as track, strftime(ts, '%Y-%m-%d %H:%M:%S') as finished_at, value from events where event_type = 'purchase' qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1",
     "true_peak": f"with {_PEAK}",
     "true_peak_long": f"with {_PEAK}",
-    "k_weight": f"""with recursive {SIG}, f(track, frame, x1, x2, y1, y2, z1, z2) as (select distinct track, -1::bigint, 0.0::double, 0.0::double, 0.0::double, 0.0::double, 0.0::double, 0.0::double from rows
-union all select track, frame, v, x1, y, y1, y - 2 * y1 + y2 + 1.99004745483398 * z1 - 0.99007225036621 * z2, z1 from
-  (select f.track, r.frame, cast(r.l as double) as v, {_K.replace('v', 'cast(r.l as double)').replace('x1', 'f.x1').replace('x2', 'f.x2').replace('y1', 'f.y1').replace('y2', 'f.y2')} as y, f.x1, f.x2, f.y1, f.y2, f.z1, f.z2 from f join rows r on r.track = f.track and r.frame = f.frame + 1))
-select track, 0 as channel, frame, round(z1, 6) as value from f where frame >= 0""",
     "spectrogram": f"""with {_BLK}, n as (select track, max(frame) + 1 as n from s group by 1), fr as (select track, unnest(generate_series(0, greatest(0, (n - 64) // 16 + 1) - case when n > greatest(0, (n - 64) // 16 + 1) * 16 then 0 else 1 end)) as k from n),
 x as (select track, k, frame - k * 16 as i, value * 0.5 * (1 - cos(2 * pi() * (frame - k * 16) / 64)) as v from fr join s using (track) where frame between k * 16 and k * 16 + 63)
 select track, 0 as channel, k as stft_frame, b as band, round(sqrt(pow(sum(v * cos(2 * pi() * b * i / 64)), 2) + pow(sum(v * sin(2 * pi() * b * i / 64)), 2)) / 32, 6) as magnitude from x, generate_series(0, 32) t(b) group by track, k, b""",

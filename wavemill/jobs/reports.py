@@ -1,41 +1,94 @@
-"""Jobs over a corpus: the loudness report and the two normalisations that follow from it."""
+"""Jobs over a corpus: the loudness report, its tables, and the two normalisations that follow from it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import levels
-from ..operators import blocks, loudness, samples
-from ..operators.lineage import settle
+from ..operators import blocks, design, loudness, samples
+from ..operators.lineage import per_track, settle
+
+#: Gates of the loudness standard, in seconds: momentary and short-term, and how often they begin.
+SPANS = ((0.4, 0.1), (3.0, 0.1))
+TAIL = 1.5
+
+
+def lengths(df: DataFrame, rate: float | None) -> DataFrame:
+    """(track, n, rate) of blocks; a rate of None is read from the column `rate`."""
+    given = F.col("rate") if rate is None else F.lit(float(rate))
+    return df.groupBy("track").agg(F.max(F.col("offset") + F.size("samples")).alias("n"), F.max(given).cast("double").alias("rate"))
 
 
-def k_weighted_power(df: DataFrame) -> DataFrame:
-    """(track, frame, power) of blocks at 48 kHz, all channels of weight 1."""
-    return loudness.power(blocks.to_samples(blocks.lti_filter(df, blocks.K_WEIGHTING)))
+def gate_sums(df: DataFrame, rate: float | None = None, weights: Sequence[float] | None = None, sections: blocks.Sections | None = None) -> DataFrame:
+    """K-weighted sums of both spans' gates, see blocks.gated_sums; designed for each track's rate unless sections are given."""
+    filters: blocks.Sections | Callable[[float], blocks.Sections] = sections or (design.k_weighting(rate) if rate else design.k_weighting)
+    if rate and callable(filters):
+        raise ValueError("sections by rate need the column")
+    return settle(blocks.gated_sums(df, filters, SPANS, rate, weights))
 
 
-def loudness_report(df: DataFrame, rate: float, buckets: int = 1024) -> DataFrame:
-    """One row for each track: integrated loudness, range, true peak, peak and median magnitude.
+def integrated_loudness(df: DataFrame, rate: float | None = None, weights: Sequence[float] | None = None, sections: blocks.Sections | None = None) -> DataFrame:
+    """(track, lufs) of blocks."""
+    sizes = lengths(df, rate)
+    return loudness.gated_loudness(loudness.full_gates(gate_sums(df, rate, weights, sections), 0, *SPANS[0], sizes), sizes)
 
-    The blocks are read several times: pass a table, or settle() what is costly to make.
+
+def loudness_report(df: DataFrame, rate: float | None = None, buckets: int = 1024, weights: Sequence[float] | None = None, sections: blocks.Sections | None = None) -> DataFrame:
+    """One row for each track: integrated loudness, range, true peak, and amplitude (buckets, bucket_max, total, median).
+
+    rate: of all tracks, or None for the column `rate` of each. The blocks are read
+    several times: pass a table, or settle() what is costly to make. What leaves a block
+    is a row for each gate and each bucket that it touches, none for each sample.
     """
-    power, long = settle(k_weighted_power(df)), blocks.to_samples(df)
-    lra = loudness.loudness_range(loudness.short_term(loudness.with_tail(power, rate), rate))
-    median = samples.histogram_percentile(samples.histogram(long, buckets), 50, buckets).withColumnRenamed("level", "median")
-    out = loudness.integrated(power, rate).join(lra, "track", "left").join(blocks.true_peak(df), "track").join(samples.peak(long), "track").join(median, "track", "left")
+    sizes = settle(lengths(df, rate))
+    sums = gate_sums(df, rate, weights, sections)
+    lufs = loudness.gated_loudness(loudness.full_gates(sums, 0, *SPANS[0], sizes), sizes)
+    lra = loudness.loudness_range(loudness.series(loudness.full_gates(sums, 1, *SPANS[1], sizes, TAIL)))
+    hist = settle(blocks.histogram(df, buckets))
+    median = samples.histogram_percentile(hist, 50, buckets).withColumnRenamed("level", "median")
+    out = lufs.join(lra, "track", "left").join(blocks.true_peak(df), "track").join(amplitude(hist, buckets), "track", "left").join(median, "track", "left")
     return out.withColumn("lra", F.coalesce("lra", F.lit(0.0)))
 
 
-def _apply(df: DataFrame, gains: DataFrame) -> DataFrame:
-    out = df.join(gains, "track").withColumn("samples", F.transform("samples", lambda x: x * F.col("factor")))
+def amplitude(hist: DataFrame, buckets: int) -> DataFrame:
+    """(track, peak, buckets, total) from (track, bucket, n, bucket_max): the counts as an array of all buckets."""
+    rows = hist.groupBy("track").agg(F.max("bucket_max").alias("peak"), F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("m"), F.sum("n").alias("total"))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0).cast("long")))
+    return rows.select("track", "peak", counts.alias("buckets"), "total")
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """A JSON line for each track: integrated, truePeak, range and amplitude {buckets, bucketMax, totalSamples, median}."""
+    shape = F.struct("buckets", F.col("peak").alias("bucketMax"), F.col("total").alias("totalSamples"), "median").alias("amplitude")
+    report.select("track", F.col("lufs").alias("integrated"), F.col("true_peak").alias("truePeak"), F.col("lra").alias("range"), shape).write.mode("overwrite").json(path)
+
+
+def write_waveform(points: DataFrame, path: str, rate: float, frames_per_point: int) -> None:
+    """The table of samples.waveform, each row with the rate and points a second that a reader needs."""
+    head = {"rate": F.lit(float(rate)), "resolution": F.lit(rate / frames_per_point)}
+    points.withColumns(head).write.mode("overwrite").partitionBy("channel").parquet(path)
+
+
+def write_spectrogram(frames: DataFrame, path: str, rate: float, fft: int, hop: int, scale: str = "linear", low: float = 0.0, high: float | None = None) -> None:
+    """The table of blocks.spectrogram or spectra.to_bands as 32-bit floats, with what a header would say."""
+    head = {"rate": rate, "fft": fft, "hop": hop, "scale": scale, "low": low, "high": rate / 2 if high is None else high}
+    rows = frames.withColumn("bands", F.col("bands").cast("array<float>")).withColumns({k: F.lit(v) for k, v in head.items()})
+    rows.write.mode("overwrite").partitionBy("channel").parquet(path)
+
+
+def apply_gains(df: DataFrame, gains: DataFrame) -> DataFrame:
+    """Blocks times a factor for each track (track, factor)."""
+    out = per_track(df, gains, place="block_idx").withColumn("samples", F.transform("samples", lambda x: x * F.col("factor")))
     return out.select(df.columns)
 
 
-def loudness_normalize(df: DataFrame, rate: float, target: float = -23.0) -> DataFrame:
-    found = loudness.integrated(k_weighted_power(df), rate)
-    return _apply(df, found.select("track", levels.loudness_gain(F.col("lufs"), target).alias("factor")))
+def loudness_normalize(df: DataFrame, rate: float | None = None, target: float = -23.0, weights: Sequence[float] | None = None, sections: blocks.Sections | None = None) -> DataFrame:
+    found = integrated_loudness(df, rate, weights, sections)
+    return apply_gains(df, found.select("track", levels.loudness_gain(F.col("lufs"), target).alias("factor")))
 
 
 def true_peak_normalize(df: DataFrame, target_db: float = -1.0) -> DataFrame:
-    return _apply(df, blocks.true_peak(df).select("track", levels.true_peak_gain(F.col("true_peak"), target_db).alias("factor")))
+    return apply_gains(df, blocks.true_peak(df).select("track", levels.true_peak_gain(F.col("true_peak"), target_db).alias("factor")))

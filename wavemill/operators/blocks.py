@@ -13,8 +13,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .lineage import settle
+from . import design
+from .lineage import per_track, settle
 
 KEY = ["track", "channel", "block_idx"]
 BLOCK = 65_536
@@ -25,11 +28,7 @@ TAPS = (
     (-0.0291748046875, 0.0292968750000, -0.0517578125000, 0.0891113281250, -0.1665039062500, 0.4650878906250, 0.7797851562500, -0.2003173828125, 0.1015625000000, -0.0582275390625, 0.0330810546875, -0.0189208984375),
 )
 PHASES = (*TAPS, TAPS[1][::-1], TAPS[0][::-1])
-#: K-weighting at 48 kHz: shelf and high-pass, numerator and denominator (fixed values).
-K_WEIGHTING = (
-    ((1.53512485958697, -2.69169618940638, 1.19839281085285), (1.0, -1.69065929318241, 0.73248077421585)),
-    ((1.0, -2.0, 1.0), (1.0, -1.99004745483398, 0.99007225036621)),
-)
+K_WEIGHTING = design.K_48000
 
 
 def from_samples(df: DataFrame, size: int = BLOCK) -> DataFrame:
@@ -134,7 +133,7 @@ def true_peak(df: DataFrame) -> DataFrame:
     """(track, true_peak): the largest of the samples and of four interpolated ones for each, with the tail behind the end."""
     haloed = with_halo(df, 11, 0)
     ends = df.groupBy("track", "channel").agg(F.max("block_idx").alias("_end"))
-    source = haloed.join(ends, ["track", "channel"]).select("track", "samples", "left", (F.col("block_idx") == F.col("_end")).alias("last"))
+    source = per_track(haloed, ends, on=("track", "channel"), place="block_idx").select("track", "samples", "left", (F.col("block_idx") == F.col("_end")).alias("last"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,6 +147,49 @@ def true_peak(df: DataFrame) -> DataFrame:
     return source.mapInArrow(run, f"track {dict(df.dtypes)['track']}, p double").groupBy("track").agg(F.max("p").alias("true_peak"))
 
 
+def true_peak_position(df: DataFrame) -> DataFrame:
+    """(track, frame, magnitude): where the largest interpolated magnitude is, the first of equal ones.
+
+    An interpolated value belongs to the last frame that it is made of; in the tail behind
+    the end, to the last frame.
+    """
+    ends = df.groupBy("track", "channel").agg(F.max("block_idx").alias("_end"))
+    source = per_track(with_halo(df, 11, 0), ends, on=("track", "channel"), place="block_idx")
+    source = source.select("track", "offset", "samples", "left", (F.col("block_idx") == F.col("_end")).alias("last"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for offset, samples, left, last in zip(*(batch.column(i) for i in (1, 2, 3, 4))):
+                x, before = (np.asarray(v.values.to_numpy(zero_copy_only=False), np.float64) for v in (samples, left))
+                padded = np.concatenate([np.zeros(11 - len(before)), before, x, np.zeros(11 if last.as_py() else 0)])
+                tops = np.abs(interpolate(padded)).max(1) if len(padded) > 11 else np.zeros(1)
+                at = int(tops.argmax())
+                found.append((float(tops[at]), offset.as_py() + min(at, max(0, len(x) - 1))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m for m, _ in found], pa.float64()), pa.array([f for _, f in found], pa.int64())], names=["track", "m", "f"])
+
+    rows = source.mapInArrow(run, f"track {dict(df.dtypes)['track']}, m double, f long")
+    best = rows.groupBy("track").agg(F.max(F.struct("m", (-F.col("f")).alias("f"))).alias("b"))
+    return best.select("track", (-F.col("b.f")).alias("frame"), F.col("b.m").alias("magnitude"))
+
+
+def held_magnitudes(df: DataFrame, half: int) -> DataFrame:
+    """(track, channel 0, …) blocks: the largest interpolated magnitude over all channels, of the frames within `half`."""
+    loud = map_blocks(df, _magnitudes, 11, 0)
+    top = loud.groupBy("track", "block_idx", "offset").agg(F.collect_list("samples").alias("all"))  # an array for each channel
+    largest = F.transform(F.get("all", 0), lambda x, i: F.array_max(F.transform("all", lambda channel: F.get(channel, i))))
+    return sliding_extreme(top.select("track", F.lit(0).alias("channel"), "block_idx", "offset", largest.alias("samples")), half)
+
+
+def detection(df: DataFrame, half: int) -> DataFrame:
+    """held_magnitudes in dB."""
+    return held_magnitudes(df, half).withColumn("samples", F.transform("samples", lambda x: 20.0 * F.log10(F.greatest(x, F.lit(1e-10)))))
+
+
+def _magnitudes(x: np.ndarray, before: int, behind: int) -> np.ndarray:
+    return np.abs(interpolate(np.concatenate([np.zeros(11 - before), x]))).max(1)
+
+
 def true_peak_long(df: DataFrame) -> DataFrame:
     """The same over samples(track, channel, frame, value), by lags."""
     order = Window.partitionBy("track", "channel").orderBy("frame")
@@ -193,57 +235,211 @@ class Filter:
         return out, state
 
 
-def lti_filter(df: DataFrame, sections: Sequence[tuple[Sequence[float], Sequence[float]]]) -> DataFrame:
-    """Filters each channel as if it were one run, block by block.
+Sections = Sequence[tuple[Sequence[float], Sequence[float]]]
+
+
+def _machines(df: DataFrame, sections: Sections | Callable[[float], Sections]) -> dict[float | None, Filter]:
+    """One filter, or one for each distinct rate in the column `rate`, of which there are few."""
+    if not callable(sections):
+        return {None: Filter(sections)}
+    return {r["rate"]: Filter(sections(float(r["rate"]))) for r in df.select("rate").distinct().collect()}
+
+
+def lti_map(df: DataFrame, sections: Sections | Callable[[float], Sections], finish: Callable[[dict, np.ndarray], dict[str, Sequence]], schema: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Filters each channel as if it were one run, block by block, and returns what finish makes of each block.
 
     First every block tells, from rest, the state at its end; these few numbers are
-    carried from block to block of a channel; then every block runs from its state.
+    carried from block to block of a channel; then every block runs from its state, and
+    finish(the block's key, offset and `keep`, its filtered samples) gives columns of rows.
     """
-    machine, order = Filter(sections), 2 * len(sections)
+    machines = _machines(df, sections)
+    by_rate = None not in machines
     kinds = dict(df.dtypes)
     keys = ", ".join(f"{c} {kinds[c]}" for c in KEY)
+    given = [*KEY, *(["rate"] if by_rate else [])]
     values = lambda x: np.asarray(x.values.to_numpy(zero_copy_only=False), np.float64)
+    rates = lambda batch: batch.column(3).to_pylist() if by_rate else [None] * batch.num_rows
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [machine.run(values(x), np.zeros(order))[1] for x in batch.column(3)]
-            sizes = [len(x.values) for x in batch.column(3)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(sizes, pa.int32()), pa.array(found, pa.list_(pa.float64()))], names=[*KEY, "n", "state"])
+            samples, machine = batch.column(batch.num_columns - 1), [machines[r] for r in rates(batch)]
+            found = [m.run(values(x), np.zeros(len(m.a)))[1] for m, x in zip(machine, samples)]
+            over = [np.linalg.matrix_power(m.a, len(x.values)).ravel() for m, x in zip(machine, samples)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(over, pa.list_(pa.float64())), pa.array(found, pa.list_(pa.float64()))], names=[*KEY, "over", "state"])
 
     def carry(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, state, out, powers = rows.sort_values("block_idx"), np.zeros(order), [], {}
-        for n, own in zip(rows["n"], rows["state"]):
+        rows, out = rows.sort_values("block_idx"), []
+        state = np.zeros(len(rows["state"].iloc[0]))
+        for over, own in zip(rows["over"], rows["state"]):
             out.append(state)
-            if n not in powers:
-                powers[n] = np.linalg.matrix_power(machine.a, n)
-            state = powers[n] @ state + own
+            state = np.asarray(over).reshape(len(state), -1) @ state + own
         return rows[KEY].assign(state=out)
 
-    states = df.select(*KEY, "samples").mapInArrow(ends, f"{keys}, n int, state array<double>")
+    states = df.select(*given, "samples").mapInArrow(ends, f"{keys}, over array<double>, state array<double>")
     states = states.groupBy("track", "channel").applyInPandas(carry, f"{keys}, state array<double>")
-    source = df.join(states, KEY).select(*KEY, "offset", "samples", "state")
+    source = df.join(states, KEY).select(*given, "offset", *[c for c in keep if c not in given], "samples", "state")
+    names = [c for c in source.columns if c not in ("samples", "state")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = [machine.run(values(x), values(s))[0] for x, s in zip(batch.column(4), batch.column(5))]
+            rows, columns = batch.select(names).to_pylist(), (batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1))
+            for row, rate, x, s in zip(rows, rates(batch), *columns):
+                made = finish(row, machines[rate].run(values(x), values(s))[0])
+                if len(next(iter(made.values()))):
+                    yield pa.RecordBatch.from_pydict(made, schema=arrow)
+
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
+    return source.mapInArrow(run, schema)
+
+
+def lti_filter(df: DataFrame, sections: Sections | Callable[[float], Sections]) -> DataFrame:
+    """The filtered blocks. A callable gets the rate of each track, from the column `rate`."""
+    kinds, rated = dict(df.dtypes), callable(sections)
+
+    def finish(row: dict, y: np.ndarray) -> dict:
+        return {c: [row[c]] for c in ((*KEY, "offset", "rate") if rated else (*KEY, "offset"))} | {"samples": [y]}
+
+    keys = ", ".join(f"{c} {kinds[c]}" for c in ((*KEY, "offset", "rate") if rated else (*KEY, "offset")))
+    return lti_map(df, sections, finish, f"{keys}, samples array<double>")
+
+
+def gated_sums(df: DataFrame, sections: Sections | Callable[[float], Sections], spans: Sequence[tuple[float, float]], rate: float | None = None, weights: Sequence[float] | None = None) -> DataFrame:
+    """(track, span, gate, power): sums of squares of the filtered channels, for gates of span[0] seconds
+    every span[1], spans numbered from 0; one row for each gate leaves a block, none for each sample.
+
+    weights: of the channels, 1 without. rate: of all tracks, or None for the column `rate`.
+    """
+    kind = dict(df.dtypes)["track"]
+
+    def finish(row: dict, y: np.ndarray) -> dict:
+        power = y * y * (1.0 if weights is None else weights[row["channel"]])
+        sums, at, frames = np.concatenate([[0.0], np.cumsum(power)]), row["offset"], rate or row["rate"]
+        out: dict[str, list] = {"track": [], "span": [], "gate": [], "power": []}
+        for k, (seconds, every) in enumerate(spans):
+            size, step = int(seconds * frames + 0.5), int(every * frames + 0.5)
+            gates = np.arange(max(0, (at - size) // step + 1), (at + len(y) - 1) // step + 1)
+            begin, end = np.clip(gates * step - at, 0, len(y)), np.clip(gates * step + size - at, 0, len(y))
+            out["track"] += [row["track"]] * len(gates)
+            out["span"] += [k] * len(gates)
+            out["gate"] += gates.tolist()
+            out["power"] += (sums[end] - sums[begin]).tolist()
+        return out
+
+    rows = lti_map(df, sections, finish, f"track {kind}, span int, gate long, power double", () if rate else ("rate",))
+    return rows.groupBy("track", "span", "gate").agg(F.sum("power").alias("power"))
+
+
+def magnitudes(df: DataFrame, fn: Callable[[np.ndarray, float], dict[str, Sequence]], schema: str, tops: DataFrame) -> DataFrame:
+    """What fn makes of each block's magnitudes and its track's number in tops (track, top)."""
+    source = per_track(df, tops, place="block_idx").select("track", "top", "samples")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for track, top, samples in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                made = fn(np.abs(np.asarray(samples.values.to_numpy(zero_copy_only=False), np.float64)), top)
+                n = len(next(iter(made.values())))
+                if n:
+                    yield pa.RecordBatch.from_pydict({"track": [track] * n} | made, schema=arrow)
+
+    full = f"track {dict(df.dtypes)['track']}, {schema}"
+    arrow = to_arrow_schema(T.StructType.fromDDL(full))
+    return source.mapInArrow(run, full)
+
+
+def peak(df: DataFrame) -> DataFrame:
+    """(track, peak): the largest finite magnitude, 0 without any; a number for each block is shuffled."""
+    finite = F.filter(F.transform("samples", lambda x: F.abs(x.cast("double"))), lambda x: x < float("inf"))
+    return df.groupBy("track").agg(F.coalesce(F.max(F.array_max(finite)), F.lit(0.0)).alias("peak"))
+
+
+def histogram(df: DataFrame, buckets: int = 1024) -> DataFrame:
+    """(track, bucket, n, bucket_max), as samples.histogram; counted inside each block first."""
+
+    def count(x: np.ndarray, top: float) -> dict:
+        at = np.minimum(buckets - 1, np.floor(x * buckets / top)).astype(np.int64) if top > 0 else np.zeros(len(x), np.int64)
+        n = np.bincount(at)
+        return {"bucket": np.flatnonzero(n), "n": n[n > 0], "bucket_max": [top] * int((n > 0).sum())}
+
+    tops = peak(df).withColumnRenamed("peak", "top")
+    return magnitudes(df, count, "bucket int, n long, bucket_max double", tops).groupBy("track", "bucket", "bucket_max").agg(F.sum("n").alias("n"))
+
+
+def moving_average(df: DataFrame, window: int) -> DataFrame:
+    """The mean of each sample and window // 2 on both sides, of those that there are."""
+    half = window // 2
+
+    def mean(x: np.ndarray, before: int, behind: int) -> np.ndarray:
+        sums, at = np.concatenate([[0.0], np.cumsum(x)]), np.arange(before, len(x) - behind)
+        low, high = np.maximum(0, at - half), np.minimum(len(x), at + half + 1)
+        return (sums[high] - sums[low]) / (high - low)
+
+    return map_blocks(df, mean, half, half)
+
+
+def shape_noise(df: DataFrame, bits: int) -> DataFrame:
+    """As samples.shape_noise: the difference of the rounded running sums; a block begins with the sum of those before it."""
+    order = Window.partitionBy("track", "channel").orderBy("block_idx").rowsBetween(Window.unboundedPreceding, -1)
+    total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x)
+    sums = df.select(*KEY, total.alias("own")).select(*KEY, F.coalesce(F.sum("own").over(order), F.lit(0.0)).alias("before"))  # a number for each block
+    source, kinds, steps = df.join(sums, KEY).select(*KEY, "offset", "samples", "before"), dict(df.dtypes), float(1 << (bits - 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = []
+            for samples, before in zip(batch.column(4), batch.column(5).to_pylist()):
+                x = np.asarray(samples.values.to_numpy(zero_copy_only=False), np.float64)
+                done.append(np.diff(np.floor(np.concatenate([[before], before + np.cumsum(x)]) * steps + 0.5) / steps))
+                if batch.column(3)[len(done) - 1].as_py() == 0 and len(x):
+                    done[-1][0] += np.floor(before * steps + 0.5) / steps  # nothing is taken off the first
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(done, pa.list_(pa.float64()))], names=[*KEY, "offset", "samples"])
 
-    return source.mapInArrow(run, f"{keys}, offset {kinds['offset']}, samples array<double>")
+    keys = ", ".join(f"{c} {kinds[c]}" for c in (*KEY, "offset"))
+    return source.mapInArrow(run, f"{keys}, samples array<double>")
 
 
 def flipped(df: DataFrame) -> DataFrame:
     """The same blocks read backwards."""
     ends = df.groupBy("track", "channel").agg(F.max("block_idx").alias("_b"), F.max(F.col("offset") + F.size("samples")).alias("_n"))
-    back = df.join(ends, ["track", "channel"]).withColumn("offset", F.col("_n") - F.col("offset") - F.size("samples"))
+    back = per_track(df, ends, on=("track", "channel"), place="block_idx").withColumn("offset", F.col("_n") - F.col("offset") - F.size("samples"))
     return back.withColumn("block_idx", F.col("_b") - F.col("block_idx")).withColumn("samples", F.reverse("samples")).select(*KEY, "offset", "samples")
 
 
-def zero_phase(df: DataFrame, sections: Sequence[tuple[Sequence[float], Sequence[float]]]) -> DataFrame:
+def zero_phase(df: DataFrame, sections: Sections) -> DataFrame:
     """Forward, then backward; what lies between is written once, as each pass reads its input several times."""
     back = flipped(settle(lti_filter(df, sections)))
     return flipped(settle(lti_filter(settle(back), sections)))
 
 
+def band_pass(df: DataFrame, rate: float, low: float | None = None, high: float | None = None) -> DataFrame:
+    """Zero-phase high-pass at `low` hertz, then low-pass at `high`; either may be left out."""
+    if low:
+        df = zero_phase(df, [design.high_pass(rate, low)])
+    return zero_phase(df, [design.low_pass(rate, high)]) if high else df
+
+
+def _from_first(df: DataFrame, share: float) -> DataFrame:
+    """One-pole smoothing that begins at the channel's first value."""
+    first = df.filter("offset = 0").select("track", "channel", F.get("samples", 0).cast("double").alias("_first"))
+    rows = settle(per_track(df, first, on=("track", "channel"), place="block_idx"))
+    moved = rows.withColumn("samples", F.transform("samples", lambda x: x - F.col("_first"))).select(*KEY, "offset", "samples")
+    smooth = lti_filter(moved, [design.one_pole(share)])
+    back = per_track(smooth, first, on=("track", "channel"), place="block_idx")
+    return back.withColumn("samples", F.transform("samples", lambda x: x + F.col("_first"))).select(*KEY, "offset", "samples")
+
+
+def smooth(df: DataFrame, milliseconds: float, rate: float, both_ways: bool = False) -> DataFrame:
+    """One-pole smoothing of every channel, forward or (zero-phase) forward and backward; 0 ms changes nothing."""
+    if milliseconds <= 0:
+        return df
+    share = design.smoothing(milliseconds, rate, both_ways)
+    out = _from_first(df, share)
+    return flipped(settle(_from_first(settle(flipped(settle(out))), share))) if both_ways else out
+
+
+def rotate_phase(df: DataFrame, degrees: float) -> DataFrame:
+    return lti_filter(df, [design.allpass(degrees)])
+
+
 def hann(n: int) -> np.ndarray:
     return 0.5 * (1 - np.cos(2 * np.pi * np.arange(n) / n))
 
@@ -255,7 +451,7 @@ def stft(df: DataFrame, fft: int, hop: int, tail: bool = False) -> DataFrame:
     `tail`, samples behind the last whole frame make one more, padded with zeros.
     """
     ends = df.groupBy("track", "channel").agg(F.max(F.col("offset") + F.size("samples")).alias("_n"))
-    source = with_halo(df, 0, fft - hop).join(ends, ["track", "channel"]).select("track", "channel", "offset", "samples", "right", "_n")
+    source = per_track(with_halo(df, 0, fft - hop), ends, on=("track", "channel"), place="block_idx").select("track", "channel", "offset", "samples", "right", "_n")
     window, kinds = hann(fft), dict(df.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

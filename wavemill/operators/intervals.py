@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import levels
+from .lineage import per_track
 
 
 def to_frames(regions: DataFrame, rate: float) -> DataFrame:
@@ -43,16 +44,26 @@ def cut(df: DataFrame, regions: DataFrame, rate: float, bucket: int = 4096) -> D
     lengths = df.groupBy("track").agg((F.max("frame") + 1).alias("n"))
     stretches = first.unionByName(kept).join(lengths, "track").select("track", F.col("a").alias("start_frame"), F.least(F.coalesce("b", "n"), "n").alias("end_frame"), "gone").filter("end_frame > start_frame")
     touched = merged.select("track").distinct().withColumn("_cut", F.lit(True))
-    marked = df.join(touched, "track", "left")
+    marked = per_track(df, touched, "left")
     whole = marked.filter("_cut is null").select(df.columns)
     inside = marked.filter("_cut").withColumn("_bucket", F.floor(F.col("frame") / bucket))
     joined = inside.join(buckets(stretches, bucket), ["track", "_bucket"]).filter("frame >= start_frame and frame < end_frame")
     return whole.unionByName(joined.withColumn("frame", F.col("frame") - F.col("gone")).select(df.columns))
 
 
-def splice(df: DataFrame, insert: DataFrame, at: int) -> DataFrame:
-    """Frames from `at` on are those of insert (track, channel, frame, value), as far as it has any."""
+def splice(df: DataFrame, insert: DataFrame, at: int, channels: dict[int, int] | None = None, rate: float | None = None, insert_rate: float | None = None) -> DataFrame:
+    """Frames from `at` on are those of insert (track, channel, frame, value), as far as it has any.
+
+    channels: which channel of insert goes to which channel here; the others stay as they
+    are. Rates that are given must be equal.
+    """
+    if rate != insert_rate and None not in (rate, insert_rate):
+        raise ValueError(f"rates differ: {rate} and {insert_rate}")
     moved = insert.select("track", "channel", (F.col("frame") + at).alias("frame"), F.col("value").alias("_new"))
+    if channels is not None:
+        pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in channels.items()])
+        found = F.explode(F.filter(pairs, lambda p: p["a"] == F.col("channel")))
+        moved = moved.withColumn("_", found).select("track", F.col("_.b").alias("channel"), "frame", "_new")
     return df.join(moved, ["track", "channel", "frame"], "left").withColumn("value", F.coalesce("_new", "value")).select(df.columns)
 
 

@@ -1,10 +1,16 @@
-"""Where a frame that is costly to make is used several times."""
+"""Where a frame that is costly to make is used several times, and how rows of tracks meet their samples."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Up to so many rows of some tens of bytes, one for each track, are broadcast.
+BROADCAST_TRACKS = 1_000_000
+#: Beyond that, a track's samples are dealt to this many tasks.
+DEALS = 64
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -17,3 +23,17 @@ def settle(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)
+
+
+def per_track(df: DataFrame, rows: DataFrame, how: str = "inner", on: tuple[str, ...] = ("track",), place: str = "frame") -> DataFrame:
+    """Joins full data with `rows`, small ones of which there is one for each track (or track and channel).
+
+    They are counted, and broadcast if they are few; beyond it each is copied to DEALS
+    tasks, to which a track's data are dealt by `place`, so no track is in one task.
+    """
+    rows = settle(rows)
+    if rows.count() <= BROADCAST_TRACKS:
+        return df.join(F.broadcast(rows), list(on), how)
+    copied = rows.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
+    dealt = df.withColumn("_deal", F.pmod(F.xxhash64(place), F.lit(DEALS)).cast("int"))
+    return dealt.join(copied, [*on, "_deal"], how).drop("_deal")

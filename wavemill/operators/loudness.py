@@ -43,18 +43,43 @@ def gated_mean(found: DataFrame) -> DataFrame:
     return found.join(means, "track").groupBy("track").agg(F.avg(both).alias("power"))
 
 
+def gated_loudness(found: DataFrame, tracks: DataFrame) -> DataFrame:
+    """(track, lufs) from 400 ms gates; silence, or no gate, is minus infinity."""
+    lufs = levels.power_to_lufs(F.coalesce("power", F.lit(0.0)))
+    return tracks.select("track").distinct().join(gated_mean(found), "track", "left").select("track", lufs.alias("lufs"))
+
+
+def series(found: DataFrame) -> DataFrame:
+    """(track, gate, lufs) of gates, not under a power of 1e-10."""
+    return found.select("track", "gate", levels.power_to_lufs(F.col("power"), 1e-10).alias("lufs"))
+
+
 def integrated(powers: DataFrame, rate: float) -> DataFrame:
     """(track, lufs): gates of 400 ms every 100 ms; silence is minus infinity."""
-    found = gates(powers, int(0.4 * rate + 0.5), int(0.1 * rate + 0.5))
-    tracks = powers.select("track").distinct()
-    lufs = levels.power_to_lufs(F.coalesce("power", F.lit(0.0)))
-    return tracks.join(gated_mean(found), "track", "left").select("track", lufs.alias("lufs"))
+    return gated_loudness(gates(powers, int(0.4 * rate + 0.5), int(0.1 * rate + 0.5)), powers)
+
+
+def momentary(powers: DataFrame, rate: float) -> DataFrame:
+    """(track, gate, lufs): 400 ms every 100 ms, not under a power of 1e-10."""
+    return series(gates(powers, int(0.4 * rate + 0.5), int(0.1 * rate + 0.5)))
 
 
 def short_term(powers: DataFrame, rate: float) -> DataFrame:
     """(track, gate, lufs): 3 s every 100 ms, not under a power of 1e-10."""
-    found = gates(powers, int(3 * rate + 0.5), int(0.1 * rate + 0.5))
-    return found.select("track", "gate", levels.power_to_lufs(F.col("power"), 1e-10).alias("lufs"))
+    return series(gates(powers, int(3 * rate + 0.5), int(0.1 * rate + 0.5)))
+
+
+def full_gates(sums: DataFrame, span: int, seconds: float, every: float, lengths: DataFrame, tail: float = 0.0) -> DataFrame:
+    """(track, gate, power): the means of blocks.gated_sums' full gates of one span.
+
+    lengths: (track, n, rate). tail: seconds of silence after the end, which make more
+    gates full; those that hold nothing but silence are made here.
+    """
+    frames = lambda s: F.floor(F.lit(s) * F.col("rate") + 0.5)
+    count = F.floor((F.col("n") + frames(tail) - frames(seconds)) / frames(every)) + 1
+    due = lengths.filter(count > 0).select("track", frames(seconds).alias("size"), F.explode(F.sequence(F.lit(0).cast("long"), (count - 1).cast("long"))).alias("gate"))
+    found = sums.filter(F.col("span") == span).select("track", "gate", "power")
+    return due.join(found, ["track", "gate"], "left").select("track", "gate", (F.coalesce("power", F.lit(0.0)) / F.col("size")).alias("power"))
 
 
 def _considered(series: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import levels
+from . import blocks
+from .lineage import per_track
 
 TRACK = ("track",)
 SIGNAL = ("track", "channel")
@@ -26,9 +28,9 @@ def gain(df: DataFrame, db: float) -> DataFrame:
 def track_gain(df: DataFrame, gains: DataFrame) -> DataFrame:
     """gains: (track, factor), a row for each track at most; tracks without one stay as they are.
 
-    Spark broadcasts the gains if they are small and joins by track otherwise.
+    The gains are broadcast if they are few, else a track is dealt to several tasks.
     """
-    return df.join(gains, "track", "left").withColumn("value", F.col("value") * F.coalesce("factor", F.lit(1.0))).select(df.columns)
+    return per_track(df, gains, "left").withColumn("value", F.col("value") * F.coalesce("factor", F.lit(1.0))).select(df.columns)
 
 
 def invert(df: DataFrame) -> DataFrame:
@@ -75,7 +77,7 @@ def replace_channel(df: DataFrame, channel: int, other: DataFrame) -> DataFrame:
 
 def reverse(df: DataFrame) -> DataFrame:
     ends = df.groupBy("track").agg(F.max("frame").alias("_last"))
-    return df.join(ends, "track").withColumn("frame", F.col("_last") - F.col("frame")).drop("_last")
+    return per_track(df, ends).withColumn("frame", F.col("_last") - F.col("frame")).select(df.columns)
 
 
 def pad(df: DataFrame, rate: float, before: float = 0.0, after: float = 0.0) -> DataFrame:
@@ -98,7 +100,7 @@ def trim(df: DataFrame, threshold: float = 0.0, margin: int = 0, start: bool = T
     ends = df.groupBy("track").agg(F.min(loud).alias("_a"), F.max(loud).alias("_b"), F.max("frame").alias("_n")).filter("_a is not null")
     first = F.greatest(F.lit(0), F.col("_a") - margin) if start else F.lit(0).cast("long")
     last = F.least(F.col("_n"), F.col("_b") + margin) if end else F.col("_n")
-    kept = df.join(ends, "track").filter(F.col("frame").between(first, last))
+    kept = per_track(df, ends).filter(F.col("frame").between(first, last))
     return kept.withColumn("frame", F.col("frame") - first).select(df.columns)
 
 
@@ -108,11 +110,9 @@ def dither(df: DataFrame, bits: int, seed: int = 1) -> DataFrame:
     return df.withColumn("value", levels.quantize_level(F.col("value") + (uniform(0) - uniform(1)) / float(1 << (bits - 1)), bits))
 
 
-def shape_noise(df: DataFrame, bits: int) -> DataFrame:
-    """First-order error feedback: the difference of the rounded running sums."""
-    order = Window.partitionBy(*SIGNAL).orderBy("frame")
-    df = df.withColumn("_sum", levels.quantize_level(F.sum("value").over(order), bits))
-    return df.withColumn("value", F.col("_sum") - F.lag("_sum", 1, 0.0).over(order)).drop("_sum")
+def shape_noise(df: DataFrame, bits: int, size: int = blocks.BLOCK) -> DataFrame:
+    """First-order error feedback: the difference of the rounded running sums; in blocks of `size`."""
+    return blocks.to_samples(blocks.shape_noise(blocks.from_samples(df, size), bits))
 
 
 def downmix(df: DataFrame) -> DataFrame:
@@ -141,7 +141,7 @@ def histogram(df: DataFrame, buckets: int = 1024) -> DataFrame:
     size = F.abs("value")
     tops = peak(df)
     bucket = F.when(F.col("peak") > 0, F.least(F.lit(buckets - 1), F.floor(size * buckets / F.col("peak")))).otherwise(0).cast("int")
-    return df.join(tops, "track").groupBy("track", bucket.alias("bucket"), F.col("peak").alias("bucket_max")).agg(F.count(F.lit(1)).alias("n"))
+    return per_track(df, tops).groupBy("track", bucket.alias("bucket"), F.col("peak").alias("bucket_max")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def histogram_percentile(hist: DataFrame, percent: float, buckets: int = 1024) -> DataFrame:
@@ -180,18 +180,30 @@ def checks(df: DataFrame, rate: float, expected_seconds: float | None = None) ->
     return out if expected_seconds is None else out.withColumn("off_length", F.abs(F.col("seconds") - expected_seconds) > 0.01 * expected_seconds)
 
 
-def moving_average(df: DataFrame, window: int) -> DataFrame:
-    h = window // 2
-    return df.withColumn("value", F.avg("value").over(Window.partitionBy(*SIGNAL).orderBy("frame").rowsBetween(-h, h)))
+def moving_average(df: DataFrame, window: int, size: int = blocks.BLOCK) -> DataFrame:
+    """Of those frames around each that there are; in blocks of `size`, at least window // 2."""
+    return blocks.to_samples(blocks.moving_average(blocks.from_samples(df, size), window))
 
 
-def sliding_max(df: DataFrame, half: int) -> DataFrame:
-    """For small windows; wider ones are for blocks.sliding_extreme."""
-    return df.withColumn("value", F.max("value").over(Window.partitionBy(*SIGNAL).orderBy("frame").rowsBetween(-half, half)))
+def sliding_max(df: DataFrame, half: int, size: int = blocks.BLOCK) -> DataFrame:
+    return blocks.to_samples(blocks.sliding_extreme(blocks.from_samples(df, size), half))
 
 
-def windows(df: DataFrame, size: int, hop: int) -> DataFrame:
-    """(track, channel, window, i, value): each window of `size` frames every `hop`; the last is short, not padded."""
+def channel_sum(df: DataFrame) -> DataFrame:
+    """Channel 0 is the sum of all."""
+    return df.groupBy("track", "frame").agg(F.sum("value").alias("value")).select("track", F.lit(0).alias("channel"), "frame", "value")
+
+
+def windows(df: DataFrame, size: int, hop: int, padded: bool = False) -> DataFrame:
+    """(track, channel, window, i, value): each window of `size` frames every `hop`; the last ones are short or padded with zeros."""
+    if padded:
+        ends = df.groupBy(*SIGNAL).agg((F.max("frame") + 1).alias("n"))
+        # behind the last frame only what its windows lack: less than one window for each channel
+        stop = F.floor((F.col("n") - 1) / hop) * hop + size
+        tail = ends.filter(stop > F.col("n")).select(*SIGNAL, F.explode(F.sequence(F.col("n"), (stop - 1).cast("long"))).alias("frame"), F.lit(0.0).alias("value"), "n")
+        out = windows(df.select(*SIGNAL, "frame", "value").unionByName(tail.drop("n")), size, hop)
+        last = ends.select(*SIGNAL, F.floor((F.col("n") - 1) / hop).alias("_last"))
+        return per_track(out, last, on=SIGNAL, place="window").filter("window <= _last").drop("_last")
     first = F.greatest(F.lit(0), F.floor((F.col("frame") - size) / hop) + 1)
     out = df.withColumn("window", F.explode(F.sequence(first.cast("long"), F.floor(F.col("frame") / hop).cast("long"))))
     return out.select(*SIGNAL, "window", (F.col("frame") - F.col("window") * hop).alias("i"), "value")

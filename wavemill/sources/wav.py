@@ -79,8 +79,8 @@ def encode_pcm(x: np.ndarray, bits: int, floating: bool = False) -> bytes:
 
 
 class _Part(InputPartition):
-    def __init__(self, path: str, head: dict, first: int, last: int):
-        self.path, self.head, self.first, self.last = path, head, first, last
+    def __init__(self, path: str, number: int):
+        self.path, self.number = path, number
 
 
 class _Reader(DataSourceReader):
@@ -89,36 +89,53 @@ class _Reader(DataSourceReader):
         self.paths = sorted(glob.glob(os.path.join(path, "*.wav")) if os.path.isdir(path) else glob.glob(path))
         self.mode, self.size = options.get("mode", "blocks"), int(options.get("blockframes", blocks.BLOCK))
         self.per_part = int(options.get("blocksperpartition", 64))
+        self.channels = [int(c) for c in options["channels"].split(",")] if options.get("channels") else None
+        self.base = os.path.commonpath([os.path.dirname(p) for p in self.paths]) if self.paths else ""
 
     def partitions(self):
+        """By sizes from the listing alone: a part's frames are known where its task reads the header."""
         out = []
         for path in self.paths:
-            with open(path, "rb") as file:
-                head = parse_header(file, path)
-            count = max(1, -(-head["n_frames"] // self.size))
-            step = count if self.mode == "header" else self.per_part
-            out += [_Part(path, head, i, min(count, i + step)) for i in range(0, count, step)]
+            # a frame has a byte at least; parts behind the last frame have nothing to read
+            count = 1 if self.mode == "header" else max(1, -(-os.path.getsize(path) // (self.size * self.per_part)))
+            out += [_Part(path, i) for i in range(count)]
         return out
 
+    def track(self, path):
+        """The file's path under what all have in common, so that files of one name in two folders are two tracks."""
+        return os.path.relpath(path, self.base).removesuffix(".wav")
+
     def read(self, part):
-        head, track = part.head, os.path.basename(part.path).removesuffix(".wav")
+        with open(part.path, "rb") as file:
+            head, track = parse_header(file, part.path), self.track(part.path)
         if self.mode == "header":
             yield (track, part.path, head["sample_rate"], head["n_channels"], head["bit_depth"], head["audio_format"], head["n_frames"], head["n_frames"] / head["sample_rate"])
             return
         with open(part.path, "rb") as file:
-            for block in range(part.first, part.last):
+            for block in range(part.number * self.per_part, (part.number + 1) * self.per_part):
                 at = block * self.size
                 n = min(self.size, head["n_frames"] - at)
                 if n <= 0:
                     return
                 file.seek(head["data_at"] + at * head["align"])
                 x = decode_pcm(file.read(n * head["align"]), head["bit_depth"], head["audio_format"]).reshape(-1, head["n_channels"])
-                for channel in range(head["n_channels"]):
-                    yield (track, channel, block, at, head["sample_rate"], head["bit_depth"], x[:, channel].tolist())
+                wanted = range(head["n_channels"]) if self.channels is None else self.channels
+                for channel, source in enumerate(wanted):
+                    values = x[:, source] if source < head["n_channels"] else np.zeros(len(x), np.float32)
+                    yield self._batch(track, channel, block, at, head, values)
+
+    @staticmethod
+    def _batch(track, channel, block, at, head, values):
+        """One row as an Arrow batch, so that samples don't become Python numbers."""
+        one = [[track], [channel], [block], [at], [head["sample_rate"]], [head["bit_depth"]]]
+        samples = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(np.ascontiguousarray(values, np.float32), pa.float32()))
+        kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([*(pa.array(v, k) for v, k in zip(one, kinds)), samples], names=[f.split()[0] for f in BLOCKS.split(", ")])
 
 
 class WavDataSource(DataSource):
-    """Options: path (a directory or pattern), mode (blocks or header), blockFrames, blocksPerPartition."""
+    """Options: path (a directory or pattern), mode (blocks or header), blockFrames, blocksPerPartition, and
+    channels (source channels, as 1,0; those that a file lacks are silent; none: all of them)."""
 
     @classmethod
     def name(cls):

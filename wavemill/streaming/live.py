@@ -41,6 +41,12 @@ def activity(df: DataFrame, threshold: float, gap: str, late: str = LATE) -> Dat
     return loud.groupBy("track", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n")).select("track", F.col("w.start").alias("start"), "n")
 
 
+def sessions(df: DataFrame, gap: str, late: str = LATE) -> DataFrame:
+    """(track, start, last, n): stretches in which beats follow each other within `gap`; after `last`, a stream is stalled."""
+    out = df.withWatermark("ts", late).groupBy("track", F.session_window("ts", gap).alias("w")).agg(F.max("ts").alias("last"), F.count(F.lit(1)).alias("n"))
+    return out.select("track", F.col("w.start").alias("start"), "last", "n")
+
+
 def fine_histogram(df: DataFrame, step: float) -> DataFrame:
     """(track, bucket, n) of magnitudes in fixed fine steps, which merge into any wider ones when read."""
     return df.groupBy("track", F.floor(F.abs("value") / step).cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
@@ -78,6 +84,65 @@ def throttle(df: DataFrame, seconds: float, least: float) -> DataFrame:
     return df.groupBy("track").applyInPandasWithState(run, f"track {kinds['track']}, ts {kinds['ts']}, value double", "at double, top double", "append", GroupStateTimeout.NoTimeout)
 
 
+def hysteresis(df: DataFrame, threshold: float, window: int, min_silence: int, min_speech: int, slack: float = 0.15) -> DataFrame:
+    """(track, start_frame, end_frame) of segments as they close, from scores (track, w, p, last) in the order of w;
+    what intervals.hysteresis says of the whole table.
+
+    State: where the open segment began, where its silence began, the next window. A row
+    with `last` ends its track: an open segment is closed there. Rows of a batch are taken
+    in order; one that isn't next is an error.
+    """
+    low = max(threshold - slack, 0.01)
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(batches).sort_values("w")
+        begin, silent, after = state.get if state.exists else (-1, -1, 0)
+        out = []
+        for w, p, last in zip(rows["w"], rows["p"], rows["last"]):
+            if w != after:
+                raise ValueError(f"window {w} of {key}, expected {after}")
+            at, after, stop = w * window, w + 1, -1
+            if p >= threshold:
+                begin, silent = at if begin < 0 else begin, -1
+            elif p < low and begin >= 0:
+                silent = at if silent < 0 else silent
+                stop = silent if at - silent >= min_silence else -1
+            if stop < 0 and last and begin >= 0:
+                stop = after * window
+            if stop >= 0:
+                if stop - begin > min_speech:
+                    out.append((*key, begin, stop))
+                begin, silent = -1, -1
+        state.update((int(begin), int(silent), int(after)))
+        yield pd.DataFrame(out, columns=["track", "start_frame", "end_frame"])
+
+    schema = f"track {dict(df.dtypes)['track']}, start_frame long, end_frame long"
+    return df.groupBy("track").applyInPandasWithState(run, schema, "begin long, silent long, after long", "append", GroupStateTimeout.NoTimeout)
+
+
+def closed_up(df: DataFrame) -> DataFrame:
+    """Blocks (track, channel, offset, samples, kept) as they come, without the frames not kept: each offset less all
+    frames left out before it. State: that number and the next offset; blocks of a batch are taken in order."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(batches).sort_values("offset")
+        gone, after = state.get if state.exists else (0, 0)
+        out = []
+        for offset, samples, kept in zip(rows["offset"], rows["samples"], rows["kept"]):
+            if offset != after:
+                raise ValueError(f"block at {offset} of {key}, expected {after}")
+            left = [float(x) for x, k in zip(samples, kept) if k]
+            if left:
+                out.append((*key, offset - gone, left))
+            gone, after = gone + len(samples) - len(left), offset + len(samples)
+        state.update((int(gone), int(after)))
+        yield pd.DataFrame(out, columns=["track", "channel", "offset", "samples"])
+
+    kinds = dict(df.dtypes)
+    schema = f"track {kinds['track']}, channel {kinds['channel']}, offset long, samples array<double>"
+    return df.groupBy("track", "channel").applyInPandasWithState(run, schema, "gone long, after long", "append", GroupStateTimeout.NoTimeout)
+
+
 def lti_filter(df: DataFrame, sections) -> DataFrame:
     """Filters (track, channel, offset, samples) as they come; the state is the filter's few numbers and the
     next offset. Blocks of a batch are taken in order; one that isn't next is an error."""
