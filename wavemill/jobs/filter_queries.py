@@ -145,7 +145,7 @@ def frequency_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
 def loudness_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filters of 48 kHz, gates of the nominal rate; what was done for each track."""
     df = blocks.settle(blocks.from_samples(tables.signal(spark, sf_dir), 256))
-    return _rounded(target.loudness_target(df, RATE, -12.0, smoothing_ms=20.0, most_attempts=4, sections=design.K_48000)[1])
+    return _rounded(target.loudness_target(df, RATE, -9.0, smoothing_ms=20.0, never_expand=True, most_attempts=2, sections=design.K_48000)[1])
 
 
 def source_measures(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import levels
 from ..operators import blocks, design, loudness
-from ..operators.lineage import per_track, settle
+from ..operators.lineage import per_track, settle, written
 from . import reports
 
 #: Boosts of the body in dB, the pivot where none can be measured, and how far a peak may pass its target (fixed values).
@@ -152,33 +152,33 @@ def loudness_target(df: DataFrame, rate: float, target_lufs: float = -16.0, targ
     limit = F.lit(float(limit_db)) if limit_db is not None else F.when(F.abs("limit_db") < float("inf"), F.col("limit_db")).otherwise(F.col("true_peak_db"))
     # between the pivot and the source's peak
     state = state.withColumn("floor", low).withColumn("limit_db", F.greatest(F.col("pivot") + 0.01, F.least(limit, F.col("true_peak_db"))))
-    state = settle(state.withColumn("peak_cap", F.col("peak_goal") - F.col("limit_db")))
+    state = written(state.withColumn("peak_cap", F.col("peak_goal") - F.col("limit_db")))
     kind = dict(df.dtypes)["track"]
-    detected = settle(blocks.detection(df, half))
+    detected = written(blocks.detection(df, half))
     columns = ["track", "lufs", "counts", "bucket_max", "floor", "pivot", "limit_db", "peak_cap"]
     attempts = state.select("track", F.lit(0).alias("attempt"), F.lit(0.0).alias("boost"), F.lit(0.0).alias("peak_gain"), "lufs", "true_peak_db", "peak_goal").limit(0)
     left = state
     for attempt in range(1, most_attempts + 1):
         tried = attempts.groupBy("track").agg(F.array_sort(F.collect_list(F.struct("attempt", "boost", F.col("lufs").alias("lufs")))).alias("tried"))
         rows = left.select(*columns).join(tried, "track", "left").withColumn("tried", F.coalesce("tried", F.array().cast("array<struct<attempt:int,boost:double,lufs:double>>")))
-        plan = settle(rows.mapInPandas(lambda it: _next(it, target_lufs, tolerance, never_expand), f"track {kind}, boost double, peak_gain double"))
+        plan = written(rows.mapInPandas(lambda it: _next(it, target_lufs, tolerance, never_expand), f"track {kind}, boost double, peak_gain double"))
         full = plan.join(left.select("track", "floor", "pivot", "limit_db"), "track")
-        gains = settle(gain_blocks(detected, full, half, smoothing_ms, rate))
-        out = settle(apply_blocks(df, gains))
+        gains = written(gain_blocks(detected, full, half, smoothing_ms, rate))
+        out = written(apply_blocks(df, gains))
         sizes = reports.lengths(out, rate)
         lufs = loudness.gated_loudness(loudness.full_gates(reports.gate_sums(out, rate, None, sections), 0, *reports.SPANS[0], sizes), sizes)
         peaks = blocks.true_peak(out).select("track", levels.linear_to_db(F.col("true_peak")).alias("true_peak_db"))
         made = plan.join(lufs, "track").join(peaks, "track").join(left.select("track", "peak_goal"), "track")
-        attempts = settle(attempts.unionByName(made.select("track", F.lit(attempt).alias("attempt"), "boost", "peak_gain", "lufs", "true_peak_db", "peak_goal")))
+        attempts = written(attempts.unionByName(made.select("track", F.lit(attempt).alias("attempt"), "boost", "peak_gain", "lufs", "true_peak_db", "peak_goal")))
         best = best_attempt(attempts, target_lufs, F.col("peak_goal"))
         good = (F.col("lufs") <= target_lufs) & (F.col("true_peak_db") <= F.col("peak_goal") + HOLD) & (F.abs(F.col("lufs") - target_lufs) < tolerance)
         ends = attempts.filter((F.col("attempt") == attempt) & (((F.col("boost") == HIGHEST) & (F.col("lufs") < target_lufs)) | ((F.col("boost") == LOWEST) & (F.col("lufs") > target_lufs))))
-        left = settle(left.join(best.filter(good).select("track").union(ends.select("track")).distinct(), "track", "left_anti"))
+        left = written(left.join(best.filter(good).select("track").union(ends.select("track")).distinct(), "track", "left_anti"))
         if not left.limit(1).count():
             break
-    best = settle(best_attempt(attempts, target_lufs, F.col("peak_goal")))
+    best = written(best_attempt(attempts, target_lufs, F.col("peak_goal")))
     chosen = best.join(state.select("track", "floor", "pivot", "limit_db"), "track").select("track", "floor", "pivot", "limit_db", "boost", "peak_gain")
-    final = apply_blocks(df, settle(gain_blocks(detected, chosen, half, smoothing_ms, rate)))
+    final = apply_blocks(df, written(gain_blocks(detected, chosen, half, smoothing_ms, rate)))
     return final, best.select("track", "attempt", "boost", "lufs", "true_peak_db", F.coalesce(good, F.lit(False)).alias("converged"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,12 +18,25 @@ def settle(df: DataFrame) -> DataFrame:
     """Writes the rows to the folder that the session names in spark.checkpoint.dir and reads them from
     there. In local mode without that setting a temporary folder serves; on a cluster it is an error,
     as executors share no local disk."""
+    _folder(df)
+    return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Like settle, as a Parquet table in that folder: for loops, where what the optimizer knows of a
+    checkpoint's columns would grow from round to round."""
+    path = f"{_folder(df)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _folder(df: DataFrame) -> str:
     context = df.sparkSession.sparkContext
     if not context.getConf().get("spark.checkpoint.dir") and context.getCheckpointDir() is None:
         if not context.master.startswith("local[") and context.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
+    return context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
 
 
 def per_track(df: DataFrame, rows: DataFrame, how: str = "inner", on: tuple[str, ...] = ("track",), place: str = "frame") -> DataFrame:

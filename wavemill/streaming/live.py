@@ -59,7 +59,8 @@ def last_finished(df: DataFrame, kind: str) -> DataFrame:
 
 
 def unrepeated(df: DataFrame, keys: list[str], late: str = LATE) -> DataFrame:
-    return df.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+    """Rows whose keys weren't there before; on a stream, within the watermark."""
+    return df.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys) if df.isStreaming else df.dropDuplicates(keys)
 
 
 def throttle(df: DataFrame, seconds: float, least: float) -> DataFrame:
