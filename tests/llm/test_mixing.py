@@ -104,6 +104,6 @@ def test_clashing_names_and_a_very_long_text(spark):
     df = spark.createDataFrame(rows, "doc_id long, source string, text string, _of string, _copies long")
     measured = mixing.measure(df)
     out = mixing.mix(measured, mixing.plan(measured))
-    assert out.columns == ["doc_id", "source", "text", "_of", "_copies", *mixing.MEASURES, *mixing.RESULTS]
+    assert out.columns == ["doc_id", "source", "text", "_of", "_copies", "size", "draw_order", "draw", *mixing.RESULTS]
     got = out.collect()
     assert sorted((r.doc_id, r["_of"], r["_copies"], r.size) for r in got) == [(1, "x", 5, 2_000_000), (2, "y", 6, 1), (2, "y", 6, 1), (3, "z", 7, 0)]
