@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The six ASCII white-space characters; everything else is part of a word.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -74,3 +76,16 @@ def word_chunks(text: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
             stop = found.end() if found else len(text)
         yield text[start:stop].split()  # splits bytes at the six characters of SPACES
         start = stop
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """mapInArrow for columns of any name: it can't resolve names with dots, so they travel by number."""
+    names, results = df.columns, schema.fieldNames()
+    numbered = lambda n: [f"_{i}" for i in range(n)]
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(b.rename_columns(names) for b in batches):
+            yield batch.rename_columns(numbered(len(results)))
+
+    fields = [T.StructField(f"_{i}", f.dataType, f.nullable) for i, f in enumerate(schema)]
+    return df.toDF(*numbered(len(names))).mapInArrow(renamed, T.StructType(fields)).toDF(*results)

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html, licences, lines, minhash, mixing, rules, simhash, urls
-from .common import cut_lineage, table
+from . import bpe, chat, html, licences, lines, minhash, mixing, rules, runs, simhash, urls
+from .common import cut_lineage, table, words
 
 
 #: host, path, verdict (fixed values)
@@ -140,6 +140,29 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of every tenth hash are made periodic from one of their words on; runs are found in all."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    h, n, every = F.crc32(F.col("doc_id").cast("string")), F.size("words"), F.col("words")
+    g = F.floor(h / 10)
+    start = (g % n).cast("int")
+    period = (1 + F.floor((n - start) / (3 + g % 8))).cast("int")
+    repeated = F.flatten(F.array_repeat(F.slice(every, start + 1, period), F.ceil((n - start) / period).cast("int")))
+    planted = F.array_join(F.slice(F.concat(F.slice(every, F.lit(1), start), repeated), F.lit(1), n), " ")
+    chosen = (h % 10 == 0) & F.rlike("text", F.lit(r"[^\x20\x09-\x0D]"))
+    texts = docs.withColumn("words", F.when(chosen, words(F.col("text")))).withColumn("text", F.when(chosen, planted).otherwise(F.col("text")))
+    marked = runs.mark(texts.drop("words")).withColumn("best", runs.strongest())
+    listed = F.concat_ws("", F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))))
+    return marked.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.encode(listed, "UTF-8"), 256).alias("runs_sha256"),
+        F.sha2(F.encode("collapsed", "UTF-8"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_licence_scan": op2_licence_scan,
@@ -151,6 +174,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_line_dedup": op10_line_dedup,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
