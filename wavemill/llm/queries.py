@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html, licences, lines, minhash, mixing, rules, runs, simhash, urls
+from . import bpe, chat, html, licences, lines, minhash, mixing, rules, runs, simhash, urls, word_bpe
 from .common import cut_lineage, table, words
 
 
@@ -140,6 +140,16 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return word_bpe.encode(texts, public_tokenizers.path("word_bpe_49k.json"), listed="decoded").select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+    )
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of every tenth hash are made periodic from one of their words on; runs are found in all."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -174,6 +184,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_line_dedup": op10_line_dedup,
+    "op12_word_bpe": op12_word_bpe,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
