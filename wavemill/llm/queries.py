@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html, licences, lines, minhash, mixing, rules, runs, simhash, urls, word_bpe
+from . import bpe, chat, collocations, html, licences, lines, minhash, mixing, rules, runs, simhash, urls, word_bpe
 from .common import cut_lineage, table, words
 
 
@@ -140,6 +140,28 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+OP11_SQL = r"""
+with pieces as (select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n-\r]')) as piece from documents),
+worded as (select lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda w: w <> '') as w from pieces),
+grams as (select lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) as phrase from worded, (values (1), (2), (3)) as sizes(size)),
+found as (select lang, size, phrase, count(*) as f from grams group by all),
+totals as (select lang, sum(f)::bigint as n from found where size = 1 group by lang),
+candidates as (select lang, size, phrase, f as a, string_split(phrase, ' ') as w from found where size >= 2 and f >= 10),
+cuts as (select lang, phrase, a, k, array_to_string(w[1:k], ' ') as head, array_to_string(w[k + 1:], ' ') as rest from candidates, (values (1), (2)) as places(k) where k < size),
+scored as (select c.lang, c.phrase, c.a, h.f as l, r.f as r, (1000000::hugeint * c.a * c.a) // (h.f::hugeint * r.f) as score, k
+  from cuts c join found h on h.lang = c.lang and h.phrase = c.head join found r on r.lang = c.lang and r.phrase = c.rest),
+best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+inside as (select lang, array_to_string(w[i:i + 1], ' ') as phrase, a as longer from candidates, (values (1), (2)) as places(i) where size = 3),
+kept as (select * from best b where not exists (select 1 from inside i where i.lang = b.lang and i.phrase = b.phrase and 100 * i.longer >= 50 * b.a))
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score::bigint as score
+from kept join totals using (lang) qualify rank <= 2000
+"""
+
+
 def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "documents").select("doc_id", "text")
     return word_bpe.encode(texts, public_tokenizers.path("word_bpe_49k.json"), listed="decoded").select(
@@ -184,6 +206,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_line_dedup": op10_line_dedup,
+    "op11_collocations": op11_collocations,
     "op12_word_bpe": op12_word_bpe,
     "op13_periodic_runs": op13_periodic_runs,
 }
@@ -191,4 +214,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op2_licence_scan": OP2_SQL,
     "op6_url_rules": OP6_SQL,
+    "op11_collocations": OP11_SQL,
 }
