@@ -1,9 +1,10 @@
 import pytest
 
 from tests.oracle import compare
-from wavemill.jobs import filter_queries, queries
+from wavemill.jobs import bleed_queries, filter_queries, queries
 
-QUERIES, ORACLES = queries.QUERIES | filter_queries.QUERIES, queries.ORACLES | filter_queries.ORACLES
+MODULES = (queries, filter_queries, bleed_queries)
+QUERIES, ORACLES = ({k: v for m in MODULES for k, v in getattr(m, kind).items()} for kind in ("QUERIES", "ORACLES"))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
