@@ -30,7 +30,7 @@ from .common import cut_lineage, once, salted
 
 PIECE_ENDS = re.compile(rb"[.,;:!?\n-\r]+")
 #: So many different edges are held in a task before they are passed on.
-HELD = 400_000
+HELD = 300_000
 #: Documents and edges of each that are looked at for each range, to place its bounds.
 SAMPLE_DOCUMENTS, SAMPLE_EDGES = 20, 5
 NO_LANG = "und"
@@ -102,60 +102,120 @@ def _edges(texts: DataFrame, longest: int, bounds: list[tuple[str, bytes]]) -> D
 
 
 class Flows:
-    """Adds up sorted (lang, key, n); emits (lang, phrase, words, shortest, n).
+    """Adds up sorted (lang, key, n), many rows at a time; emits (lang, phrase, words, shortest, n).
 
     A row stands for the phrase and its beginnings from `shortest` words on, which all have its
-    count. Sums under `least` are left out, unless they may go on before or behind the range.
+    count. Sums under `least` are left out, unless they may go on before or behind the
+    range. Groups that are still open when a batch ends go on as rows of the next one: each
+    beginning of the last key with what it has beside the longer beginning.
     """
 
-    def __init__(self, least: int):
-        self.least, self.lang = least, None
-        self.open: list[list] = []  # key with its last space, sum, whether the range may begin inside it
-        self.ready: list | None = None  # a finished row, which the node before it may join
-        self.first = True
+    def __init__(self, least: int, longest: int):
+        self.least, self.longest, self.lang, self.total = least, longest, None, 0
+        self.carried: list[tuple[bytes, int]] = []
+        self.begins: set[int] = set()  # levels whose open group the range may begin inside
+        self.fresh = True
         self.out: list[tuple] = []
 
-    def _emit(self) -> None:
-        if self.ready:
-            self.out.append(tuple(self.ready))
-        self.ready = None
-
-    def _close(self, edge: bool) -> None:
-        depth = len(self.open) - 1
-        key, n, begins = self.open.pop()
-        if self.open:
-            self.open[-1][1] += n
-        if begins or edge:
-            self._emit()
-            self.out.append((self.lang, key[:-1], depth, depth, n))
-        elif n < self.least:
-            self._emit()
-        elif self.ready and self.ready[3] == depth + 1 and self.ready[4] == n and self.ready[1].startswith(key):
-            self.ready[3] = depth
-        else:
-            self._emit()
-            self.ready = [self.lang, key[:-1], depth, depth, n]
-
-    def add(self, lang: str, key: str, n: int) -> None:
-        if lang != self.lang:
-            while self.open:
-                self._close(False)
-            self._emit()
-            self.lang = lang
-            self.open.append(["", 0, True])  # a language's sum is always added up afterwards
-        while not key.startswith(self.open[-1][0]):
-            self._close(False)
-        at = len(self.open[-1][0])
-        while at < len(key):
-            at = key.index(" ", at) + 1
-            self.open.append([key[:at], 0, self.first])
-        self.first = False
-        self.open[-1][1] += n
+    def add(self, langs: list[str], keys: pa.Array, n: np.ndarray) -> None:
+        start = 0
+        while start < len(langs):
+            lang = langs[start]
+            stop = len(langs) if langs[-1] == lang else next(i for i in range(start, len(langs)) if langs[i] != lang)
+            if lang != self.lang:
+                self._end(False)
+                self.lang = lang
+            self.total += int(n[start:stop].sum())
+            self._flow(keys.slice(start, stop - start), n[start:stop], False, False)
+            start = stop
+
+    def _end(self, edge: bool) -> None:
+        if self.lang is not None:
+            self._flow(pa.array([], pa.string()), np.empty(0, np.int64), True, edge)
+            self.out.append((self.lang, "", 0, 0, self.total))  # parts of it may be in other ranges
+            self.total = 0
 
     def finish(self) -> None:
-        while self.open:
-            self._close(True)
-        self._emit()
+        self._end(True)
+
+    def _flow(self, keys: pa.Array, n: np.ndarray, ends: bool, edge: bool) -> None:
+        """ends: no group goes on behind these rows, except, at the range's edge, in other ranges."""
+        carried = len(self.carried)
+        keys = pa.concat_arrays([pa.array([k for k, _ in self.carried], pa.binary()).cast(pa.string()), keys])
+        n = np.concatenate([np.array([c for _, c in self.carried], np.int64), n])
+        rows = len(keys)
+        if not rows:
+            return
+        bounds = np.frombuffer(keys.buffers()[1], np.int32)[keys.offset : keys.offset + rows + 1].astype(np.int64)
+        data = np.frombuffer(keys.buffers()[2], np.uint8)
+        sizes = np.diff(bounds)
+        stops = _word_stops(data, bounds, self.longest)
+        alike = _alike(data, bounds[:-1], sizes)
+        before = np.concatenate([[0], np.cumsum(n)])
+        begins = set(range(1, self.longest + 1)) if self.fresh else self.begins
+        self.fresh, self.begins, self.carried = False, set(), []
+        above: dict | None = None
+        levels = []
+        for m in range(1, self.longest + 1):
+            stop = stops[:, m - 1]
+            breaks = np.flatnonzero(alike < np.where(stop > 0, stop, 1 << 40))
+            start = breaks[stop[breaks] > 0]
+            if not len(start):
+                break
+            end = np.append(breaks, rows)[np.searchsorted(breaks, start, "right")]
+            total = before[end] - before[start]
+            is_open, odd = end == rows, np.zeros(len(start), bool)
+            own = m - 1 if carried else 0
+            if m in begins and start[0] == own and (not carried or m <= carried):
+                odd[0] = True
+                if is_open[0]:
+                    self.begins.add(m)
+            shortest, absorbed = np.full(len(start), m), np.zeros(len(start), bool)
+            plain = ~odd & ((~is_open) | (ends and not edge))
+            if above is not None:
+                parent = np.searchsorted(above["start"], start, "right") - 1
+                joins = plain & above["plain"][parent] & (above["total"][parent] == total)
+                above["absorbed"][parent[joins]] = True
+                shortest = np.where(joins, above["shortest"][parent], m)
+            above = {"start": start, "total": total, "open": is_open, "odd": odd, "plain": plain, "shortest": shortest, "absorbed": absorbed, "stop": stop[start]}
+            levels.append(above)
+        text = lambda i, stop: data[bounds[i] : bounds[i] + stop].tobytes()
+        for m, g in enumerate(levels, 1):
+            closed = ~g["open"] | ends
+            wanted = closed & ~g["absorbed"] & ((g["total"] >= self.least) | g["odd"] | (g["open"] & edge))
+            for i in np.flatnonzero(wanted).tolist():
+                self.out.append((self.lang, text(g["start"][i], g["stop"][i] - 1).decode(), m, int(g["shortest"][i]), int(g["total"][i])))
+        if not ends:
+            path = [g for g in levels if g["open"][-1]]
+            for g, deeper in zip(path, [*path[1:], None]):
+                self.carried.append((text(g["start"][-1], g["stop"][-1]), int(g["total"][-1] - (deeper["total"][-1] if deeper else 0))))
+
+
+def _word_stops(data: np.ndarray, bounds: np.ndarray, longest: int) -> np.ndarray:
+    """Where each key's words stop, their spaces included; 0 where it has no more."""
+    spaces = np.flatnonzero(data[bounds[0] : bounds[-1]] == 32) + bounds[0]
+    row = np.searchsorted(bounds, spaces, "right") - 1
+    first = np.searchsorted(row, np.arange(len(bounds) - 1))
+    out = np.zeros((len(bounds) - 1, longest), np.int64)
+    out[row, np.arange(len(spaces)) - first[row]] = spaces + 1 - bounds[row]
+    return out
+
+
+def _alike(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, width: int = 64) -> np.ndarray:
+    """How many bytes each key shares with the one before it; -1 for the first."""
+    width = min(width, int(sizes.max()))
+    at = np.arange(width)
+    inside = at < sizes[:, None]
+    table = np.full((len(starts), width), 255, np.uint8)  # no byte of UTF-8
+    table[inside] = data[(starts[:, None] + at)[inside]]
+    differ = table[1:] != table[:-1]
+    out = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+    for i in np.flatnonzero((out == width) & (np.minimum(sizes[1:], sizes[:-1]) > width)).tolist():
+        a, b = (data[starts[j] + width : starts[j] + sizes[j]] for j in (i, i + 1))
+        k = min(len(a), len(b))
+        rest = np.flatnonzero(a[:k] != b[:k])
+        out[i] += rest[0] if len(rest) else k
+    return np.concatenate([[-1], np.minimum(out, np.minimum(sizes[1:], sizes[:-1]))])
 
 
 def counts(df: DataFrame, text: str = "text", lang: str = "lang", longest: int = 3, least: int = 10) -> DataFrame:
@@ -169,7 +229,7 @@ def counts(df: DataFrame, text: str = "text", lang: str = "lang", longest: int =
     dealt = _edges(texts, longest, _bounds(texts, longest, ranges)).repartitionById(ranges, F.col("range"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flows = Flows(least)
+        flows = Flows(least, longest)
 
         def rows() -> pa.RecordBatch:
             columns, flows.out = list(zip(*flows.out)), []
@@ -177,8 +237,7 @@ def counts(df: DataFrame, text: str = "text", lang: str = "lang", longest: int =
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["lang", "phrase", "words", "shortest", "n"])
 
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                flows.add(*row)
+            flows.add(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_numpy())
             if len(flows.out) > 10_000:
                 yield rows()
         flows.finish()
