@@ -2,6 +2,7 @@ import json
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,10 +151,14 @@ def test_loudness_target_is_met(spark):
 def test_predicted_boost():
     counts = np.zeros(1024)
     counts[512] = 1000
-    given = {"lufs": -30.0, "counts": counts, "bucket_max": 1.0, "floor": None, "pivot": -3.0, "limit": 0.0}
-    assert target.predict(boost=5.0, peak_gain=5.0, **given) == pytest.approx(-25)
-    assert target.solve_boost(-25.0, 0.5, 0.0, 5.0, False, **given) == pytest.approx(5.0, abs=0.05)
-    assert target.solve_boost(50.0, 0.5, 0.0, 5.0, False, **given) == target.HIGHEST
+    rows = pd.DataFrame({"lufs": [-30.0] * 3, "counts": [counts] * 3, "bucket_max": [1.0] * 3, "floor": [None, -50.0, None], "pivot": [-3.0] * 3, "limit_db": [0.0] * 3, "peak_cap": [5.0] * 3})
+    # all values lie under the pivot, at -6 dB: the second track's ramp reaches them with less than its boost
+    level = 20 * np.log10(512.5 / 1024)
+    assert target.predicted(rows, np.full(3, 5.0), np.full(3, 5.0)) == pytest.approx([-25, -30 + 5 * (level + 50) / 47, -25])
+    found = target.solve_boosts(rows, np.array([-25.0, -25.0, 50.0]), 0.5, False)
+    assert found == pytest.approx([5.0, 5 * 47 / (level + 50), target.HIGHEST], abs=0.01) and found[2] == target.HIGHEST
+    silent = rows.assign(bucket_max=0.0)
+    assert (target.predicted(silent, np.zeros(3), np.zeros(3)) == -np.inf).all()
 
 
 def test_wav_channels_and_same_names(spark, tmp_path):

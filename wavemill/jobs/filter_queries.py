@@ -126,7 +126,7 @@ def centred(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measure, then apply: each track less its mean."""
     df = blocks.from_samples(tables.signal(spark, sf_dir), 64)
     out = segments.measure_apply(df, lambda x: (x.sum(), len(x)), ("total", "n"), lambda x, m: x - m[0] / m[1])
-    return _rounded(blocks.to_samples(out))
+    return _rounded(blocks.to_samples(out), 10)  # means lie on halves of the sixth digit
 
 
 def mirrored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,7 +158,7 @@ QUERIES: dict[str, Query] = {
     "low_pass": _blocks(lambda df: blocks.lti_filter(df, [design.low_pass(RATE, 12.0)])),
     "band_pass": _blocks(lambda df: blocks.band_pass(df, RATE, 4.0, 20.0), 200),
     "smooth": _blocks(lambda df: blocks.smooth(df, 50.0, RATE)),
-    "smooth_both_ways": _blocks(lambda df: blocks.smooth(df, 50.0, RATE, both_ways=True)),
+    "smooth_both_ways": lambda spark, sf_dir: _blocks(lambda df: blocks.smooth(df, 50.0, RATE, both_ways=True))(spark, sf_dir).withColumn("value", F.col("value") + 0.0),
     "rotate_phase": _blocks(lambda df: blocks.rotate_phase(df, 90.0)),
     "detection_envelope": _blocks(lambda df: blocks.detection(df, 3), 128),
     "spectrogram_bands": spectrogram_bands,
@@ -248,7 +248,7 @@ select track, round(lufs, 6) as lufs, round(coalesce(lra, 0), 6) as lra, round(t
     "low_pass": f"with recursive {SRC}, {iir('y', 'src', design.low_pass(RATE, 12.0))} select track, channel, frame, round(value, 6) as value from y",
     "band_pass": f"with recursive {SRC}, {iir('y1', 'src', design.high_pass(RATE, 4.0))}, {back('z1', 'y1')}, {iir('y2', 'z1', design.high_pass(RATE, 4.0))}, {back('z2', 'y2')}, {iir('y3', 'z2', design.low_pass(RATE, 20.0))}, {back('z3', 'y3')}, {iir('y4', 'z3', design.low_pass(RATE, 20.0))}, {back('z4', 'y4')} select track, channel, frame, round(value, 6) as value from z4",
     "smooth": f"with recursive {SRC}, {iir('y', 'src', design.one_pole(_SMOOTH), seeded=True)} select track, channel, frame, round(value, 6) as value from y",
-    "smooth_both_ways": f"with recursive {SRC}, {iir('y', 'src', design.one_pole(_SMOOTH2), seeded=True)}, {back('z', 'y')}, {iir('y2', 'z', design.one_pole(_SMOOTH2), seeded=True)}, {back('z2', 'y2')} select track, channel, frame, round(value, 6) as value from z2",
+    "smooth_both_ways": f"with recursive {SRC}, {iir('y', 'src', design.one_pole(_SMOOTH2), seeded=True)}, {back('z', 'y')}, {iir('y2', 'z', design.one_pole(_SMOOTH2), seeded=True)}, {back('z2', 'y2')} select track, channel, frame, round(value, 6) + 0.0 as value from z2",
     "rotate_phase": f"with recursive {SRC}, {iir('y', 'src', design.allpass(90.0))} select track, channel, frame, round(value, 6) as value from y",
     "detection_envelope": f"with {SIG}, {_HELD} select track, channel, frame, round(20 * log10(greatest(value, 1e-10)), 6) as value from held",
     "spectrogram_bands": f"with {_S}, {spectra_sql(64, 16, True)}, bands(band, b, w) as (values {_bands_sql(MEL)}) select track, 0 as channel, k as stft_frame, band, round(case when sum(w) > 0 then sum(w * sqrt(re * re + im * im)) / 32 / sum(w) else 0 end, 5) as magnitude from spec join bands using (b) group by 1, 2, 3, 4",
@@ -273,7 +273,7 @@ f as (select g.track, g.channel, g.k, i, g.k * 8 + i as frame, coalesce(s.value,
 o as (select *, (v - avg(v) over (partition by track, channel, k)) as y, (case when i < 8 then i + 1 else 16 - i end) / 8.0 as w from f)
 select o.track, o.channel, o.frame, round(sum(w * y) / sum(w), 6) as value from o join e using (track, channel) where frame <= m group by 1, 2, 3""",
     "score_model": f"with {SIG}, w as (select track, channel, unnest([frame // 16, (frame + 4) // 16]) as w, unnest([true, frame % 16 >= 12]) as good, value, frame from sig), e as (select track, channel, max(frame) // 16 as last from sig group by 1, 2) select track, channel, w, round(sum(value * value), 6) as p from w join e using (track, channel) where good and w <= last group by 1, 2, 3",
-    "centred": f"with {SIG} select track, channel, frame, round(value - avg(value) over (partition by track), 6) as value from sig",
+    "centred": f"with {SIG} select track, channel, frame, round(value - sum(value) over (partition by track) / count(*) over (partition by track), 10) as value from sig",
     "mirrored": "with b as (select cast(label as bigint) as track, row_number() over (partition by label order by vec_id) - 1 as block_idx, embedding as e from embeddings) select track, block_idx, i, cast(e[case when i < 3 then 3 - i when i < 67 then i - 2 else 64 - (i - 67) end] as double) as value from b, generate_series(0, 68) t(i)",
     "frequency_scales": "with f as (select o_orderkey, cast(o_totalprice as double) as f from orders) select o_orderkey, round(2595 * log10(1 + f / 700), 4) as mel, round(21.4 * log10(1 + 0.00437 * f), 4) as erb, round(ln(f), 4) as log, round(f, 4) as back_mel, round(f, 4) as back_erb, round(f, 4) as back_log from f",
     "channel_sum": f"with {SIG} select track, 0 as channel, frame, round(l + r, 6) as value from rows",

@@ -315,7 +315,7 @@ select track, 0 as channel, k as stft_frame, b as band, round(sqrt(pow(sum(v * c
     "envelope": f"with {SIG}, g as (select track, frame, max(l) over (partition by track order by frame rows between 5 preceding and 5 following) as g from rows) select track, channel, frame, value * g as value from sig join g using (track, frame)",
     "gain_curve": f"with {SIG}, lv as (select *, 20 * log10(greatest(abs(value), 1e-10)) as l from sig) select track, channel, frame, round({_CURVE.format(l='l')}, 6) as gain_db from lv",
     "predicted_loudness": f"with {SIG}, {_HIST}, c as (select *, (bucket + 0.5) * bucket_max / 64 as c from hist where bucket_max > 0), l as (select *, 20 * log10(greatest(c, 1e-10)) as l from c) select track, round(10 * log10(sum(n * c * c * pow(10, ({_CURVE.format(l='l')}) / 10)) / sum(n * c * c)), 6) as change_db from l group by 1",
-    "splice": f"with {SIG} select s.track, s.channel, s.frame, coalesce(i.value, s.value) as value from sig s left join (select track, 1 - channel as channel, frame + 100 as frame, value from sig where frame < 40) i using (track, channel, frame)",
+    "splice": f"with {SIG.replace('sig as (', 'sig as materialized (')} select s.track, s.channel, s.frame, coalesce(i.value, s.value) as value from sig s left join (select track, 1 - channel as channel, frame + 100 as frame, value from sig where frame < 40) i using (track, channel, frame)",
     "merge_regions": f"with {REG} select track, a as start_frame, b as end_frame from merged",
     "cut": f"with {SIG}, {REG}, out as (select s.*, exists (select 1 from merged m where m.track = s.track and s.frame >= m.a and s.frame < m.b) as cut_ from sig s) select track, channel, row_number() over (partition by track, channel order by frame) - 1 as frame, value from out where not cut_",
     "gate": f"with {SIG}, {REG}, {_GATE.format(seg='merged')}",

@@ -69,58 +69,57 @@ def measure_source(df: DataFrame, rate: float, half: int, percentile: float = 0.
     return out
 
 
-def predict(lufs: float, counts: np.ndarray, bucket_max: float, floor: float | None, pivot: float, limit: float, boost: float, peak_gain: float) -> float:
-    """The loudness after the curve, from the histogram alone; minus infinity for silence."""
-    centre = (np.arange(len(counts)) + 0.5) * bucket_max / max(1, len(counts))
+def predicted(rows: pd.DataFrame, boost: np.ndarray, peak_gain: np.ndarray) -> np.ndarray:
+    """The loudness of each track after its curve, from its histogram alone; minus infinity for silence.
+
+    rows: lufs, counts, bucket_max, floor (null: none), pivot and limit_db of each track.
+    """
+    column = lambda c: rows[c].to_numpy(np.float64)[:, None]
+    counts = np.stack([np.asarray(c, np.float64) for c in rows["counts"]])
+    centre = (np.arange(counts.shape[1]) + 0.5) * column("bucket_max") / counts.shape[1]
+    floor, pivot, limit = (column(c) for c in ("floor", "pivot", "limit_db"))
+    body, top = boost[:, None], peak_gain[:, None]
     with np.errstate(divide="ignore", invalid="ignore"):
         db = 20 * np.log10(centre)
-        gain = np.where(db >= limit, peak_gain - (db - limit), boost + (peak_gain - boost) * (db - pivot) / (limit - pivot))
-        below = boost if floor is None else np.where(db <= floor, 0.0, boost * (db - floor) / (pivot - floor))
-    gain = np.where(db < pivot, below, gain)
-    energy = counts * centre * centre
-    after = float((energy * 10 ** (gain / 10)).sum()) if bucket_max > 0 else 0.0
-    return lufs + 10 * np.log10(after / float(energy.sum())) if after > 0 and np.isfinite(lufs) else -np.inf
-
-
-def solve_boost(target: float, tolerance: float, residual: float, peak_cap: float, never_expand: bool, **given) -> float:
-    """The boost whose predicted loudness, with the residual of the last attempt, is the target: by bisection,
-    or the better end where the target lies outside."""
-    error = lambda b: predict(boost=b, peak_gain=min(b, peak_cap) if never_expand else peak_cap, **given) + residual - target
-    low, high = LOWEST, HIGHEST
-    at_low, at_high = error(low), error(high)
-    if not (np.isfinite(at_low) and np.isfinite(at_high)) or np.sign(at_low) == np.sign(at_high):
-        return low if abs(np.nan_to_num(at_low, nan=np.inf)) <= abs(np.nan_to_num(at_high, nan=np.inf)) else high
-    best, least = low, abs(at_low)
-    while high - low >= tolerance / 100:
+        ramp = np.where(np.isnan(floor), body, np.where(db <= floor, 0.0, body * (db - floor) / (pivot - floor)))
+        upper = np.where(db >= limit, top - (db - limit), body + (top - body) * (db - pivot) / (limit - pivot))
+        energy = counts * centre * centre
+        before, after = energy.sum(axis=1), (energy * 10 ** (np.where(db < pivot, ramp, upper) / 10)).sum(axis=1)
+        out = rows["lufs"].to_numpy(np.float64) + 10 * np.log10(after / before)
+    return np.where((after > 0) & np.isfinite(out), out, -np.inf)
+
+
+def solve_boosts(rows: pd.DataFrame, goal: np.ndarray, tolerance: float, never_expand: bool) -> np.ndarray:
+    """The boost of each track with which its predicted loudness comes nearest to its goal.
+
+    More boost is more loudness, so all tracks halve their own interval at once, until it is a
+    hundredth of the tolerance wide; a goal out of reach takes the interval to its end.
+    """
+    cap = rows["peak_cap"].to_numpy(np.float64)
+    low, high = np.full(len(rows), LOWEST), np.full(len(rows), HIGHEST)
+    for _ in range(int(np.ceil(np.log2((HIGHEST - LOWEST) / (tolerance / 100))))):
         middle = (low + high) / 2
-        now = error(middle)
-        if abs(now) < least:
-            best, least = middle, abs(now)
-        if abs(now) < tolerance / 10:
-            break
-        low, high = (middle, high) if np.sign(now) == np.sign(at_low) else (low, middle)
-    return best
+        over = predicted(rows, middle, np.minimum(middle, cap) if never_expand else cap) > goal
+        low, high = np.where(over, low, middle), np.where(over, middle, high)
+    return np.where(high == HIGHEST, HIGHEST, np.where(low == LOWEST, LOWEST, (low + high) / 2))
 
 
-def _next(rows: Iterator[pd.DataFrame], target: float, tolerance: float, never_expand: bool) -> Iterator[pd.DataFrame]:
+def _next(parts: Iterator[pd.DataFrame], target: float, tolerance: float, never_expand: bool) -> Iterator[pd.DataFrame]:
     """Adds boost and peak_gain of the coming attempt to rows (track, measures, tried: boosts and their loudness)."""
-    for part in rows:
-        boosts, gains = [], []
-        for r in part.itertuples():
-            given = {"lufs": r.lufs, "counts": np.asarray(r.counts), "bucket_max": r.bucket_max, "floor": None if pd.isna(r.floor) else r.floor, "pivot": r.pivot, "limit": r.limit_db}
-            tried = [(t["boost"], t["lufs"]) for t in r.tried]
-            residual = 0.0
-            if tried:
-                last, got = tried[-1]
-                expected = predict(boost=last, peak_gain=min(last, r.peak_cap) if never_expand else r.peak_cap, **given)
-                residual = got - expected if np.isfinite(got) and np.isfinite(expected) else 0.0
-            boost = solve_boost(target, tolerance, residual, r.peak_cap, never_expand, **given)
-            under, over = [b for b, l in tried if l <= target], [b for b, l in tried if l > target]
-            if under and over and max(under) < min(over):
-                boost = (max(under) + min(over)) / 2
-            boosts.append(min(HIGHEST, max(LOWEST, boost)))
-            gains.append(min(boosts[-1], r.peak_cap) if never_expand else r.peak_cap)
-        yield part[["track"]].assign(boost=np.array(boosts, float), peak_gain=np.array(gains, float))
+    for rows in parts:
+        if rows.empty:
+            continue
+        cap = rows["peak_cap"].to_numpy(np.float64)
+        tried = [[(t["boost"], t["lufs"]) for t in mine] for mine in rows["tried"]]
+        # what the last attempt came out louder than foreseen, the next one is foreseen to come out louder too
+        last, got = (np.array([mine[-1][k] if mine else np.nan for mine in tried]) for k in (0, 1))
+        missed = got - predicted(rows, last, np.minimum(last, cap) if never_expand else cap)
+        boost = solve_boosts(rows, target - np.where(np.isfinite(missed), missed, 0.0), tolerance, never_expand)
+        under = np.array([max((b for b, l in mine if l <= target), default=-np.inf) for mine in tried])
+        over = np.array([min((b for b, l in mine if l > target), default=np.inf) for mine in tried])
+        between = np.isfinite(under) & np.isfinite(over) & (under < over)
+        boost = np.where(between, (np.where(between, under, 0) + np.where(between, over, 0)) / 2, boost)
+        yield rows[["track"]].assign(boost=boost, peak_gain=np.minimum(boost, cap) if never_expand else cap)
 
 
 def gain_blocks(levels_db: DataFrame, plan: DataFrame, half: int, smoothing_ms: float, rate: float) -> DataFrame:

@@ -63,9 +63,11 @@ def select_channels(df: DataFrame, channels: Sequence[int]) -> DataFrame:
     wanted = F.array(*[F.struct(F.lit(i).alias("out"), F.lit(c).alias("src")) for i, c in enumerate(channels)])
     present = df.select("track", "channel", "frame", "value").withColumn("w", F.explode(F.filter(wanted, lambda w: w["src"] == F.col("channel"))))
     found = present.select("track", F.col("w.out").alias("channel"), "frame", "value")
-    lengths = df.groupBy("track").agg(F.max("frame").alias("last"), F.collect_set("channel").alias("has"))
-    missing = lengths.withColumn("w", F.explode(wanted)).filter(~F.array_contains("has", F.col("w.src")))
-    silent = missing.select("track", F.col("w.out").alias("channel"), F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("frame"), F.lit(0.0).alias("value"))
+    has = df.groupBy("track").agg(F.collect_set("channel").alias("has"))
+    lacking = has.select("track", F.array_min("has").alias("channel"), F.filter(wanted, lambda w: ~F.array_contains("has", w["src"])).alias("w"))
+    # the frames of a channel that is there, silenced
+    frames = per_track(df.select("track", "channel", "frame"), lacking.filter(F.size("w") > 0), on=("track", "channel"))
+    silent = frames.select("track", F.explode("w").alias("w"), "frame").select("track", F.col("w.out").alias("channel"), "frame", F.lit(0.0).alias("value"))
     return found.unionByName(silent)
 
 

@@ -9,30 +9,33 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lineage import settle
 
-#: Frequency scales, there and back.
-SCALES: dict[str, tuple[Callable[[float], float], Callable[[float], float]]] = {
-    "log": (math.log, math.exp),
-    "mel": (lambda f: 2595 * math.log10(1 + f / 700), lambda m: 700 * (10 ** (m / 2595) - 1)),
-    "erb": (lambda f: 21.4 * math.log10(1 + 0.00437 * f), lambda e: (10 ** (e / 21.4) - 1) / 0.00437),
+#: Frequency scales, there and back, of whole arrays.
+SCALES: dict[str, tuple[Callable[[np.ndarray], np.ndarray], Callable[[np.ndarray], np.ndarray]]] = {
+    "log": (np.log, np.exp),
+    "mel": (lambda f: 2595 * np.log10(1 + f / 700), lambda m: 700 * (10 ** (m / 2595) - 1)),
+    "erb": (lambda f: 21.4 * np.log10(1 + 0.00437 * f), lambda e: (10 ** (e / 21.4) - 1) / 0.00437),
 }
 
 
 def band_edges(scale: str, bands: int, low: float, high: float, rate: float, fft: int) -> list[tuple[int, int, float, float]]:
-    """(first bin, last bin, weight of the first, of the last) of bands of equal width on the scale."""
+    """(first bin, last bin, weight of the first, of the last) of bands of equal width on the scale.
+
+    A band covers the bins from the one at or under its lower border to the one at or over its
+    upper; these two count by how near they are to the border.
+    """
     there, back = SCALES[scale]
-    a, step, bins = there(low), (there(high) - there(low)) / bands, fft // 2 + 1
-    out = []
-    for k in range(bands):
-        begin, end = back(a + k * step) * fft / rate, back(a + (k + 1) * step) * fft / rate
-        first, last = max(0, math.floor(begin)), min(bins - 1, math.ceil(end))
-        weight = lambda w: max(0.0, min(1.0, w))
-        out.append((first, max(first, last), weight(1 - (begin - first)), weight(1 - (last - end))))
-    return out
+    borders = back(np.linspace(there(np.float64(low)), there(np.float64(high)), bands + 1)) * fft / rate
+    under, over = np.floor(borders[:-1]), np.ceil(borders[1:])
+    weights = np.clip(1 - np.stack([borders[:-1] - np.maximum(under, 0), np.minimum(over, fft // 2) - borders[1:]]), 0, 1)
+    first = np.maximum(under, 0).astype(int)
+    last = np.maximum(np.minimum(over, fft // 2).astype(int), first)
+    return list(zip(first.tolist(), last.tolist(), *weights.tolist()))
 
 
 def to_bands(spectrogram: DataFrame, edges: Sequence[tuple[int, int, float, float]]) -> DataFrame:
