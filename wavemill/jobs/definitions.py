@@ -73,37 +73,93 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("problem", problem).drop("_corrupt")
 
 
-def pipeline(operators: Mapping[str, Callable[..., DataFrame]], definition, given: Mapping[str, str] | None = None) -> Callable[[DataFrame], DataFrame]:
-    """One definition (a row of `load`) as a function of frames: its operators along the edges, from the one root.
-
-    Parameters are filled in from `given` and passed by name, numbers as numbers. Errors:
-    names in {{…}} that aren't given, given ones that nothing names, unknown operators,
-    and graphs that aren't one line.
-    """
+def _steps(operators: Mapping[str, Callable[..., DataFrame]], definition, given: Mapping[str, str] | None) -> tuple[dict[str, Callable[[DataFrame], DataFrame]], dict[str, list[str]]]:
+    """Each node as a function of a frame, its parameters filled in; and the nodes behind each node."""
     nodes = {n["node"]: n for n in definition["nodes"]}
     texts = [v for n in nodes.values() for v in (n["parameters"] or {}).values()]
     named, given = {m for v in texts for m in re.findall(PLACEHOLDER, v)}, dict(given or {})
     if named != set(given):
         raise ValueError(f"parameters not given: {sorted(named - set(given))}, not named: {sorted(set(given) - named)}")
-    after: dict[str, str] = {}
+    steps = {}
+    for name, node in nodes.items():
+        if node["operator"] not in operators:
+            raise ValueError(f"no such operator: {node['operator']}")
+        filled = {k: _number(re.sub(PLACEHOLDER, lambda m: given[m[1]], v)) for k, v in (node["parameters"] or {}).items()}
+        steps[name] = functools.partial(operators[node["operator"]], **filled)
+    after: dict[str, list[str]] = {n: [] for n in nodes}
     for edge in definition["edges"] or []:
-        if edge["source"] in after:
-            raise ValueError(f"two ways on from {edge['source']}")
-        after[edge["source"]] = edge["target"]
-    begin = [n for n in nodes if n not in after.values()]
-    if len(begin) != 1:
-        raise ValueError(f"{len(begin)} roots")
-    steps, at = [], begin[0]
-    while at:
-        node = nodes.pop(at, None)
-        if node is None or node["operator"] not in operators:
-            raise ValueError(f"no such operator or node: {at}")
-        filled = {k: re.sub(PLACEHOLDER, lambda m: given[m[1]], v) for k, v in (node["parameters"] or {}).items()}
-        steps.append(functools.partial(operators[node["operator"]], **{k: _number(v) for k, v in filled.items()}))
-        at = after.get(at)
-    if nodes:
-        raise ValueError(f"not on the line: {sorted(nodes)}")
-    return chain(*steps)
+        if not {edge["source"], edge["target"]} <= set(nodes):
+            raise ValueError(f"an edge to no node: {edge['source']} - {edge['target']}")
+        after[edge["source"]].append(edge["target"])
+    return steps, after
+
+
+def branches(operators: Mapping[str, Callable[..., DataFrame]], definition, given: Mapping[str, str] | None = None) -> Callable[[DataFrame | Mapping[str, DataFrame]], dict[tuple[str, ...], DataFrame]]:
+    """One definition (a row of `load`) as a function from its roots' frames to its targets' frames.
+
+    A root is no edge's target, a target has no way on; a frame goes through the operators
+    along each way between them. The result has a frame for each such way, keyed by its nodes.
+    What ways begin with in common runs once: where they part, rows are written to the
+    checkpoint folder and read from there by each. Given one frame, all roots read it.
+    Parameters are filled in from `given` and passed by name, numbers as numbers. Errors: names
+    in {{…}} that aren't given, given ones that nothing names, unknown operators or nodes,
+    cycles, roots without a frame.
+    """
+    steps, after = _steps(operators, definition, given)
+    begins = [n for n in steps if not any(n in to for to in after.values())]
+    seen: set[str] = set()
+
+    def check(way: tuple[str, ...]) -> None:
+        seen.add(way[-1])
+        for n in after[way[-1]]:
+            if n in way:
+                raise ValueError(f"a cycle: {' - '.join((*way, n))}")
+            check((*way, n))
+
+    for root in begins:
+        check((root,))
+    if seen != set(steps):
+        raise ValueError(f"a cycle, or no root, before {sorted(set(steps) - seen)}")
+
+    def run(frames: DataFrame | Mapping[str, DataFrame]) -> dict[tuple[str, ...], DataFrame]:
+        given_frames = frames if isinstance(frames, Mapping) else dict.fromkeys(begins, frames)
+        if missing := set(begins) - set(given_frames):
+            raise ValueError(f"roots without a frame: {sorted(missing)}")
+        out: dict[tuple[str, ...], DataFrame] = {}
+
+        def follow(way: tuple[str, ...], df: DataFrame) -> None:
+            df = steps[way[-1]](df)
+            on = after[way[-1]]
+            if not on:
+                out[way] = df
+            elif len(on) > 1:
+                df = settle(df)
+            for n in on:
+                follow((*way, n), df)
+
+        for root in begins:
+            follow((root,), given_frames[root])
+        return out
+
+    return run
+
+
+def pipeline(operators: Mapping[str, Callable[..., DataFrame]], definition, given: Mapping[str, str] | None = None) -> Callable[[DataFrame], DataFrame]:
+    """A definition that is one line, as a function of a frame; errors as in `branches`, and for other graphs."""
+    steps, after = _steps(operators, definition, given)
+    targets = [n for to in after.values() for n in to]
+    if any(len(to) > 1 for to in after.values()):
+        raise ValueError("two ways on; see branches")
+    if len(begin := [n for n in steps if n not in targets]) != 1:
+        raise ValueError(f"{len(begin)} roots; see branches")
+    line = begin
+    while after[line[-1]]:
+        line.append(after[line[-1]][0])
+        if len(line) > len(steps):
+            raise ValueError("a cycle")
+    if len(line) < len(steps):
+        raise ValueError(f"not on the line: {sorted(set(steps) - set(line))}")
+    return chain(*[steps[n] for n in line])
 
 
 def _number(text: str) -> int | float | str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -129,6 +130,14 @@ def centred(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(blocks.to_samples(out), 10)  # means lie on halves of the sixth digit
 
 
+def largest_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's aggregate whose merge depends on the order: first and last value, and the largest step between neighbours."""
+    partial = lambda x: (x[0], x[-1], np.abs(np.diff(x)).max(initial=0.0))
+    merge = lambda a, b: np.array([a[0], b[1], max(a[2], b[2], abs(b[0] - a[1]))])
+    out = segments.fold(blocks.from_samples(tables.signal(spark, sf_dir), 32), partial, merge, 4)
+    return out.select("track", "channel", *[F.get("state", F.lit(i)).alias(c) for i, c in enumerate(("first", "last", "step"))])
+
+
 def mirrored(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = tables.blocks(spark, sf_dir).select("track", "block_idx", spectra.mirrored(F.col("samples"), 3, 2).alias("s"))
     return out.select("track", "block_idx", F.posexplode("s").alias("i", "value")).withColumn("value", F.col("value").cast("double"))
@@ -174,6 +183,7 @@ QUERIES: dict[str, Query] = {
     "segment_model": segment_model,
     "score_model": score_model,
     "centred": centred,
+    "largest_step": largest_step,
     "mirrored": mirrored,
     "frequency_scales": frequency_scales,
     "channel_sum": _samples(samples.channel_sum),
@@ -274,6 +284,7 @@ o as (select *, (v - avg(v) over (partition by track, channel, k)) as y, (case w
 select o.track, o.channel, o.frame, round(sum(w * y) / sum(w), 6) as value from o join e using (track, channel) where frame <= m group by 1, 2, 3""",
     "score_model": f"with {SIG}, w as (select track, channel, unnest([frame // 16, (frame + 4) // 16]) as w, unnest([true, frame % 16 >= 12]) as good, value, frame from sig), e as (select track, channel, max(frame) // 16 as last from sig group by 1, 2) select track, channel, w, round(sum(value * value), 6) as p from w join e using (track, channel) where good and w <= last group by 1, 2, 3",
     "centred": f"with {SIG} select track, channel, frame, round(value - sum(value) over (partition by track) / count(*) over (partition by track), 10) as value from sig",
+    "largest_step": f"with {SIG}, d as (select *, abs(value - lag(value) over (partition by track, channel order by frame)) as d from sig) select track, channel, cast(min_by(value, frame) as double) as first, cast(max_by(value, frame) as double) as last, cast(coalesce(max(d), 0) as double) as step from d group by 1, 2",
     "mirrored": "with b as (select cast(label as bigint) as track, row_number() over (partition by label order by vec_id) - 1 as block_idx, embedding as e from embeddings) select track, block_idx, i, cast(e[case when i < 3 then 3 - i when i < 67 then i - 2 else 64 - (i - 67) end] as double) as value from b, generate_series(0, 68) t(i)",
     "frequency_scales": "with f as (select o_orderkey, cast(o_totalprice as double) as f from orders) select o_orderkey, round(2595 * log10(1 + f / 700), 4) as mel, round(21.4 * log10(1 + 0.00437 * f), 4) as erb, round(ln(f), 4) as log, round(f, 4) as back_mel, round(f, 4) as back_erb, round(f, 4) as back_log from f",
     "channel_sum": f"with {SIG} select track, 0 as channel, frame, round(l + r, 6) as value from rows",

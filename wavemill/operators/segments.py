@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -88,6 +89,37 @@ def aggregate(df: DataFrame, partial: Callable[[np.ndarray], Sequence[float]], n
     return rows.groupBy("track").agg(*[getattr(F, merge)(n).alias(n) for n in names])
 
 
+def fold(df: DataFrame, partial: Callable[[np.ndarray], Sequence[float]], merge: Callable[[np.ndarray, np.ndarray], np.ndarray], fan_in: int = 64) -> DataFrame:
+    """(track, channel, state): a user's aggregate with any associative merge, which may depend on the order.
+
+    partial(samples of a block) gives a state, an array of numbers of any length; merge(a, b)
+    joins the states of two stretches, a before b. Up to fan_in neighbours are merged in a
+    task, then what came of them, and so on, so no track is in one task while it is long.
+    """
+    kinds = dict(df.dtypes)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [np.asarray(partial(np.asarray(x.values.to_numpy(zero_copy_only=False), np.float64)), np.float64) for x in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(made, pa.list_(pa.float64()))], names=["track", "channel", "at", "state"])
+
+    def joined(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("at")
+        states = [np.asarray(s.values.to_numpy(zero_copy_only=False)) for s in table.column("state")]
+        made = functools.reduce(merge, states)
+        columns = {"track": table.column("track")[:1], "channel": table.column("channel")[:1], "at": pa.array([key[2].as_py()], pa.int64())}
+        return pa.table(columns | {"state": pa.array([made], pa.list_(pa.float64()))})
+
+    schema = f"track {kinds['track']}, channel {kinds['channel']}, at long, state array<double>"
+    rows = df.select("track", "channel", F.col("block_idx").cast("long").alias("at"), "samples").mapInArrow(first, schema)
+    last = df.agg(F.max("block_idx")).first()[0] or 0
+    while True:
+        rows = rows.withColumn("group", F.floor(F.col("at") / fan_in)).groupBy("track", "channel", "group").applyInArrow(joined, schema)
+        last //= fan_in
+        if not last:
+            return rows.select("track", "channel", "state")
+
+
 def measure_apply(df: DataFrame, partial: Callable[[np.ndarray], Sequence[float]], names: Sequence[str], apply: Callable[[np.ndarray, tuple[float, ...]], np.ndarray], merge: str = "sum") -> DataFrame:
     """A user's transform in two passes: measures each track by `aggregate`, then apply(samples, measures) on each block."""
     measured = aggregate(df, partial, names, merge)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import glob
 import os
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -162,15 +163,15 @@ def header(n_frames: int, channels: int, rate: int, bits: int, floating: bool) -
 def write(df: DataFrame, path: str, rate: int, bits: int = 16, floating: bool = False) -> DataFrame:
     """Writes each track's blocks to path/track.wav, in the order of their offsets; returns (track, path, n_frames).
 
-    The files are written when the result is used. A task that is run again writes a
-    file of its own first and puts it in place whole.
+    The files are written when the result is used. A track's name may have folders, never ..;
+    each attempt of a task writes a file of its own first and puts it in place whole, and
+    takes it away if it fails.
     """
     bits = 32 if floating else bits
     rows = blocks.interleave(df).select("track", "offset", "n_channels", "samples").repartition("track").sortWithinPartitions("track", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.makedirs(path, exist_ok=True)
-        file, track, frames, channels = None, None, 0, 0
+        file, track, target, frames, channels = None, None, "", 0, 0
         done: list[tuple[str, str, int]] = []
 
         def close() -> None:
@@ -179,20 +180,30 @@ def write(df: DataFrame, path: str, rate: int, bits: int = 16, floating: bool =
             file.seek(0)
             file.write(header(frames, channels, rate, bits, floating))
             file.close()
-            os.replace(file.name, target := os.path.join(path, f"{track}.wav"))
+            os.replace(file.name, target)
             done.append((str(track), target, frames))
 
-        for batch in batches:
-            for name, _, n, samples in zip(*(batch.column(i) for i in range(4))):
-                if file is None or name.as_py() != track:
-                    close()
-                    track, frames, channels = name.as_py(), 0, n.as_py()
-                    file = open(os.path.join(path, f".{track}.{os.getpid()}"), "wb")
-                    file.write(bytes(80))
-                x = samples.values.to_numpy(zero_copy_only=False)
-                file.write(encode_pcm(x, bits, floating))
-                frames += len(x) // channels
-        close()
+        try:
+            for batch in batches:
+                for name, _, n, samples in zip(*(batch.column(i) for i in range(4))):
+                    if file is None or name.as_py() != track:
+                        close()
+                        track, frames, channels = name.as_py(), 0, n.as_py()
+                        parts = str(track).split("/")
+                        if ".." in parts or not parts[-1]:
+                            raise ValueError(f"not a file's name: {track}")
+                        target = os.path.join(path, *parts) + ".wav"
+                        os.makedirs(os.path.dirname(target), exist_ok=True)
+                        file = open(os.path.join(os.path.dirname(target), f".{parts[-1]}.{uuid.uuid4().hex}"), "wb")
+                        file.write(bytes(80))
+                    x = samples.values.to_numpy(zero_copy_only=False)
+                    file.write(encode_pcm(x, bits, floating))
+                    frames += len(x) // channels
+            close()
+        except BaseException:
+            if file is not None and os.path.exists(file.name):
+                os.unlink(file.name)
+            raise
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done)], names=["track", "path", "n_frames"])
 
