@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import levels
-from ..operators import blocks, design, loudness, samples, segments, spectra
+from ..operators import blocks, design, lattice, loudness, samples, segments, spectra
 from ..operators.design import Section
 from ..operators.intervals import splice
 from ..sources import tables
@@ -138,6 +138,15 @@ def largest_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("track", "channel", *[F.get("state", F.lit(i)).alias(c) for i, c in enumerate(("first", "last", "step"))])
 
 
+def varying_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three sections whose coefficients wander, some of them to their bounds; the last rows end before the track."""
+    df = tables.signal(spark, sf_dir)
+    rows = df.groupBy("track").agg(F.max("frame").alias("last")).select("track", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / 20))).alias("row"))
+    k = [((F.col("row") * 7 + F.col("track") + 5 * s) % 19 - 9) / 10.0 for s in range(3)]
+    out = lattice.apply(blocks.from_samples(df, 100), rows.select("track", "row", F.array(*k).alias("k")), 16, 3, 1.2)
+    return _rounded(blocks.to_samples(out), 9).withColumn("value", F.col("value") + 0.0)
+
+
 def mirrored(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = tables.blocks(spark, sf_dir).select("track", "block_idx", spectra.mirrored(F.col("samples"), 3, 2).alias("s"))
     return out.select("track", "block_idx", F.posexplode("s").alias("i", "value")).withColumn("value", F.col("value").cast("double"))
@@ -184,6 +193,7 @@ QUERIES: dict[str, Query] = {
     "score_model": score_model,
     "centred": centred,
     "largest_step": largest_step,
+    "varying_lattice": varying_lattice,
     "mirrored": mirrored,
     "frequency_scales": frequency_scales,
     "channel_sum": _samples(samples.channel_sum),
@@ -285,6 +295,12 @@ select o.track, o.channel, o.frame, round(sum(w * y) / sum(w), 6) as value from
     "score_model": f"with {SIG}, w as (select track, channel, unnest([frame // 16, (frame + 4) // 16]) as w, unnest([true, frame % 16 >= 12]) as good, value, frame from sig), e as (select track, channel, max(frame) // 16 as last from sig group by 1, 2) select track, channel, w, round(sum(value * value), 6) as p from w join e using (track, channel) where good and w <= last group by 1, 2, 3",
     "centred": f"with {SIG} select track, channel, frame, round(value - sum(value) over (partition by track) / count(*) over (partition by track), 10) as value from sig",
     "largest_step": f"with {SIG}, d as (select *, abs(value - lag(value) over (partition by track, channel order by frame)) as d from sig) select track, channel, cast(min_by(value, frame) as double) as first, cast(max_by(value, frame) as double) as last, cast(coalesce(max(d), 0) as double) as step from d group by 1, 2",
+    "varying_lattice": f"""with recursive {SRC}, n as (select track, max(frame) // 20 as last from src group by 1), pos as materialized (select s.*, least(frame // 16, last) as lo, least(least(frame // 16, last) + 1, last) as hi, last from src s join n using (track)),
+x as materialized (select track, channel, frame, value, {", ".join(f"greatest(-0.95, least(0.95, 1.2 * (((lo * 7 + track + {5 * s}) % 19 - 9) / 10.0 + (frame / 16.0 - lo) * (((hi * 7 + track + {5 * s}) % 19 - 9) / 10.0 - ((lo * 7 + track + {5 * s}) % 19 - 9) / 10.0))))::double as k{s}" for s in range(3))} from pos),
+r(track, channel, frame, z0, z1, z2, y) as (select track, channel, -1::bigint, 0.0::double, 0.0::double, 0.0::double, 0.0::double from x where frame = 0
+union all select track, channel, frame, sqrt(1 - k0 * k0) * x0 + k0 * z0, sqrt(1 - k1 * k1) * x1 + k1 * z1, sqrt(1 - k2 * k2) * x2 + k2 * z2, sqrt(1 - k2 * k2) * z2 - k2 * x2 from
+ (select *, sqrt(1 - k1 * k1) * z1 - k1 * x1 as x2 from (select x.*, r.z0, r.z1, r.z2, x.value as x0, sqrt(1 - k0 * k0) * r.z0 - k0 * x.value as x1 from r join x on x.track = r.track and x.channel = r.channel and x.frame = r.frame + 1)))
+select track, channel, frame, round(y, 9) + 0.0 as value from r where frame >= 0""",
     "mirrored": "with b as (select cast(label as bigint) as track, row_number() over (partition by label order by vec_id) - 1 as block_idx, embedding as e from embeddings) select track, block_idx, i, cast(e[case when i < 3 then 3 - i when i < 67 then i - 2 else 64 - (i - 67) end] as double) as value from b, generate_series(0, 68) t(i)",
     "frequency_scales": "with f as (select o_orderkey, cast(o_totalprice as double) as f from orders) select o_orderkey, round(2595 * log10(1 + f / 700), 4) as mel, round(21.4 * log10(1 + 0.00437 * f), 4) as erb, round(ln(f), 4) as log, round(f, 4) as back_mel, round(f, 4) as back_erb, round(f, 4) as back_log from f",
     "channel_sum": f"with {SIG} select track, 0 as channel, frame, round(l + r, 6) as value from rows",
