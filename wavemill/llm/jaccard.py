@@ -5,10 +5,12 @@ exact SimHash comparison by tiles finds (fingerprints of the shingles within RAD
 bits), and, as at a similarity of 0.8 fingerprints differ in some ten bits, where tiles
 skip nothing, also all that share one of BANDS keys of ROWS minima under hash functions:
 two sets of similarity s share none with probability (1 - s**ROWS)**BANDS, 1e-10 at 0.8.
-Each candidate's similarity is then counted on the whole sets. Under a key with many
-nodes, these are first compared with two of them only; then those that are still apart
-from the largest component are compared with all the others of the key, so no pair is
-left out.
+Similarities are counted on whole sets, block against block: each node lies in a block of
+its most crowded key, and a crowded key has several blocks. First every block is compared in
+itself, with one node that all blocks of its key share. Then, under each key, nodes that are
+still apart from the key's largest component are compared with those of the other blocks. So
+a set travels once for each block that it meets, not for each pair, no pair under a key is
+left out, and a comparison emits a spanning forest of the links it finds.
 """
 
 from __future__ import annotations
@@ -22,13 +24,15 @@ from pyspark.sql import functions as F
 
 from .common import cut_lineage, salted
 from .minhash import BASE, mix, shingle_hashes, word_hashes
-from .simhash import components, links
+from .simhash import _forest, components, links
 
 RADIUS = 2
 BANDS, ROWS = 32, 3
-#: Keys under which more nodes stand are compared with two of them before all others.
-CROWD = 64
-#: Rows whose ids are broadcast at most (8 bytes each); beyond it, a shuffled join.
+#: Nodes and shingles that a block holds, about; a larger set is a block of its own.
+CROWD, BLOCK_SHINGLES = 512, 1 << 20
+#: Shingles that are counted at once between two blocks.
+COLUMNS = 4096
+#: Rows of a few numbers that are broadcast at most; beyond it, a shuffled join.
 BROADCAST_IDS = 1_000_000
 
 FACTORS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(BASE)) | np.uint64(1)
@@ -102,11 +106,52 @@ def _sets(df: DataFrame, rows: DataFrame, text: str, doc_id: str) -> DataFrame:
     return texts.mapInArrow(run, "node long, found array<long>").dropDuplicates(["node"])
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose sets have a similarity of `least` or more."""
-    one, two = sets.select(F.col("node").alias("a"), F.col("found").alias("x")), sets.select(F.col("node").alias("b"), F.col("found").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(one, "a").join(two, "b").filter(both / (F.size("x") + F.size("y") - both) >= least).select("a", "b")
+def shared_counts(sets: list[np.ndarray], first: int) -> np.ndarray:
+    """How many shingles each of the first sets shares with each of the others (first = len(sets): each with each)."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = often > 1
+    place = (np.cumsum(several) - 1)[column]
+    owner, place = owner[several[column]], place[several[column]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    rest = 0 if first == len(sets) else first
+    out = np.zeros((first, len(sets) - rest))
+    for start in range(0, int(several.sum()), COLUMNS):
+        low, high = np.searchsorted(place, [start, start + COLUMNS])
+        has = np.zeros((len(sets), COLUMNS), np.float32)
+        has[owner[low:high], place[low:high] - start] = 1
+        out += has[:first] @ has[rest:].T
+    return out
+
+
+def alike(nodes: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], first: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between the first nodes and the others (first = len(nodes): among all)
+    whose roots differ."""
+    rest = 0 if first == len(nodes) else first
+    both, size = shared_counts(sets, first), np.array([len(x) for x in sets], np.float64)
+    near = both / np.maximum(size[:first, None] + size[None, rest:] - both, 1) >= least
+    x, y = np.nonzero(near & (roots[:first, None] != roots[None, rest:]))
+    return _forest(nodes[x], nodes[y + rest]) if len(x) else (nodes[:0], nodes[:0])
+
+
+def _compared(dealt: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) of a spanning forest for each two blocks (low, high) to which nodes are dealt.
+
+    dealt: (low, high, block, node, root), block being one of the two; nodes of one block
+    are compared with those of the other, or, where low = high, with each other.
+    """
+    dealt = F.broadcast(dealt) if dealt.count() <= BROADCAST_IDS else dealt
+
+    def run(group: pa.Table) -> pa.Table:
+        low, high, block, node_, root = (group.column(c).to_numpy() for c in ("low", "high", "block", "node", "root"))
+        order = np.argsort(block != low, kind="stable")
+        first = int((block == low).sum())
+        found = [group.column("found")[int(i)].values.to_numpy().view(np.uint64) for i in order]
+        a, b = alike(node_[order], root[order], found, first, least) if low[0] == high[0] or 0 < first < len(order) else (node_[:0], node_[:0])
+        return pa.table({"a": a, "b": b})
+
+    return sets.join(dealt, "node").groupBy("low", "high").applyInArrow(run, "a long, b long")
 
 
 def by_tiles(nodes: DataFrame) -> DataFrame:
@@ -119,6 +164,39 @@ def by_tiles(nodes: DataFrame) -> DataFrame:
     return across.union(inside).toDF("x", "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
+def _placed(shared: DataFrame, nodes: DataFrame, tiles: DataFrame) -> DataFrame:
+    """(node, size, block, blocks, n, hub): nodes with a key or a tile in common with others in blocks of
+    their most crowded key, with the blocks, the nodes and the smallest node of that key's group."""
+    homes = shared.groupBy("node").agg(F.max(F.struct("n", "key")).alias("_")).select("node", F.col("_.key").alias("home"))
+    used = tiles.select(F.explode(F.array("a", "b")).alias("node")).union(homes.select("node")).distinct()
+    mine = nodes.select("node", "size").join(used, "node").join(homes, "node", "left").withColumn("home", F.coalesce("home", "node"))
+    mine = cut_lineage(mine)
+    full = mine.groupBy("home").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), F.min("node").alias("hub"))
+    full = full.withColumn("blocks", F.greatest(F.ceil(F.col("n") / CROWD), F.ceil(F.col("total") / BLOCK_SHINGLES)))
+    spread = F.pmod(F.xxhash64(F.lit(9), "node"), F.lit(1 << 20)).cast("int")
+    out = salted(mine, full.select("home", "hub", "blocks", "n", F.col("n").alias("crowd")), ["home"], spread)
+    block = F.xxhash64("home", F.pmod(F.xxhash64(F.lit(8), "node"), F.greatest("blocks", F.lit(1))))
+    return out.select("node", "size", block.alias("block"), "blocks", F.col("crowd").alias("n"), "hub")
+
+
+def _apart(shared: DataFrame, known: DataFrame, tiles: DataFrame, least: float) -> DataFrame:
+    """What `_compared` is dealt second: nodes outside the largest component of a key, with the nodes of
+    the key's other blocks; and nodes linked by tiles. A block whose sizes are too far off is left out."""
+    rows = cut_lineage(shared.select("key", "node").join(known, "node"))
+    sizes = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("_"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("key", F.col("_.root").alias("largest"))
+    rows = cut_lineage(rows.join(largest, "key").withColumn("apart", F.col("root") != F.col("largest")).drop("largest"))
+    others = rows.groupBy("key", F.col("block").alias("other")).agg(F.max("apart").alias("some"), F.min("size").alias("smallest"), F.max("size").alias("biggest"))
+    slack = least * 0.999  # rounding never leaves a pair out
+    fits = (F.col("size") >= slack * F.col("smallest")) & (slack * F.col("size") <= F.col("biggest"))
+    met = rows.join(others, "key").filter(F.col("block") != F.col("other")).filter(F.col("apart") | F.col("some")).filter(fits)
+    side = lambda c: known.select(F.col("node").alias(c), F.col("block").alias(f"block_{c}"), F.col("root").alias(f"root_{c}"))
+    linked = tiles.join(side("a"), "a").join(side("b"), "b").filter("root_a <> root_b and block_a <> block_b")
+    ends = [linked.select(F.col(f"block_{x}").alias("block"), F.col(f"block_{y}").alias("other"), F.col(x).alias("node"), F.col(f"root_{x}").alias("root")) for x, y in ("ab", "ba")]
+    dealt = met.select("block", "other", "node", "root").union(ends[0]).union(ends[1])
+    return dealt.select(F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "root").distinct()
+
+
 def groups(df: DataFrame, least: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, row, component_id) of each row: the smallest doc_id reachable over links of
     similarity `least` or more; `row` is row_key, equal for rows of the same doc_id and text.
@@ -135,28 +213,19 @@ def members(df: DataFrame, least: float = 0.8, text: str = "text", doc_id: str =
     marked = cut_lineage(mark(df, text, doc_id))
     nodes = cut_lineage(marked.groupBy("node").agg(F.min("doc_id").alias("low"), F.min("row").alias("row"), F.count(F.lit(1)).alias("n"), *[F.any_value(c).alias(c) for c in ("size", "fp", "keys")]))
     keyed = nodes.select("node", "size", F.explode("keys").alias("key"))
-    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("one"), F.max("node").alias("two")).filter("n > 1")
+    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = cut_lineage(keyed.join(counts, "key"))
-    fits = F.least("size_a", "size_b") / F.greatest("size_a", "size_b") >= least
-    side = lambda rows, s, *more: rows.select("key", F.col("node").alias(s), F.col("size").alias(f"size_{s}"), *more)
-    few, crowded = shared.filter(F.col("n") <= CROWD), shared.filter(F.col("n") > CROWD)
-    pairs = side(few, "a").join(side(few, "b"), "key").filter(F.col("a") < F.col("b")).filter(fits).select("a", "b")
-    hubs = crowded.select("node", F.explode(F.array("one", "two")).alias("hub")).filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-    pairs = cut_lineage(pairs.union(hubs).union(by_tiles(nodes)).distinct())
-    used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = cut_lineage(_sets(df, nodes.join(used, "node", "left_semi"), text, doc_id))
-    found = cut_lineage(_alike(pairs, sets, least))
-    roots = components(found)
-    if crowded.limit(1).count():
-        known = crowded.select("key", "node", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        known = cut_lineage(known)
-        sizes = known.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-        largest = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("_"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("key", F.col("_.root").alias("largest"))
-        known = known.join(largest, "key")
-        apart = side(known.filter("root <> largest"), "a", F.col("root").alias("root_a"))
-        left = apart.join(side(known, "b", F.col("root").alias("root_b"), "largest"), "key").filter("root_a <> root_b and (root_b = largest or a < b)").filter(fits)
-        left = left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-        roots = components(found.union(_alike(left, sets, least)))
+    tiles = cut_lineage(by_tiles(nodes))
+    placed = cut_lineage(_placed(shared, nodes, tiles))
+    sets = cut_lineage(_sets(df, nodes.select("node", "row").join(placed.select("node"), "node"), text, doc_id))
+    guests = placed.filter("blocks > 1").select("block", F.col("hub").alias("node")).distinct()
+    inside = placed.filter("n > 1").select("block", "node").union(guests).distinct()
+    inside = cut_lineage(inside.select(F.col("block").alias("low"), F.col("block").alias("high"), "block", "node", F.col("node").alias("root")))
+    found = cut_lineage(_compared(inside, sets, least))
+    known = placed.select("node", "size", "block").join(components(found), "node", "left")
+    known = cut_lineage(known.withColumn("root", F.coalesce("root", "node")))
+    across = cut_lineage(_apart(shared, known, tiles, least))
+    roots = components(cut_lineage(found.union(_compared(across, sets, least))))
     rooted = cut_lineage(nodes.select("node", "low", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     ids = cut_lineage(rooted.join(lowest, "root").select("node", "n", "root", "component_id"))
