@@ -29,6 +29,39 @@ def test_wav_round_trip(spark, two_tracks, tmp_path, bits, floating, error):
     assert both.count() == 2 * 2 * 340 and both.agg(F.max(F.abs(F.col("value") - F.col("given")))).first()[0] <= error
 
 
+@pytest.mark.parametrize(("bits", "floating"), [(16, False), (24, False), (32, True)])
+def test_files_by_many_tasks_equal_those_of_one(spark, tmp_path, bits, floating):
+    rng = np.random.default_rng(5)
+    rows = [(t, c, i, i * 500, rng.uniform(-1, 1, 500 if i < last else 77).tolist()) for t, last in (("long", 120), ("in/two/folders", 3)) for c in range(2) for i in range(last + 1)]
+    rows += [("long", 0, 999, 0, [])]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(t, int(c), int(i), int(o), list(x)) for t, c, i, o, x in rows], "track string, channel int, block_idx long, offset long, samples array<double>")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = {r.track: r for r in wav.write_parallel(df, str(tmp_path / "many"), 8000, bits, floating).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert out["long"].n_tasks > 1 and {t: r.n_frames for t, r in out.items()} == {"long": 60_077, "in/two/folders": 1_577}
+    wav.write(df.filter(F.size("samples") > 0), str(tmp_path / "one"), 8000, bits, floating).collect()
+    for track, r in out.items():
+        with open(r.path, "rb") as many, open(tmp_path / "one" / f"{track}.wav", "rb") as one:
+            assert many.read() == one.read()
+    assert not [p for p in (tmp_path / "many").rglob(".*")]
+
+
+def test_blocks_that_do_not_follow_one_another_are_errors(spark, tmp_path):
+    form = "track string, channel int, block_idx long, offset long, samples array<double>"
+    ten, start = [0.5] * 10, ("a", 0, 0, 0, [0.5] * 10)
+    gap, lap, again, short = [start, ("a", 0, 1, 12, ten)], [start, ("a", 0, 1, 8, ten)], [start, start], [start, ("a", 0, 1, 10, ten), ("a", 1, 0, 0, ten)]
+    both = [start, ("a", 0, 1, 5, ten), ("a", 0, 2, 20, ten)]  # an overlap as long as the gap
+    for rows in (gap, lap, again, short, both):
+        with pytest.raises(ValueError):
+            wav.write_parallel(spark.createDataFrame(rows, form), str(tmp_path), 8000)
+    with pytest.raises(Exception, match="not a file's name"):
+        wav.write_parallel(spark.createDataFrame([("../a", *start[1:])], form), str(tmp_path), 8000)
+    assert not list(tmp_path.rglob("*")) and wav.write_parallel(spark.createDataFrame([], form), str(tmp_path), 8000).count() == 0
+
+
 def test_pcm_and_headers(tmp_path):
     assert wav.decode_pcm(b"\x00\x80\xff", 8, 1).tolist() == [-1, 0, 127 / 128]
     assert wav.decode_pcm(b"\x00\x80", 16, 1)[0] == -1 and wav.decode_pcm(b"\x00\x00\x80", 24, 1)[0] == -1 and wav.decode_pcm(b"\x00\x00\x00\x80", 32, 1)[0] == -1

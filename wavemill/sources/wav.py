@@ -15,10 +15,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators import blocks
+from ..operators.lineage import per_track, settle
 
 HEADER = "track string, path string, sample_rate int, n_channels int, bit_depth int, audio_format int, n_frames bigint, duration_s double"
 BLOCKS = "track string, channel int, block_idx bigint, offset bigint, sample_rate int, bit_depth int, samples array<float>"
@@ -160,6 +163,13 @@ def header(n_frames: int, channels: int, rate: int, bits: int, floating: bool) -
     return top + spare + form + struct.pack("<4sI", b"data", 0xFFFFFFFF if large else size)
 
 
+def file_name(path: str, track: object) -> str:
+    parts = str(track).split("/")
+    if ".." in parts or not parts[-1]:
+        raise ValueError(f"not a file's name: {track}")
+    return os.path.join(path, *parts) + ".wav"
+
+
 def write(df: DataFrame, path: str, rate: int, bits: int = 16, floating: bool = False) -> DataFrame:
     """Writes each track's blocks to path/track.wav, in the order of their offsets; returns (track, path, n_frames).
 
@@ -189,12 +199,9 @@ def write(df: DataFrame, path: str, rate: int, bits: int = 16, floating: bool =
                     if file is None or name.as_py() != track:
                         close()
                         track, frames, channels = name.as_py(), 0, n.as_py()
-                        parts = str(track).split("/")
-                        if ".." in parts or not parts[-1]:
-                            raise ValueError(f"not a file's name: {track}")
-                        target = os.path.join(path, *parts) + ".wav"
+                        target = file_name(path, track)
                         os.makedirs(os.path.dirname(target), exist_ok=True)
-                        file = open(os.path.join(os.path.dirname(target), f".{parts[-1]}.{uuid.uuid4().hex}"), "wb")
+                        file = open(os.path.join(os.path.dirname(target), f".{os.path.basename(target)}.{uuid.uuid4().hex}"), "wb")
                         file.write(bytes(80))
                     x = samples.values.to_numpy(zero_copy_only=False)
                     file.write(encode_pcm(x, bits, floating))
@@ -208,3 +215,88 @@ def write(df: DataFrame, path: str, rate: int, bits: int = 16, floating: bool =
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done)], names=["track", "path", "n_frames"])
 
     return rows.mapInArrow(run, "track string, path string, n_frames long")
+
+
+def write_parallel(df: DataFrame, path: str, rate: int, bits: int = 16, floating: bool = False) -> DataFrame:
+    """Writes the files that `write` writes, each by many tasks; returns (track, path, n_frames, n_tasks).
+
+    Sizes are counted first and every file is made at its full length under a hidden name that
+    all tasks know. Then each block goes to its own place in its file, wherever the block lies, so
+    that an attempt that runs again, or beside another, puts the same bytes in the same place. Where
+    all frames are there, the header is written and the file gets its name; else the hidden files go.
+    The files are there when this returns. Blocks without samples are nothing; channels of unlike
+    length, gaps, overlaps and repeated blocks are errors, before anything is written. An empty table
+    gives no files.
+    """
+    bits = 32 if floating else bits
+    job, end = uuid.uuid4().hex, F.col("offset") + F.size("samples")
+    df = df.filter(F.size("samples") > 0)
+    lengths = df.groupBy("track", "channel").agg(F.max(end).alias("n_frames"), F.sum(F.size("samples").cast("long")).alias("given"))
+    of_tracks = lengths.groupBy("track").agg(F.max("n_frames").alias("n_frames"), F.count(F.lit(1)).cast("int").alias("n_channels"), F.bool_and(F.col("given") == F.col("n_frames")).alias("dense"), F.min("n_frames").alias("shortest"))
+    tracks = settle(of_tracks)
+    unnamed = tracks.filter(F.col("track").cast("string").rlike(r"(^|/)\.\.(/|$)|(^|/)$")).first()
+    if unnamed:
+        raise ValueError(f"not a file's name: {unnamed.track}")
+    uneven = tracks.filter("not dense or shortest <> n_frames").first()
+    # with the sums right, blocks that all begin where another ends neither overlap nor leave gaps
+    ends = df.select("track", "channel", end.alias("offset"))
+    loose = df.select("track", "channel", "offset").filter("offset <> 0").join(ends, ["track", "channel", "offset"], "left_anti").first()
+    if uneven or loose:
+        raise ValueError(f"blocks of {(uneven or loose).track} don't follow one another")
+    tracks = tracks.select("track", "n_frames", "n_channels")
+
+    def hidden(track: object) -> str:
+        target = file_name(path, track)
+        return os.path.join(os.path.dirname(target), f".{os.path.basename(target)}.{job}")
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                os.makedirs(os.path.dirname(hidden(r["track"])), exist_ok=True)
+                with open(hidden(r["track"]), "ab") as file:
+                    file.truncate(80 + r["n_frames"] * r["n_channels"] * bits // 8)
+            yield batch.select(["track"])
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        for batch in batches:
+            names, frames = batch.column(0).to_pylist(), []
+            for track, offset, n, samples in zip(names, batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                x = samples.values.to_numpy(zero_copy_only=False)
+                with open(hidden(track), "r+b") as file:
+                    file.seek(80 + offset * n * bits // 8)
+                    file.write(encode_pcm(x, bits, floating))
+                frames.append(len(x) // n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(frames, pa.int64()), pa.array([task] * len(frames), pa.int64())], names=["track", "frames", "task"])
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            for r in rows:
+                if r["done"] != r["n_frames"]:
+                    raise ValueError(f"{r['done']} of {r['n_frames']} frames of {r['track']} were written")
+                source, target = hidden(r["track"]), file_name(path, r["track"])
+                if os.path.exists(source):  # else an earlier attempt of this task has named it
+                    with open(source, "r+b") as file:
+                        file.write(header(r["n_frames"], r["n_channels"], rate, bits, floating))
+                    os.replace(source, target)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([file_name(path, r["track"]) for r in rows], pa.string()), pa.array([r["n_frames"] for r in rows], pa.int64()), pa.array([r["n_tasks"] for r in rows], pa.int64())], names=["track", "path", "n_frames", "n_tasks"])
+
+    def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for track in batch.column(0).to_pylist():
+                if os.path.exists(hidden(track)):
+                    os.unlink(hidden(track))
+            yield batch.select(["track"])
+
+    kind = f"track {dict(df.dtypes)['track']}"
+    try:
+        settle(tracks.mapInArrow(made, kind))
+        whole = per_track(blocks.interleave(df), tracks.select("track", F.col("n_channels").alias("_n")), place="offset").filter("n_channels = _n")
+        parts = settle(whole.select("track", "offset", "n_channels", "samples").mapInArrow(placed, f"{kind}, frames long, task long"))
+        done = parts.groupBy("track").agg(F.sum("frames").alias("done"), F.countDistinct("task").alias("n_tasks"))
+        ready = tracks.join(done, "track", "left").select("track", "n_frames", "n_channels", F.coalesce("done", F.lit(0)).alias("done"), F.coalesce("n_tasks", F.lit(0)).alias("n_tasks"))
+        return settle(ready.mapInArrow(named, f"{kind}, path string, n_frames long, n_tasks long"))
+    except BaseException:
+        tracks.mapInArrow(removed, kind).count()
+        raise
