@@ -8,9 +8,10 @@ two sets of similarity s share none with probability (1 - s**ROWS)**BANDS, 1e-10
 Similarities are counted on whole sets, block against block: each node lies in a block of
 its most crowded key, and a crowded key has several blocks. First every block is compared in
 itself, with one node that all blocks of its key share. Then, under each key, nodes that are
-still apart from the key's largest component are compared with those of the other blocks. So
-a set travels once for each block that it meets, not for each pair, no pair under a key is
-left out, and a comparison emits a spanning forest of the links it finds.
+still apart from the key's largest component are sent to the other blocks, and a block meets
+what it was sent heap by heap. So a set travels once for each block or heap that it meets, not
+for each pair, what is in the largest component stays where it is, no pair under a key is left
+out, and a comparison emits a spanning forest of the links it finds.
 """
 
 from __future__ import annotations
@@ -180,21 +181,35 @@ def _placed(shared: DataFrame, nodes: DataFrame, tiles: DataFrame) -> DataFrame:
 
 
 def _apart(shared: DataFrame, known: DataFrame, tiles: DataFrame, least: float) -> DataFrame:
-    """What `_compared` is dealt second: nodes outside the largest component of a key, with the nodes of
-    the key's other blocks; and nodes linked by tiles. A block whose sizes are too far off is left out."""
+    """What `_compared` is dealt second: to each block of a key, in heaps, the nodes of other blocks that lie
+    outside the key's largest component, and of the block the nodes with such a key; and nodes linked by tiles.
+
+    Of two nodes outside, that of the lower block is sent; to a higher one's block, nodes only go for those
+    in the largest component. A block whose sizes are too far off gets nothing.
+    """
     rows = cut_lineage(shared.select("key", "node").join(known, "node"))
     sizes = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("_"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("key", F.col("_.root").alias("largest"))
     rows = cut_lineage(rows.join(largest, "key").withColumn("apart", F.col("root") != F.col("largest")).drop("largest"))
-    others = rows.groupBy("key", F.col("block").alias("other")).agg(F.max("apart").alias("some"), F.min("size").alias("smallest"), F.max("size").alias("biggest"))
+    others = rows.groupBy("key", F.col("block").alias("other")).agg(F.min("apart").alias("only_apart"), F.min("size").alias("smallest"), F.max("size").alias("biggest"))
     slack = least * 0.999  # rounding never leaves a pair out
     fits = (F.col("size") >= slack * F.col("smallest")) & (slack * F.col("size") <= F.col("biggest"))
-    met = rows.join(others, "key").filter(F.col("block") != F.col("other")).filter(F.col("apart") | F.col("some")).filter(fits)
+    met = rows.filter("apart").join(others, "key").filter("block < other or (block > other and not only_apart)").filter(fits)
+    met = cut_lineage(met.select("key", "other", "node", "size", "root"))
+    guests = cut_lineage(met.groupBy("other", "node").agg(F.any_value("size").alias("size"), F.any_value("root").alias("root")))
+    heaps = guests.groupBy("other").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"))
+    heaps = cut_lineage(heaps.select("other", "n", F.greatest(F.ceil(F.col("n") / CROWD), F.ceil(F.col("total") / BLOCK_SHINGLES), F.lit(1)).alias("heaps")))
+    spread = F.pmod(F.xxhash64(F.lit(9), "node"), F.lit(1 << 20)).cast("int")
+    heap = lambda c: F.xxhash64(F.lit(11), F.col("other"), c).alias("high")
+    come = salted(guests, heaps, ["other"], spread).select(F.col("other").alias("low"), heap(F.pmod(F.xxhash64(F.lit(8), "node"), "heaps")), "node", "root")
+    hosts = rows.join(met.select("key", F.col("other").alias("block")).distinct(), ["key", "block"], "left_semi").select(F.col("block").alias("other"), "node", "root").distinct()
+    hosts = salted(hosts, heaps, ["other"], spread).select("other", "node", "root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("heaps") - 1)).alias("_heap"))
+    stay = hosts.select(F.col("other").alias("low"), heap(F.col("_heap")), F.col("other").alias("block"), "node", "root")
     side = lambda c: known.select(F.col("node").alias(c), F.col("block").alias(f"block_{c}"), F.col("root").alias(f"root_{c}"))
     linked = tiles.join(side("a"), "a").join(side("b"), "b").filter("root_a <> root_b and block_a <> block_b")
-    ends = [linked.select(F.col(f"block_{x}").alias("block"), F.col(f"block_{y}").alias("other"), F.col(x).alias("node"), F.col(f"root_{x}").alias("root")) for x, y in ("ab", "ba")]
-    dealt = met.select("block", "other", "node", "root").union(ends[0]).union(ends[1])
-    return dealt.select(F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "root").distinct()
+    low, high = F.least("block_a", "block_b").alias("low"), F.greatest("block_a", "block_b").alias("high")
+    ends = [linked.select(low, high, F.col(f"block_{x}").alias("block"), F.col(x).alias("node"), F.col(f"root_{x}").alias("root")).distinct() for x in "ab"]
+    return stay.unionByName(come.withColumn("block", F.col("high"))).unionByName(ends[0].union(ends[1]).distinct())
 
 
 def groups(df: DataFrame, least: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
