@@ -6,7 +6,7 @@ bits), and, as at a similarity of 0.8 fingerprints differ in some ten bits, wher
 skip nothing, also all that share one of BANDS keys of ROWS minima under hash functions:
 two sets of similarity s share none with probability (1 - s**ROWS)**BANDS, 1e-10 at 0.8.
 Similarities are counted on whole sets, block against block: each node lies in a block of
-its most crowded key, and a crowded key has several blocks. First every block is compared in
+its most crowded key, and a crowded key has several blocks, by size. First every block is compared in
 itself, with one node that all blocks of its key share. Then, under each key, nodes that are
 still apart from the key's largest component are sent to the other blocks, and a block meets
 what it was sent heap by heap. So a set travels once for each block or heap that it meets, not
@@ -16,6 +16,7 @@ out, and a comparison emits a spanning forest of the links it finds.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -165,19 +166,28 @@ def by_tiles(nodes: DataFrame) -> DataFrame:
     return across.union(inside).toDF("x", "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def _placed(shared: DataFrame, nodes: DataFrame, tiles: DataFrame) -> DataFrame:
-    """(node, size, block, blocks, n, hub): nodes with a key or a tile in common with others in blocks of
-    their most crowded key, with the blocks, the nodes and the smallest node of that key's group."""
+def _placed(shared: DataFrame, nodes: DataFrame, tiles: DataFrame, least: float) -> DataFrame:
+    """(node, size, block, split, n, hub): nodes with a key or a tile in common with others in blocks of their
+    most crowded key; whether that key has several, its nodes and the smallest one of these.
+
+    Several blocks hold nodes of like size each, so that most blocks needn't meet: sizes whose
+    ratio is `least` or more lie in the same step of 1 / least or in neighbouring ones.
+    """
     homes = shared.groupBy("node").agg(F.max(F.struct("n", "key")).alias("_")).select("node", F.col("_.key").alias("home"))
     used = tiles.select(F.explode(F.array("a", "b")).alias("node")).union(homes.select("node")).distinct()
     mine = nodes.select("node", "size").join(used, "node").join(homes, "node", "left").withColumn("home", F.coalesce("home", "node"))
     mine = cut_lineage(mine)
     full = mine.groupBy("home").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), F.min("node").alias("hub"))
-    full = full.withColumn("blocks", F.greatest(F.ceil(F.col("n") / CROWD), F.ceil(F.col("total") / BLOCK_SHINGLES)))
+    full = full.withColumn("split", (F.col("n") > CROWD) | (F.col("total") > BLOCK_SHINGLES))
     spread = F.pmod(F.xxhash64(F.lit(9), "node"), F.lit(1 << 20)).cast("int")
-    out = salted(mine, full.select("home", "hub", "blocks", "n", F.col("n").alias("crowd")), ["home"], spread)
-    block = F.xxhash64("home", F.pmod(F.xxhash64(F.lit(8), "node"), F.greatest("blocks", F.lit(1))))
-    return out.select("node", "size", block.alias("block"), "blocks", F.col("crowd").alias("n"), "hub")
+    out = salted(mine, full.select("home", "hub", "split", "n", F.col("n").alias("crowd")), ["home"], spread)
+    step = F.when(F.col("split"), F.floor(F.log(F.greatest("size", F.lit(1))) / math.log(1 / min(max(least, 0.01), 0.999)))).otherwise(0)
+    out = cut_lineage(out.withColumn("step", step.cast("long")))
+    steps = out.groupBy("home", "step").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"))
+    steps = steps.select("home", "step", "n", F.greatest(F.ceil(F.col("n") / CROWD), F.ceil(F.col("total") / BLOCK_SHINGLES), F.lit(1)).alias("blocks"))
+    out = salted(out, steps, ["home", "step"], spread)
+    block = F.xxhash64("home", "step", F.pmod(F.xxhash64(F.lit(8), "node"), "blocks"))
+    return out.select("node", "size", block.alias("block"), "split", F.col("crowd").alias("n"), "hub")
 
 
 def _apart(shared: DataFrame, known: DataFrame, tiles: DataFrame, least: float) -> DataFrame:
@@ -231,9 +241,9 @@ def members(df: DataFrame, least: float = 0.8, text: str = "text", doc_id: str =
     counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = cut_lineage(keyed.join(counts, "key"))
     tiles = cut_lineage(by_tiles(nodes))
-    placed = cut_lineage(_placed(shared, nodes, tiles))
+    placed = cut_lineage(_placed(shared, nodes, tiles, least))
     sets = cut_lineage(_sets(df, nodes.select("node", "row").join(placed.select("node"), "node"), text, doc_id))
-    guests = placed.filter("blocks > 1").select("block", F.col("hub").alias("node")).distinct()
+    guests = placed.filter("split").select("block", F.col("hub").alias("node")).distinct()
     inside = placed.filter("n > 1").select("block", "node").union(guests).distinct()
     inside = cut_lineage(inside.select(F.col("block").alias("low"), F.col("block").alias("high"), "block", "node", F.col("node").alias("root")))
     found = cut_lineage(_compared(inside, sets, least))
