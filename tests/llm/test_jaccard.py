@@ -46,6 +46,19 @@ def test_equals_brute_force(spark, monkeypatch):
         assert {r.doc_id: r.component_id for r in jaccard.groups(df).collect()} == expected
 
 
+def test_near_copies_of_other_sizes_meet_across_blocks(spark, monkeypatch):
+    """Texts cut shorter step by step, each like the next but not like the one after; and others that share their beginning."""
+    words = [f"w{i}" for i in range(600)]
+    docs = [" ".join(words[: int(600 * 0.85**i)]) for i in range(10)]
+    docs += [" ".join(words[:60] + [f"y{i}x{j}" for j in range(20 + 15 * i)]) for i in range(12)]
+    docs = list(enumerate(docs))
+    expected = reachable(docs)
+    assert len(set(expected.values())) > 3 and list(expected.values()).count(0) >= 10
+    monkeypatch.setattr(jaccard, "CROWD", 2)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.groups(df).collect()} == expected
+
+
 def test_stage_finds_near_copies_beyond_two_bits(spark, sf_dir):
     docs = planted(5)
     df = spark.createDataFrame([(k, t, "en", "a", 0) for k, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
