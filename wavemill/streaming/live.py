@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -132,8 +133,8 @@ def closed_up(df: DataFrame) -> DataFrame:
         for offset, samples, kept in zip(rows["offset"], rows["samples"], rows["kept"]):
             if offset != after:
                 raise ValueError(f"block at {offset} of {key}, expected {after}")
-            left = [float(x) for x, k in zip(samples, kept) if k]
-            if left:
+            left = np.asarray(samples, np.float64)[np.asarray(kept, bool)]
+            if len(left):
                 out.append((*key, offset - gone, left))
             gone, after = gone + len(samples) - len(left), offset + len(samples)
         state.update((int(gone), int(after)))
