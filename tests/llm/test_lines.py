@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from wavemill.llm import lines
 from wavemill.llm.queries import op10_line_dedup
 
@@ -127,3 +129,20 @@ def test_a_very_long_text_and_a_common_line(spark):
     assert got[0] == (2, 0, rows[0][1]) and got[2] == (2, 1, "own 2")
     assert got[3][0] == 40_001 and got[3][2].split("\n")[0] == "line number 0 of a long text"
     assert all(n == 1 for i, (_, n, _) in got.items() if i not in (0, 3))
+
+
+def test_likely_lets_every_single_edit_through_and_few_others(spark):
+    """Op10: pairs that share half a line were all compared character by character."""
+    chance = random.Random(3)
+    text = lambda n: "".join(chance.choice("ab é\U0001f600") for _ in range(n))
+    near, far = [], []
+    for n in [*range(0, 30), 60, 100]:
+        for _ in range(12):
+            a, at, c = text(n), chance.randrange(n + 1), chance.choice("abz")
+            near += [(a, a[:at] + c + a[at:]), (a[:at] + c + a[at:], a), (a, a[:at] + c + a[at + 1 :]), (a, a)]
+    for _ in range(200):
+        half = text(40)
+        far.append((half + text(40), half + text(40)))
+    good = spark.createDataFrame(near, "a string, b string").filter(~lines.likely(F.col("a"), F.col("b")))
+    assert good.count() == 0
+    assert spark.createDataFrame(far, "a string, b string").filter(lines.likely(F.col("a"), F.col("b"))).count() < 20

@@ -23,6 +23,8 @@ EDIT_WORDS, EDIT_CHARS = 5, 20
 CROWD = 64
 #: Segments of the first two levels (threshold 1 plus one, then finer); the third is by character.
 SEGMENTS = (2, 16)
+#: Pieces of a line that are looked for in another one before the two are compared character by character.
+PIECES = 8
 #: Ids of lines that are broadcast at most (8 bytes each); beyond it, a shuffled join.
 BROADCAST_IDS = 1_000_000
 
@@ -87,6 +89,19 @@ def within(a: Column, b: Column, most: int = 1) -> Column:
     return F.when(F.abs(m - n) > most, False).when((m == 0) | (n == 0), True).otherwise(run)
 
 
+def likely(a: Column, b: Column) -> Column:
+    """False only for texts more than one edit apart. Of PIECES pieces of `a` one edit touches one at most;
+    every other piece stands in `b` at its place, or as much further as b is longer."""
+    m, n = F.length(a), F.length(b)
+    missing = F.lit(0)
+    for k in range(PIECES):
+        start, stop = F.floor(k * m / PIECES).cast("int"), F.floor((k + 1) * m / PIECES).cast("int")
+        piece, size = a.substr(start + 1, stop - start), stop - start
+        moved = F.when(start + n - m >= 0, b.substr(start + 1 + n - m, size) == piece).otherwise(False)
+        missing = missing + F.when((b.substr(start + 1, size) == piece) | moved, 0).otherwise(1)
+    return (F.abs(m - n) <= 1) & (missing <= 1)
+
+
 def _key(length: Column, segment: Column, segments: Column, drop: int) -> Column:
     """What stands before and behind the segment of a line; drop 1: as if it were one character shorter."""
     start, stop = F.floor(segment * length / segments).cast("int"), F.floor((segment + 1) * length / segments).cast("int")
@@ -121,7 +136,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(h) of the later line of each pair (a, b) that is one edit apart."""
     one = texts.select(F.col("h").alias("a"), F.col("line").alias("line_a"), F.col("first").alias("first_a"))
     two = texts.select(F.col("h").alias("b"), F.col("line").alias("line_b"), F.col("first").alias("first_b"))
-    near = pairs.join(one, "a").join(two, "b").filter(within(F.col("line_a"), F.col("line_b")))
+    near = pairs.join(one, "a").join(two, "b").filter(F.when(likely(F.col("line_a"), F.col("line_b")), within(F.col("line_a"), F.col("line_b"))).otherwise(False))
     return near.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("h"))
 
 
