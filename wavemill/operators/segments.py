@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -11,45 +10,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import design
-from .blocks import KEY, with_halo
-from .lineage import per_track
+from .blocks import KEY, arrays, flat, parts, with_halo
+from .lineage import per_track, settle
 
 
 def on_segments(df: DataFrame, model: Callable[[np.ndarray], np.ndarray], size: int, hop: int, power: float = 1.0) -> DataFrame:
     """Runs a model on segments of `size` samples every `hop` and adds its outputs up by triangular weights.
 
-    A segment belongs to the block of its first sample and is cut off, padded with zeros,
-    at the end. Blocks are a multiple of hop and no shorter than size - hop. Pieces go to
-    the blocks they cover, where they are divided by the summed weights.
+    A segment is cut off, padded with zeros, at the end. Blocks are a multiple of hop and no
+    shorter than size - hop. A segment over the edge of two blocks is run for both of them, so
+    only the edges' samples move, and no sums.
     """
-    weights, kinds = np.array(design.triangle(size, power)), dict(df.dtypes)
-    source = with_halo(df, 0, size - hop).select(*KEY, "offset", "samples", "right")
+    weights, kinds, before = np.array(design.triangle(size, power)), dict(df.dtypes), (size - 1) // hop * hop
+    source = with_halo(df, before, size - 1).select(*KEY, "offset", "samples", "left", "right")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for track, channel, block, offset, samples, right in zip(*(batch.column(i) for i in range(6))):
-                own, at = len(samples.values), offset.as_py()
-                x = np.concatenate([np.asarray(v.values.to_numpy(zero_copy_only=False), np.float64) for v in (samples, right)])
-                length, x = len(x), np.concatenate([x, np.zeros(size)])
-                sums, weight = np.zeros(own + size), np.zeros(own + size)
-                for begin in range(-at % hop, own, hop):
-                    sums[begin : begin + size] += weights * model(x[begin : begin + size])
-                    weight[begin : begin + size] += weights
-                keep = min(length, own + size - hop)
-                rows = [(block.as_py(), sums[:own], weight[:own])]
-                if keep > own:
-                    rows.append((block.as_py() + 1, sums[own:keep], weight[own:keep]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([track.as_py()] * len(rows), batch.schema.field(0).type), pa.array([channel.as_py()] * len(rows), batch.schema.field(1).type), pa.array([r[0] for r in rows], pa.int64())]
-                    + [pa.array([r[k] for r in rows], pa.list_(pa.float64())) for k in (1, 2)],
-                    names=[*KEY, "sums", "weight"],
-                )
-
-    keys = f"track {kinds['track']}, channel {kinds['channel']}, block_idx long"
-    pieces = source.mapInArrow(run, f"{keys}, sums array<double>, weight array<double>").groupBy(*KEY).agg(F.collect_list(F.struct("sums", "weight")).alias("p"))  # two for each block at most
-    total = lambda c: F.transform(F.sequence(F.lit(0), F.size("samples") - 1), lambda i: F.aggregate("p", F.lit(0.0), lambda a, x: a + F.coalesce(F.get(x[c], i), F.lit(0.0))))
-    out = df.join(pieces, KEY).withColumn("sums", total("sums")).withColumn("weight", total("weight"))
-    return out.select(*KEY, "offset", F.zip_with("sums", "weight", lambda a, w: F.when(w > 0, a / w).otherwise(0.0)).alias("samples"))
+        for batch in parts(batches, 4):
+            (x, own), (left, ahead), (right, behind) = (flat(batch.column(i)) for i in (4, 5, 6))
+            done = np.empty(len(x))
+            for i, offset in enumerate(batch.column(3).to_pylist()):
+                a, n = ahead[i + 1] - ahead[i], own[i + 1] - own[i]
+                if not n:
+                    continue
+                whole = np.concatenate([left[ahead[i] : ahead[i + 1]], x[own[i] : own[i + 1]], right[behind[i] : behind[i + 1]], np.zeros(size)])
+                sums, weight = np.zeros(len(whole)), np.zeros(len(whole))
+                for begin in range((a - offset) % hop, a + n, hop):
+                    if begin + size > a:
+                        sums[begin : begin + size] += weights * model(whole[begin : begin + size])
+                        weight[begin : begin + size] += weights
+                sums, weight = sums[a : a + n], weight[a : a + n]
+                done[own[i] : own[i + 1]] = np.where(weight > 0, sums / np.where(weight > 0, weight, 1.0), 0.0)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), arrays(done, own)], names=[*KEY, "offset", "samples"])
+
+    keys = ", ".join(f"{c} {kinds[c]}" for c in (*KEY, "offset"))
+    return source.mapInArrow(run, f"{keys}, samples array<double>")
 
 
 def scores(df: DataFrame, model: Callable[[np.ndarray], float], fresh: int = 512, context: int = 64) -> DataFrame:
@@ -103,18 +97,34 @@ def fold(df: DataFrame, partial: Callable[[np.ndarray], Sequence[float]], merge:
             made = [np.asarray(partial(np.asarray(x.values.to_numpy(zero_copy_only=False), np.float64)), np.float64) for x in batch.column(3)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(made, pa.list_(pa.float64()))], names=["track", "channel", "at", "state"])
 
-    def joined(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by("at")
-        states = [np.asarray(s.values.to_numpy(zero_copy_only=False)) for s in table.column("state")]
-        made = functools.reduce(merge, states)
-        columns = {"track": table.column("track")[:1], "channel": table.column("channel")[:1], "at": pa.array([key[2].as_py()], pa.int64())}
-        return pa.table(columns | {"state": pa.array([made], pa.list_(pa.float64()))})
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Over sorted rows: a group may go on in the next batch."""
+        key, state, done = None, None, []
+        for batch in batches:
+            types = batch.schema.types[:2]
+            values, starts = flat(batch.column(3))
+            out = lambda: pa.RecordBatch.from_arrays([*(pa.array([k[i] for k, _ in done], t) for i, t in enumerate(types)), pa.array([k[2] for k, _ in done], pa.int64()), pa.array([s for _, s in done], pa.list_(pa.float64()))], names=["track", "channel", "at", "state"])
+            for i, new in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 4)))):
+                own = values[starts[i] : starts[i + 1]]
+                if new == key:
+                    state = np.asarray(merge(state, own), np.float64)
+                    continue
+                if key is not None:
+                    done.append((key, state))
+                key, state = new, own.copy()
+            if done:
+                yield out()
+                done = []
+        if key is not None:
+            done.append((key, state))
+            yield out()
 
     schema = f"track {kinds['track']}, channel {kinds['channel']}, at long, state array<double>"
-    rows = df.select("track", "channel", F.col("block_idx").cast("long").alias("at"), "samples").mapInArrow(first, schema)
-    last = df.agg(F.max("block_idx")).first()[0] or 0
+    # written once: a state for each block, of which the last block's number is wanted as well
+    rows = settle(df.select("track", "channel", F.col("block_idx").cast("long").alias("at"), "samples").mapInArrow(first, schema))
+    last = rows.agg(F.max("at")).first()[0] or 0
     while True:
-        rows = rows.withColumn("group", F.floor(F.col("at") / fan_in)).groupBy("track", "channel", "group").applyInArrow(joined, schema)
+        rows = rows.withColumn("group", F.floor(F.col("at") / fan_in)).repartition("track", "channel", "group").sortWithinPartitions("track", "channel", "group", "at").mapInArrow(joined, schema)
         last //= fan_in
         if not last:
             return rows.select("track", "channel", "state")
