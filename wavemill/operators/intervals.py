@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import levels
@@ -67,23 +67,28 @@ def splice(df: DataFrame, insert: DataFrame, at: int, channels: dict[int, int] |
     return df.join(moved, ["track", "channel", "frame"], "left").withColumn("value", F.coalesce("_new", "value")).select(df.columns)
 
 
-def gate(df: DataFrame, segments: DataFrame, floor: float, attack: int, release: int, bucket: int = 4096) -> DataFrame:
+def gate(df: DataFrame, segments: DataFrame, floor: float, attack: int, release: int, bucket: int = 64) -> DataFrame:
     """Multiplies by the largest gain over segments: 1 inside, raised-cosine fades beside, the floor elsewhere.
 
-    The attack leaves out its first frame, the release takes in its last.
+    The attack leaves out its first frame, the release takes in its last. The segments near
+    `bucket` frames meet them as one array, so a frame stays one row.
     """
     # fades touch frames outside; the range is widened for the buckets and tested exactly below
     wide = buckets(segments.select("track", (F.col("start_frame") - attack).alias("start_frame"), (F.col("end_frame") + release + 1).alias("end_frame"), F.col("start_frame").alias("s"), F.col("end_frame").alias("e")), bucket)
-    keys = df.select("track", "frame").distinct().withColumn("_bucket", F.floor(F.col("frame") / bucket))
+    near = wide.groupBy("track", "_bucket").agg(F.collect_list(F.struct("s", "e")).alias("_near"))
     f = F.col("frame")
     fade = lambda p: floor + (1 - floor) * levels.raised_cosine(p)
-    g = F.when((f >= F.col("s")) & (f < F.col("e")), 1.0)
-    if attack:
-        g = g.when((f > F.col("s") - attack) & (f < F.col("s")), fade((f - (F.col("s") - attack)) / attack))
-    if release:
-        g = g.when((f >= F.col("e")) & (f <= F.col("e") + release), fade(1 - (f - F.col("e")) / release))
-    gains = keys.join(wide, ["track", "_bucket"]).withColumn("g", g.otherwise(floor)).groupBy("track", "frame").agg(F.max("g").alias("g"))
-    return df.join(gains, ["track", "frame"], "left").withColumn("value", F.col("value") * F.coalesce("g", F.lit(float(floor)))).select(df.columns)
+
+    def gain(x: Column) -> Column:
+        g = F.when((f >= x["s"]) & (f < x["e"]), 1.0)
+        if attack:
+            g = g.when((f > x["s"] - attack) & (f < x["s"]), fade((f - (x["s"] - attack)) / attack))
+        if release:
+            g = g.when((f >= x["e"]) & (f <= x["e"] + release), fade(1 - (f - x["e"]) / release))
+        return g.otherwise(float(floor))
+
+    joined = df.withColumn("_bucket", F.floor(f / bucket)).join(near, ["track", "_bucket"], "left")
+    return joined.withColumn("value", F.col("value") * F.coalesce(F.array_max(F.transform("_near", gain)), F.lit(float(floor)))).select(df.columns)
 
 
 def pad_segments(segments: DataFrame, pad: int, lengths: DataFrame) -> DataFrame:
