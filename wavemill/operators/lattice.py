@@ -15,24 +15,26 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import KEY
+from .blocks import KEY, arrays, flat, parts
 from .lineage import per_track, settle
 
 #: Largest coefficient; and samples after which such sections have forgotten what they held, to the last bit of a double.
 LARGEST, MEMORY = 0.95, 2048
+#: Samples of blocks of one length that go through side by side, about.
+TOGETHER = 1 << 16
 
 
 def _recursion(k: np.ndarray, b: np.ndarray, first: np.ndarray) -> np.ndarray:
     """z before each sample and at the end, of z(n+1) = k(n)*z(n) + b(n), for several b and first z side by side."""
     total, over, step = b.copy(), k.copy(), 1
-    total[0] += k[0] * first
+    total[0] += k[0, ..., None] * first
     while step < len(k) and np.abs(over[step - 1 :]).max() > 1e-300:
-        total[step:] = total[step:] + over[step:, None] * total[:-step]
+        total[step:] = total[step:] + over[step:, ..., None] * total[:-step]
         over[step:] = over[step:] * over[:-step]
         over[:step] = 0  # what these reach back to is in them already
         step *= 2
@@ -40,12 +42,13 @@ def _recursion(k: np.ndarray, b: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def run(x: np.ndarray, k: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(output, state at the end) of inputs (sample, column) through sections k (sample, section) from states (section, column)."""
+    """(output, state at the end) of inputs (sample, …, column) through sections k (sample, …, section) from
+    states (section, …, column); what stands between may be blocks of one length, each with its own k."""
     ends = np.empty_like(state)
-    for s in range(k.shape[1]):
-        c = np.sqrt(1 - k[:, s] ** 2)
-        z = _recursion(k[:, s], c[:, None] * x, state[s])
-        x, ends[s] = c[:, None] * z[:-1] - k[:, s, None] * x, z[-1]
+    for s in range(k.shape[-1]):
+        c = np.sqrt(1 - k[..., s] ** 2)
+        z = _recursion(k[..., s], c[..., None] * x, state[s])
+        x, ends[s] = c[..., None] * z[:-1] - k[..., s, None] * x, z[-1]
     return x, ends
 
 
@@ -73,43 +76,66 @@ def apply(df: DataFrame, trajectory: DataFrame, hop: int, order: int = 8, streng
     last = F.col("_rows") - 1
     wanted = keys.select(*KEY, F.col("_rows"), F.explode(F.sequence(F.least(low, last), F.least(high, last))).alias("row"))
     found = wanted.join(trajectory.select("track", F.col("row").cast("long").alias("row"), "k"), ["track", "row"])
-    mine = found.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("row", "k"))).alias("_k"), F.max("_rows").alias("_rows"))
+    mine = found.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("row", "k"))).alias("_k"), F.max("_rows").alias("_rows"))
     source = settle(df.join(mine, KEY, "left").select(*KEY, "offset", F.col("samples").cast("array<double>").alias("samples"), "_k", "_rows"))
 
-    def given(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for offset, samples, rows, count in zip(batch.column(3), batch.column(4), batch.column(5).to_pylist(), batch.column(6).to_pylist()):
-            x = samples.values.to_numpy(zero_copy_only=False)
-            k = coefficients(np.array([r["k"] for r in rows]), rows[0]["row"], count, offset.as_py(), len(x), hop, strength) if rows and len(x) else np.zeros((len(x), order))
-            yield x, k
+    def given(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows of one length: which they are, where their samples are (sample, row), those, their coefficients."""
+        (x, starts), counts, offsets = flat(batch.column(4)), batch.column(6).to_numpy(zero_copy_only=False), batch.column(3).to_pylist()
+        listed, sizes = batch.column(5), np.diff(starts)
+        rows = listed.flatten()
+        heads = np.concatenate([[0], np.cumsum(np.nan_to_num(pc.list_value_length(listed).to_numpy(zero_copy_only=False)))]).astype(int)
+        number, value = rows.field("row").to_numpy(zero_copy_only=False), rows.field("k").flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+        for size in np.unique(sizes):
+            alike = np.flatnonzero(sizes == size)
+            for mine in np.array_split(alike, max(1, -(-len(alike) * size // TOGETHER))):
+                k = np.zeros((size, len(mine), order))
+                for j, i in enumerate(mine):
+                    if size and heads[i + 1] > heads[i]:
+                        k[:, j] = coefficients(value[heads[i] : heads[i + 1]], number[heads[i]], int(counts[i]), offsets[i], size, hop, strength)
+                at = starts[mine] + np.arange(size)[:, None]
+                yield mine, at, x[at], k
 
     def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            over, own = [], []
-            for x, k in given(batch):
-                if not len(x):
-                    over.append(np.eye(order).ravel())
-                    own.append(np.zeros(order))
+        for batch in parts(batches, 4):
+            over, own = np.zeros((batch.num_rows, order * order)), np.zeros((batch.num_rows, order))
+            for mine, at, x, k in given(batch):
+                n = len(mine)
+                if not len(at):
+                    over[mine] = np.eye(order).ravel()
                     continue
-                own.append(run(x[:, None], k, np.zeros((order, 1)))[1][:, 0])
-                over.append(run(np.zeros((len(x), order)), k, np.eye(order))[1].ravel() if len(x) <= MEMORY else np.zeros(order * order))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(over, pa.list_(pa.float64())), pa.array(own, pa.list_(pa.float64()))], names=[*KEY, "over", "own"])
-
-    def carry(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, out, state = rows.sort_values("block_idx"), [], np.zeros(order)
-        for over, own in zip(rows["over"], rows["own"]):
-            out.append(state)
-            state = np.asarray(over).reshape(order, order) @ state + own
-        return rows[KEY].assign(state=out)
+                own[mine] = run(x[..., None], k, np.zeros((order, n, 1)))[1][..., 0].T
+                if len(at) <= MEMORY:
+                    unit = np.repeat(np.eye(order)[:, None], n, 1)
+                    over[mine] = run(np.zeros((*x.shape, order)), k, unit)[1].swapaxes(0, 1).reshape(n, -1)
+            rows = np.arange(batch.num_rows + 1)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), arrays(over.ravel(), rows * order * order), arrays(own.ravel(), rows * order)], names=[*KEY, "over", "own"])
+
+    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Over sorted rows: a channel may go on in the next batch."""
+        channel, state = None, np.zeros(order)
+        for batch in batches:
+            over, own = flat(batch.column(3))[0].reshape(-1, order, order), flat(batch.column(4))[0].reshape(-1, order)
+            out = np.empty_like(own)
+            for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if key != channel:
+                    channel, state = key, np.zeros(order)
+                out[i] = state
+                state = over[i] @ state + own[i]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), arrays(out.ravel(), np.arange(len(out) + 1) * order)], names=[*KEY, "state"])
 
     def through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            states = batch.column(7)
-            done = [run(x[:, None], k, np.asarray(s.values.to_numpy(zero_copy_only=False))[:, None])[0][:, 0] if len(x) else x for (x, k), s in zip(given(batch), states)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(done, pa.list_(pa.float64()))], names=[*KEY, "offset", "samples"])
+        for batch in parts(batches, 4):
+            states, (samples, starts) = flat(batch.column(7))[0].reshape(-1, order), flat(batch.column(4))
+            done = np.empty(len(samples))
+            for mine, at, x, k in given(batch):
+                if len(at):
+                    done[at] = run(x[..., None], k, states[mine].T[..., None])[0][..., 0]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), arrays(done, starts)], names=[*KEY, "offset", "samples"])
 
     names = ", ".join(f"{c} {kinds[c]}" for c in KEY)
     found_maps = source.mapInArrow(maps, f"{names}, over array<double>, own array<double>")
-    states = found_maps.groupBy("track", "channel").applyInPandas(carry, f"{names}, state array<double>")
+    states = found_maps.repartition("track", "channel").sortWithinPartitions(*KEY).mapInArrow(carry, f"{names}, state array<double>")
     joined = source.join(states, KEY).select(*KEY, "offset", "samples", "_k", "_rows", "state")
     return joined.mapInArrow(through, f"{names}, offset {kinds['offset']}, samples array<double>")
 
