@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import settle
+from .lineage import per_track, settle
 
 #: Frequency scales, there and back, of whole arrays.
 SCALES: dict[str, tuple[Callable[[np.ndarray], np.ndarray], Callable[[np.ndarray], np.ndarray]]] = {
@@ -101,7 +101,7 @@ def with_references(spectra: DataFrame, session: DataFrame) -> DataFrame:
     mono = spectra.filter("channel = 0").select("track", "stft_frame", "re", "im")
     role = lambda name, to: session.filter(F.col("role") == name).select("session", F.col("track").alias(to))
     wanted = role("target", "target").join(role("reference", "reference"), "session")
-    ours = wanted.join(mono.withColumnRenamed("track", "target"), "target")
+    ours = per_track(mono.withColumnRenamed("track", "target"), wanted, on=("target",), place="stft_frame")
     theirs = mono.select(F.col("track").alias("reference"), "stft_frame", F.col("re").alias("ref_re"), F.col("im").alias("ref_im"))
     zeros = F.transform("re", lambda _: F.lit(0.0))
     out = ours.join(theirs, ["reference", "stft_frame"], "left")
