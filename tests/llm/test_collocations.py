@@ -3,6 +3,9 @@ import re
 from collections import Counter
 
 import duckdb
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from wavemill.llm import collocations
@@ -107,3 +110,56 @@ def test_a_very_long_piece(spark):
     df = spark.createDataFrame([("en", "long " * 200_000 + "end"), ("en", "x" * 100_000 + " y")], "lang string, text string")
     found = {r.phrase: r.n for r in collocations.counts(df, least=1).collect()}
     assert found["long long long"] == 199_998 and found["long"] == 200_000 and found["long end"] == 1 and found["x" * 100_000 + " y"] == 1 and found[""] == 200_003
+
+
+def test_edges_travel_in_blocks_not_one_by_one(spark):
+    words = [f"w{i}" for i in range(60_000)]
+    texts = spark.createDataFrame([("en", " ".join(words))], "lang string, text string")
+    assert collocations._edges(texts, 3, []).count() == 3  # 65,535 // 3 edges a block
+    found = {r.phrase: r.n for r in collocations.counts(texts, least=1).collect()}
+    assert len(found) == 3 * 60_000 - 3 + 1 and found["w0 w1 w2"] == found["w59999"] == 1 and found[""] == 60_000
+
+
+@pytest.mark.parametrize("longest", [2, 3, 5])
+def test_blocks_and_flows_of_cut_ranges(longest):
+    rng = random.Random(longest)
+    docs = [text for _, text in random_docs(rng, 400)]
+    bounds = sorted({("en", tuple(rng.choice(["a", "the", "m", "x", "x\x01", "日本", "ÿ"]) for _ in range(rng.randrange(1, longest + 1)))) for _ in range(9)})
+    ranges = {}
+    for i in range(0, len(docs), 60):  # counted in parts
+        words, begins = collocations._words(pa.array(docs[i : i + 60], pa.string()))
+        for batch in collocations._blocks("en", words, begins, longest, bounds):
+            number, _, *columns = batch.columns
+            for r in number.unique().to_pylist():
+                own, *places, n = [c.filter(pc.equal(number, r)) for c in columns]
+                ranges.setdefault(r, collocations.Edges(longest)).add(own, places, n)
+    assert len(ranges) > 3
+    found, total = Counter(), 0
+    for edges in ranges.values():
+        for phrases, words, shortest, n in edges.flows(1):
+            for phrase, low, count in zip(phrases.to_pylist(), shortest.tolist(), n.tolist()):
+                total += count if words == 0 else 0
+                found.update({("en", tuple(phrase.split(" ")[:size])): count for size in range(low, words + 1) if size})
+    want = counted([("en", text) for text in docs], longest)
+    assert found == want and total == sum(n for (_, words), n in want.items() if len(words) == 1)
+
+
+def test_more_words_than_fit_in_64_bits():
+    rng = np.random.default_rng(1)
+    columns = [rng.choice(np.array([0, 1, 5, 2**31 - 2], np.int32), 500) for _ in range(5)]
+    rows = list(zip(*[c.tolist() for c in columns]))
+    keys = collocations._keys(columns).tolist()
+    assert sorted(range(500), key=lambda i: (keys[i], i)) == sorted(range(500), key=lambda i: (rows[i], i))
+    assert len(set(keys)) == len(set(rows))
+
+
+def test_ranges_grow_with_the_edges(spark, monkeypatch):
+    docs = random_docs(random.Random(9), 300)
+    df = spark.createDataFrame(docs, "lang string, text string")
+    monkeypatch.setattr(collocations, "IN_A_RANGE", 300)
+    before = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges, bounds = collocations._bounds(df.fillna("und", "lang"), 3, before)
+    assert ranges > before and len(bounds) > before
+    assert sorted(map(tuple, collocations.mine(df).collect())) == expected(docs)
+    long = spark.createDataFrame([("en", "x" * 100_000 + " y")], "lang string, text string")
+    assert collocations._bounds(long, 3, 2)[0] > 10  # by bytes
